@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from .common import scratch, staged
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state lives on disk; its many small stores reserve no space ahead.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def digest_state(content_path: str, schema, checkpoint: str, spark) -> DataFrame:
     """Bring the keyed state up to date with the content table; return it as (digest, group_size, keep, locator)."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).parquet(content_path)
         best = F.max(F.struct("doc_id", "row_no", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_index")).alias("locator")))
@@ -32,7 +36,8 @@ def digest_state(content_path: str, schema, checkpoint: str, spark) -> DataFrame
         kept = kept.selectExpr("key.digest AS digest", "value.*").toDF("digest", "group_size", "best")
         return kept.selectExpr("digest", "group_size", "best.doc_id AS keep_id", "best.row_no AS keep_row", "best.locator AS locator")
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _ingest(docs: DataFrame, folder: str, digest, carry: bool) -> DataFrame:
