@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: Stands in for a null id where rows must be ordered: such rows come last.
 NO_ID = 2**63 - 1
 
+_HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_folders: dict[str, str] = {}
 
 
@@ -43,7 +46,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the Arrow batches that go to Python, as single texts may be very long."""
+    """Bound the Arrow batches that go to Python, as single texts may be very long; and let workers find this package."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _HERE not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, _HERE) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, simhash, substring, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -30,9 +38,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op6_exact_dedup, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op4_token_files, op5_substring_dedup, op6_exact_dedup, op7_simhash)}
 
 SQL = {
+    "op5_substring_dedup": """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS s FROM starts),
+low AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows JOIN low USING (s) WHERE m < doc_id),
+per AS (SELECT doc_id, list(j) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, len(words) AS n, list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS k FROM w LEFT JOIN per USING (doc_id))
+SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
