@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, substring, token_files
+from . import bpe, exact_dedup, matroska, packing, simhash, substring, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op4_token_files, op5_substring_dedup, op6_exact_dedup, op7_simhash)}
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_roundtrip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op4_token_files, op5_substring_dedup, op6_exact_dedup, op7_simhash, op9_matroska, op10_warc)}
 
 SQL = {
     "op5_substring_dedup": """
