@@ -70,23 +70,25 @@ def bucket_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The SimHash of lower-cased word shingles; 0 without words."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle of the text with A-Z in lower case; of fewer words the whole sequence is one."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        h = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        starts = [0, *ends[:-words].tolist()]
-        digest = xxhash.xxh64_intdigest
-        h = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts = [0, *ends[:-words].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def simhash(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
-        part = np.array(h[i : i + 4096], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i, n in enumerate(ones.tolist()) if 2 * n > len(h))
 
 
@@ -96,7 +98,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
-            fp = np.array([fingerprint(t or b"", words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([simhash(shingle_hashes(t or b"", words)) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             return {"doc_id": b.column(0), "fp": fp}
 
         return f
@@ -122,18 +124,44 @@ def _links(fp: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-_FOUND = "a long, b long, bucket long, block int, fp long"
+def _tree(fp: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Edges of at most bits bits of a minimum spanning tree of the rows of fp: for any lower limit they still connect
+    what that limit connects."""
+    a, b = [], []
+    near, to, left = np.full(len(fp), 1 << 30), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+    now = 0
+    for _ in range(len(fp) - 1):
+        left[now] = False
+        d = np.bitwise_count(fp ^ fp[now]).sum(axis=1, dtype=np.int64)
+        closer = d < near
+        near[closer], to[closer] = d[closer], now
+        now = int(np.argmin(np.where(left, near, 1 << 30)))
+        if near[now] <= bits:
+            a.append(int(to[now]))
+            b.append(now)
+    return a, b
+
 
+def _found(width: int) -> tuple[str, list[str], list[str], list[str]]:
+    """Schema of what buckets yield, and its columns, for fingerprints of width longs."""
+    a, b, fp = (([f"{c}{i or ''}" for i in range(width)]) for c in ("a", "b", "fp"))
+    return ", ".join(f"{c} long" for c in (*a, *b, "bucket", "block", *fp)), a, b, fp
 
-def _compare(rows: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key: edges (a, b) of buckets of up to most rows; of larger ones the rows with their block,
-    and last a row with the number of blocks alone."""
-    schema = pa_schema(_FOUND)
 
-    def out(a=(), b=(), bucket=None, block=None, fp=None) -> pa.RecordBatch:
-        n = len(a) if fp is None else len(fp)
-        none = [None] * n
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a if len(a) else none, b if len(b) else none, none if bucket is None else [bucket] * n, none if block is None else [block] * n, none if fp is None else fp), schema.types, strict=True)], schema=schema)
+def _compare(rows: Iterator[pa.RecordBatch], bits: int, most: int, width: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, ...) sorted by key: edges (a, b) of buckets of up to most rows; of larger ones the rows with their
+    block, and last a row with the number of blocks alone."""
+    schema = pa_schema(_found(width)[0])
+    span = (lambda fp: _links(fp[:, 0], bits)) if width == 1 else (lambda fp: _tree(fp, bits))
+
+    def out(a=None, b=None, bucket=None, block=None, fp=None) -> pa.RecordBatch:
+        n = next((len(x) for x in (a, fp) if x is not None), 1)
+        columns = []
+        for x in (a, b):
+            columns += [None] * width if x is None else list(x.view(np.int64).T)
+        columns += [None if v is None else np.full(n, v) for v in (bucket, block)]
+        columns += [None] * width if fp is None else list(fp.view(np.int64).T)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(np.ascontiguousarray(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     def edges(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(key)) + 1
@@ -142,29 +170,29 @@ def _compare(rows: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[p
         small = np.repeat(size <= 8, size)
         for lag in range(1, 8):
             at = np.flatnonzero((key[:-lag] == key[lag:]) & small[:-lag])
-            at = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= bits]
+            at = at[np.bitwise_count(fp[at] ^ fp[at + lag]).sum(axis=1, dtype=np.int64) <= bits]
             a.append(fp[at])
             b.append(fp[at + lag])
         for i, n in zip(first[size > 8], size[size > 8], strict=True):
-            x, y = _links(own := fp[i : i + n], bits)
+            x, y = span(own := fp[i : i + n])
             a.append(own[x])
             b.append(own[y])
         return np.concatenate(a), np.concatenate(b)
 
-    held_key, held, block = None, np.empty(0, np.uint64), 0
+    held_key, held, block = None, np.empty((0, width), np.uint64), 0
     for batch in rows:
-        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        key = batch.column(0).to_numpy()
+        fp = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
         if len(held):
             key, fp = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, fp])
         if block and key[0] != held_key:
-            yield out(bucket=held_key, block=block, fp=[None])
+            yield out(bucket=held_key, block=block)
             block = 0
         last = int(np.searchsorted(key, key[-1]))
-        whole = last
-        if block and whole:  # the end of a bucket that has been cut into blocks
+        if block and last:  # the end of a bucket that has been cut into blocks
             n = int(np.searchsorted(key, held_key, "right"))
-            yield out(bucket=held_key, block=block, fp=fp[:n].view(np.int64))
-            yield out(bucket=held_key, block=block + 1, fp=[None])
+            yield out(bucket=held_key, block=block, fp=fp[:n])
+            yield out(bucket=held_key, block=block + 1)
             key, fp, last, block = key[n:], fp[n:], last - n, 0
         # a batch may itself hold a bucket that is too large
         if last:
@@ -174,24 +202,44 @@ def _compare(rows: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[p
                 at = np.flatnonzero(key[:last] == big)
                 mark[at] = False
                 for i in range(0, len(at), most):
-                    yield out(bucket=int(big), block=i // most, fp=fp[at[i : i + most]].view(np.int64))
-                yield out(bucket=int(big), block=-(-len(at) // most), fp=[None])
+                    yield out(bucket=int(big), block=i // most, fp=fp[at[i : i + most]])
+                yield out(bucket=int(big), block=-(-len(at) // most))
             if mark.any():
                 a, b = edges(key[:last][mark], fp[:last][mark])
                 if len(a):
-                    yield out(a.view(np.int64), b.view(np.int64))
+                    yield out(a, b)
         held_key, held = int(key[-1]), fp[last:]
         while len(held) > most:
-            yield out(bucket=held_key, block=block, fp=held[:most].view(np.int64))
+            yield out(bucket=held_key, block=block, fp=held[:most])
             held, block = held[most:], block + 1
     if len(held):
         if block:
-            yield out(bucket=held_key, block=block, fp=held.view(np.int64))
-            yield out(bucket=held_key, block=block + 1, fp=[None])
+            yield out(bucket=held_key, block=block, fp=held)
+            yield out(bucket=held_key, block=block + 1)
         elif len(held) > 1:
             a, b = edges(np.full(len(held), held_key), held)
             if len(a):
-                yield out(a.view(np.int64), b.view(np.int64))
+                yield out(a, b)
+
+
+def _bucket_edges(keyed: DataFrame, bits: int, block: int, width: int) -> DataFrame:
+    """Edges of the buckets of keyed(key, fp, ...): a, b, and a1, b1 where fingerprints are two longs."""
+    schema, a, b, fp = _found(width)
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda rows: _compare(rows, bits, block, width), schema), "near")
+    edges = found.filter("a IS NOT NULL").select(*a, *b)
+    held = found.filter("bucket IS NOT NULL")
+    if held.isEmpty():
+        return edges
+    blocks = held.filter("fp IS NULL").select("bucket", F.col("block").alias("n"))
+    pairs = held.filter("fp IS NOT NULL").join(blocks, "bucket").select("bucket", *fp, "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    pairs = pairs.filter("block <> other").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *fp)
+
+    def pair(table: pa.Table) -> pa.Table:
+        x = np.stack([table.column(c).to_numpy() for c in fp], axis=1).view(np.uint64)
+        i, j = _links(x[:, 0], bits) if width == 1 else _tree(x, bits)
+        return pa.table({c: v for names, at in ((a, i), (b, j)) for c, v in zip(names, np.ascontiguousarray(x[at].view(np.int64).T.reshape(width, -1)), strict=True)})
+
+    return edges.unionAll(pairs.groupBy("bucket", "i", "j").applyInArrow(pair, ", ".join(f"{c} long" for c in (*a, *b))))
 
 
 def near_edges(distinct: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
@@ -210,21 +258,7 @@ def near_edges(distinct: DataFrame, bits: int = 4, block: int = 4096) -> DataFra
         return f
 
     keys = map_batches(distinct.select("fp"), make, "key long, fp long")
-    found = staged(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda rows: _compare(rows, bits, block), _FOUND), "near")
-    edges = found.filter("a IS NOT NULL").select("a", "b")
-    held = found.filter("bucket IS NOT NULL")
-    if held.isEmpty():
-        return edges
-    blocks = held.filter("fp IS NULL").select("bucket", F.col("block").alias("n"))
-    pairs = held.filter("fp IS NOT NULL").join(blocks, "bucket").select("bucket", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    pairs = pairs.filter("block <> other").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
-
-    def pair(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        a, b = _links(fp, bits)
-        return pa.table({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
-
-    return edges.unionAll(pairs.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long"))
+    return _bucket_edges(keys, bits, block, 1)
 
 
 def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, block: int = 4096) -> DataFrame:
@@ -243,7 +277,87 @@ def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, block: in
     return own.join(root.select("fp", "root").join(name, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_near(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """Of each component the document with the smallest doc_id, with all columns."""
-    gone = simhash_components(docs, words, bits).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+    """Links (x, y) between documents (doc, text) whose sets of word shingles have a Jaccard similarity of at least
+    similarity, enough of them to connect what they connect.
+
+    Two independent 64-bit fingerprints of the set of shingles each give Golay keys; in a bucket all 128 bits count. They
+    differ in a share of acos(2j / (1 + j)) / pi of the bits for a similarity j; twice the spread is allowed on top.
+    The edges of each bucket's minimum spanning tree are then verified on the whole texts.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = int(128 * p + 2 * np.sqrt(128 * p * (1 - p)))
+    small_batches(docs.sparkSession)
+
+    def prints():
+        def f(b: pa.RecordBatch) -> dict:
+            both = []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t or b"", words))
+                both.append((simhash(h), simhash(_other(h)), len(h)))
+            fp = np.array([x[:2] for x in both], np.uint64).reshape(-1, 2).view(np.int64)
+            return {"doc": b.column(0), "f": fp[:, 0], "g": fp[:, 1], "n": [x[2] for x in both]}
+
+        return f
+
+    own = staged(map_batches(docs.select("doc", F.col("text").cast("binary")), prints, "doc long, f long, g long, n long"), "fingerprints").filter("n > 0")
+    least = staged(own.groupBy("f", "g").agg(F.min("doc").alias("doc")), "distinct-fingerprints")
+
+    def keys():
+        def f(b: pa.RecordBatch) -> dict:
+            fg = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            out = [bucket_keys(np.ascontiguousarray(fg[:, k]).view(np.uint64)) for k in range(2)]
+            row = np.concatenate([r for r, _ in out])
+            return {"key": np.concatenate([key | k << 26 for k, (_, key) in enumerate(out)]), "fp": fg[row, 0], "fp1": fg[row, 1]}
+
+        return f
+
+    edges = _bucket_edges(map_batches(least.select("f", "g"), keys, "key long, fp long, fp1 long"), bits, block, 2).distinct()
+    for side, f, g in (("x", "a", "a1"), ("y", "b", "b1")):
+        edges = edges.join(least.select(F.col("f").alias(f), F.col("g").alias(g), F.col("doc").alias(side)), [f, g])
+    same = own.join(least.withColumnRenamed("doc", "x"), ["f", "g"]).filter("doc <> x").select("x", F.col("doc").alias("y"))
+    pairs = staged(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionAll(same).distinct(), "pairs")
+
+    # the shingle hashes of the documents in pairs
+    wanted = pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("y").alias("doc"))).distinct()
+
+    def sets():
+        def f(b: pa.RecordBatch) -> dict:
+            return {"doc": b.column(0), "set": [np.unique(shingle_hashes(t or b"", words)).tobytes() for t in b.column(1).to_pylist()]}
+
+        return f
+
+    known = staged(map_batches(docs.select("doc", F.col("text").cast("binary").alias("text")).join(wanted, "doc", "left_semi"), sets, "doc long, set binary"), "shingle-sets")
+    both = pairs.join(known.select(F.col("doc").alias("x"), F.col("set").alias("u")), "x").join(known.select(F.col("doc").alias("y"), F.col("set").alias("v")), "y")
+
+    def verify():
+        def f(b: pa.RecordBatch) -> dict:
+            keep = []
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                m, n = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+                same = len(np.intersect1d(m, n, assume_unique=True))
+                keep.append(same >= similarity * (len(m) + len(n) - same))
+            keep = np.array(keep, bool)
+            return {"x": b.column("x").to_numpy()[keep], "y": b.column("y").to_numpy()[keep]}
+
+        return f
+
+    return map_batches(both.select("x", "y", "u", "v"), verify, "x long, y long")
+
+
+def _other(h: np.ndarray) -> np.ndarray:
+    """A second hash of the same shingles."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def keep_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id, with all columns.
+
+    Documents without words, and without a doc_id, stay. Rows of one doc_id count as one document.
+    """
+    ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    links = similar_links(ids, words, similarity)
+    gone = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("node <> root").select(F.col("node").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)

@@ -197,7 +197,7 @@ def _sorted_buckets(rows: Iterator[pa.RecordBatch], window: int, schema: str) ->
 
 def _kept(text: bytes, spans) -> tuple[int, list[bytes]]:
     words = text.split()
-    if not spans:
+    if spans is None or not len(spans):
         return len(words), words
     keep = np.ones(len(words), bool)
     for s in spans:
