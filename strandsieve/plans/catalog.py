@@ -2,5 +2,477 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import anomaly, classify, codon, evidence, features, folds, homology, metrics, motif, seq, stats
+from .inputs import finished, labels, references, scored, sequences, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: finished(f(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+SEQS = "seqs AS (SELECT doc_id AS seq_id, source, lang, upper(regexp_replace(coalesce(text, ''), '[^ATGCNatgcn]', '', 'g')) AS seq FROM documents)"
+REFS = "refs AS (SELECT item_id AS ref_id, upper(regexp_replace(coalesce(text, ''), '[^ATGCNatgcn]', '', 'g')) AS seq FROM benchmark)"
+LABELS = "lab AS (SELECT doc_id AS seq_id, CASE WHEN quality = 0 THEN 1 WHEN toxic = 1 THEN 2 ELSE 0 END AS label FROM labels)"
+FRAGS = "frags AS (SELECT seq_id, i AS idx, i * 500 AS start, substr(seq, i * 500 + 1, 500) AS frag FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 499) // 500)) AS i FROM seqs) WHERE length(substr(seq, i * 500 + 1, 500)) >= 4)"
+
+
+def n_of(letters: str, col: str = "seq") -> str:
+    return f"(length({col}) - length(translate({col}, '{letters}', '')))"
+
+
+SCORED = f"scored AS (SELECT seq_id, label, CASE WHEN label <> 0 THEN 1 ELSE 0 END AS y, round(coalesce({n_of('GC')} / nullif(length(seq), 0), 0), 6) AS gc, round(coalesce({n_of('N')} / nullif(length(seq), 0), 0), 6) AS ns FROM seqs JOIN lab USING (seq_id))"
+BASE = f"WITH {SEQS}, {LABELS}, {SCORED}"
+BINARY = "pts AS (SELECT 'gc' AS score, y, gc AS x FROM scored UNION ALL SELECT 'ns', y, ns FROM scored)"
+CUM = "cnt AS (SELECT score, x, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM pts GROUP BY ALL)"
+
+
+def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(score, y, x): both composition scores of the labelled records."""
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("score"), F.col(n).alias("x")) for n in ("gc", "ns")))).alias("s")
+    return scored(spark, sf_dir).select("y", both).select("s.score", "y", "s.x")
+
+
+# k-mers, fragments, composition
+
+
+@query(f"""
+WITH {SEQS},
+km AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 6)),
+cnt AS (SELECT seq_id, kmer, count(*) AS cnt, min(pos) AS first_pos FROM km GROUP BY ALL),
+tot AS (SELECT seq_id, count(*) AS total FROM km GROUP BY ALL),
+bgs AS (SELECT seq_id, substr(seq, 1, 50000) AS seq FROM seqs WHERE length(seq) >= 4 ORDER BY seq_id LIMIT 20),
+bk AS (SELECT substr(seq, i, 6) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS i FROM bgs WHERE length(seq) >= 6)),
+bg AS (SELECT kmer, count(*) AS bg FROM bk GROUP BY ALL), bt AS (SELECT count(*) AS bg_total FROM bk),
+f AS (SELECT seq_id, kmer, cnt, first_pos, (cnt / total) / ((coalesce(bg, 0) + 1) / (bg_total + 4096)) AS fold FROM cnt JOIN tot USING (seq_id) LEFT JOIN bg USING (kmer) CROSS JOIN bt),
+r AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY fold DESC, first_pos) AS rank FROM f)
+SELECT seq_id, rank, kmer, cnt, first_pos, round(fold, 6) AS fold FROM r WHERE rank <= 10
+""")
+def enriched_kmers(spark, sf_dir):
+    return motif.enriched_kmers(sequences(spark, sf_dir))
+
+
+@query(f"""
+WITH {SEQS}
+SELECT seq_id, length(seq) AS len, {n_of('GC')} AS n_gc, {n_of('N')} AS n_n, length(regexp_replace(seq, 'N', '', 'g')) AS len_strict,
+ round(coalesce({n_of('GC')} / nullif({n_of('ATGC')}, 0) * 100, 0), 6) AS gc_percent,
+ CASE WHEN length(seq) < 2000 THEN 'short' WHEN length(seq) < 10000 THEN 'medium' ELSE 'long' END AS length_bucket,
+ left(regexp_replace(source || '|' || seq_id, '[^A-Za-z0-9_.-]', '_', 'g'), 64) AS safe_id FROM seqs
+""")
+def clean_stats(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    return s.select("seq_id", F.length("seq").alias("len"), T.letters("seq", "GC").alias("n_gc"), T.letters("seq", "N").alias("n_n"), F.length(T.clean("seq", "ATGC")).alias("len_strict"), T.gc_percent("seq").alias("gc_percent"), T.length_bucket(F.length("seq")).alias("length_bucket"), T.safe_id(F.concat("source", F.lit("|"), F.col("seq_id").cast("string"))).alias("safe_id"))
+
+
+@query(f"""
+WITH {SEQS}, g AS (SELECT seq_id, length(seq) AS len, coalesce({n_of('GC')} / nullif(length(seq), 0), 0) AS gc, coalesce({n_of('GC')} / nullif({n_of('ATGC')}, 0) * 100, 0) AS pc FROM seqs)
+SELECT seq_id, len, CASE WHEN len < 50 THEN 'short' WHEN gc > 0.55 THEN 'plasmid_suspect' ELSE 'standard' END AS kind,
+ CASE WHEN pc < 30 THEN 'low' WHEN pc > 65 THEN 'high' WHEN pc BETWEEN 40 AND 60 THEN 'typical' ELSE 'slightly outside' END AS gc_bucket FROM g
+""")
+def seq_type(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    return s.select("seq_id", F.length("seq").alias("len"), T.sequence_type("seq").alias("kind"), T.gc_bucket(T.gc_percent("seq")).alias("gc_bucket"))
+
+
+@query(f"WITH {SEQS} SELECT source, count(*) AS records, sum(length(seq))::BIGINT AS total_bp, min(length(seq)) AS min_bp, round(avg(length(seq)), 6) AS mean_bp, max(length(seq)) AS max_bp FROM seqs GROUP BY source")
+def dataset_stats(spark, sf_dir):
+    from ..sources.fasta import fasta_stats
+
+    return fasta_stats(sequences(spark, sf_dir), "source")
+
+
+@query(f"WITH {SEQS}, {FRAGS} SELECT * FROM frags")
+def fragments(spark, sf_dir):
+    return seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
+
+
+@query(f"""
+WITH {SEQS}, n AS (SELECT seq_id, seq, CASE WHEN length(seq) >= 500 THEN (length(seq) - 500) // 500 + 1 ELSE 1 END AS n FROM seqs WHERE length(seq) >= 4)
+SELECT seq_id, i AS idx, i * 500 AS start, substr(seq, i * 500 + 1, 500) AS frag FROM (SELECT seq_id, seq, unnest(range(0, n)) AS i FROM n)
+""")
+def fragments_drop_tail(spark, sf_dir):
+    return seq.whole_fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
+
+
+@query(f"""
+WITH {SEQS}, n AS (SELECT seq_id, seq, unnest(range(0, (length(seq) - 500) // 100 + 1)) AS i FROM seqs WHERE length(seq) >= 500)
+SELECT seq_id, i * 100 + 250 AS centre, md5(substr(seq, i * 100 + 1, 500)) AS digest FROM n
+""")
+def sliding_windows(spark, sf_dir):
+    s = seq.sliding(sequences(spark, sf_dir).select("seq_id", "seq"), 500, seq.default_step(500))
+    return s.select("seq_id", (F.col("start") + 250).alias("centre"), F.md5(F.col("win").cast("binary")).alias("digest"))
+
+
+@query(f"""
+WITH {SEQS}, {FRAGS}, k AS (SELECT unnest([4, 6, 8]) AS k),
+t AS (SELECT k, substr(frag, i, k) AS kmer FROM (SELECT frag, k, unnest(range(1, length(frag) - k + 2)) AS i FROM frags CROSS JOIN k WHERE length(frag) >= k))
+SELECT 'k' || k || '_' || kmer AS token, count(*) AS n FROM t GROUP BY ALL
+""")
+def kmer_tokens(spark, sf_dir):
+    return seq.tokens(seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {SEQS}, km AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 6))
+SELECT seq_id, kmer, count(*) AS cnt, min(pos) AS first_pos, round(count(*) / sum(count(*)) OVER (PARTITION BY seq_id), 6) AS freq FROM km GROUP BY seq_id, kmer
+""")
+def kmer_freq(spark, sf_dir):
+    return seq.kmer_counts(sequences(spark, sf_dir).select("seq_id", "seq"), 6).drop("total")
+
+
+@query(f"""
+WITH {SEQS}, {FRAGS}, km AS (SELECT seq_id, idx, substr(frag, i, 4) AS kmer FROM (SELECT seq_id, idx, frag, unnest(range(1, length(frag) - 2)) AS i FROM frags)),
+c AS (SELECT seq_id, idx, kmer, count(*) AS c FROM km WHERE kmer NOT LIKE '%N%' GROUP BY ALL)
+SELECT seq_id, idx, kmer, round(c / sum(c) OVER (PARTITION BY seq_id, idx), 6) AS freq FROM c
+""")
+def kmer4_freq(spark, sf_dir):
+    return seq.kmer_vectors(seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq")), ("seq_id", "idx"))
+
+
+@query(f"""
+WITH {SEQS}, {FRAGS}
+SELECT seq_id, idx, round({n_of('GC', 'frag')} / length(frag), 6) AS gc, round((length(frag) - length(replace(frag, 'CG', ''))) / 2 / (length(frag) - 1), 6) AS cpg,
+ round(len(list_filter(range(1, length(frag) // 3 + 1), lambda i: substr(frag, i * 3, 1) IN ('G', 'C'))) / (length(frag) // 3), 6) AS gc3 FROM frags
+""")
+def composition(spark, sf_dir):
+    return seq.composition(seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))).select("seq_id", "idx", "gc", "cpg", "gc3")
+
+
+@query(f"""
+WITH {SEQS}, w AS (SELECT seq_id, seq, least(100, greatest(20, length(seq) // 20)) AS w FROM seqs WHERE length(seq) > 0),
+s AS (SELECT *, greatest(1, w // 2) AS s FROM w), i AS (SELECT *, unnest(range(0, greatest(1, CASE WHEN length(seq) >= w THEN (length(seq) - w) // s + 1 ELSE 0 END))) * s AS a FROM s),
+p AS (SELECT seq_id, a + w // 2 AS x, substr(seq, a + 1, w) AS p FROM i)
+SELECT seq_id, x, round(coalesce({n_of('GC', 'p')} / nullif({n_of('ATGC', 'p')}, 0) * 100, 0), 6) AS gc FROM p
+""")
+def gc_track(spark, sf_dir):
+    return seq.gc_track(sequences(spark, sf_dir).select("seq_id", "seq"))
+
+
+@query(f"""
+WITH {SEQS}, w AS (SELECT seq_id, seq, least(80, greatest(32, length(seq) // 15)) AS w FROM seqs WHERE length(seq) > 0),
+s AS (SELECT *, greatest(10, w // 2) AS s FROM w), i AS (SELECT *, unnest(range(0, greatest(1, CASE WHEN length(seq) >= w THEN (length(seq) - w) // s + 1 ELSE 0 END))) * s AS a FROM s),
+p AS (SELECT seq_id, a + w // 2 AS x, substr(seq, a + 1, w) AS p FROM i),
+c AS (SELECT seq_id, x, length(p) AS n, unnest(['A', 'T', 'G', 'C', 'N']) AS l, p FROM p),
+e AS (SELECT seq_id, x, (length(p) - length(replace(p, l, ''))) / n AS q FROM c)
+SELECT seq_id, x, round(sum(CASE WHEN q > 0 THEN -q * log2(q) ELSE 0 END), 6) AS entropy FROM e GROUP BY ALL
+""")
+def entropy_track(spark, sf_dir):
+    return seq.entropy_track(sequences(spark, sf_dir).select("seq_id", "seq"))
+
+
+# codons
+
+CODONS = ", ".join(f"({o}, '{c}', '{a}', {h}, {s}, {w!r})" for o, c, a, h, s, w in codon.codon_rows())
+CODON_SQL = f"codons(ord, codon, aa, host, synonyms, w) AS (VALUES {CODONS})"
+
+
+def codon_sql(by: str, source: str) -> str:
+    return f"""{CODON_SQL},
+cut AS (SELECT {by}, substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT {by}, seq, unnest(range(0, length(seq) // 3)) AS i FROM {source} WHERE length(seq) >= 3)),
+counts AS (SELECT {by}, codon, aa, ord, synonyms, w, count(*) AS cnt FROM cut JOIN codons USING (codon) GROUP BY ALL),
+aas AS (SELECT {by}, aa, sum(cnt) AS total FROM counts GROUP BY ALL),
+rscu AS (SELECT aas.{by}, k.codon, aas.aa, k.ord, coalesce(c.cnt, 0)::BIGINT AS cnt, round(coalesce(c.cnt, 0) * k.synonyms / total, 4) AS rscu FROM aas JOIN codons k ON k.aa = aas.aa LEFT JOIN counts c ON c.{by} = aas.{by} AND c.codon = k.codon),
+cai AS (SELECT {by}, sum(cnt)::BIGINT AS n_codons, round(exp(sum(cnt * ln(w::DOUBLE)) / sum(cnt)), 4) AS cai FROM counts GROUP BY ALL)"""
+
+
+@query(f"WITH {SEQS}, {codon_sql('seq_id', 'seqs')} SELECT seq_id, codon, aa, ord::BIGINT AS ord, cnt, rscu FROM rscu")
+def rscu(spark, sf_dir):
+    return codon.rscu(codon.codon_counts(sequences(spark, sf_dir)))
+
+
+@query(f"WITH {SEQS}, {codon_sql('seq_id', 'seqs')} SELECT * FROM cai")
+def cai(spark, sf_dir):
+    return codon.cai(codon.codon_counts(sequences(spark, sf_dir)))
+
+
+def summary_sql(by: str, source: str, base: str) -> str:
+    return f"""{base}, {codon_sql(by, source)},
+used AS (SELECT {by}, round(avg(abs(rscu - 1)), 4) AS bias FROM rscu GROUP BY ALL),
+hi AS (SELECT {by}, codon, rscu, row_number() OVER (PARTITION BY {by} ORDER BY rscu DESC, ord) AS n FROM rscu WHERE rscu > 0),
+lo AS (SELECT {by}, codon, rscu, row_number() OVER (PARTITION BY {by} ORDER BY rscu, ord) AS n FROM rscu WHERE rscu > 0),
+o AS (SELECT s.{by}, coalesce(n_codons, 0) AS n_codons, coalesce(cai, 0) AS cai, coalesce(bias, 0) AS bias, coalesce(hi.codon, 'N/A') AS top_codon, coalesce(hi.rscu, 0) AS top_rscu, coalesce(lo.codon, 'N/A') AS bottom_codon, coalesce(lo.rscu, 0) AS bottom_rscu
+ FROM (SELECT DISTINCT {by} FROM {source}) s LEFT JOIN cai USING ({by}) LEFT JOIN used USING ({by}) LEFT JOIN hi ON hi.{by} = s.{by} AND hi.n = 1 LEFT JOIN lo ON lo.{by} = s.{by} AND lo.n = 1)
+SELECT *, cai > 0.65 OR bias > 0.45 AS flag, CASE WHEN cai > 0.75 AND bias > 0.5 THEN 'strong' WHEN cai > 0.65 OR bias > 0.45 THEN 'moderate' ELSE 'none' END AS level FROM o"""
+
+
+@query(summary_sql("seq_id", "seqs", f"WITH {SEQS}"))
+def codon_summary(spark, sf_dir):
+    return codon.codon_summary(sequences(spark, sf_dir))
+
+
+@query(summary_sql("label", "labelled", f"WITH {SEQS}, {LABELS}, labelled AS (SELECT label::BIGINT AS label, seq FROM seqs JOIN lab USING (seq_id))"))
+def codon_usage_by_label(spark, sf_dir):
+    both = sequences(spark, sf_dir).join(labels(spark, sf_dir), "seq_id")
+    return codon.codon_summary(both, ("label",))
+
+
+# motifs and homology
+
+#: Short patterns that occur in the driver's texts, beside the laboratory motifs.
+MOTIFS = {**motif.LAB_MOTIFS, "short a": "TANANTAN", "short b": "TTNTTANT", "short c": "ANTANANT"}
+MOTIF_SQL = "motifs(name, pattern) AS (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in MOTIFS.items()) + ")"
+
+
+@query(f"WITH {SEQS}, {MOTIF_SQL} SELECT seq_id, name FROM seqs JOIN motifs ON contains(seq, pattern)")
+def motif_scan(spark, sf_dir):
+    return motif.motif_scan(sequences(spark, sf_dir), MOTIFS)
+
+
+@query(f"""
+WITH {SEQS}, {MOTIF_SQL}, m AS (SELECT seq_id, seq, name, pattern FROM seqs JOIN motifs ON contains(seq, pattern)),
+p AS (SELECT seq_id, name, seq, pattern, unnest(range(1, length(seq) - length(pattern) + 2)) AS i FROM m)
+SELECT seq_id, name, i AS start, i + length(pattern) - 1 AS "end" FROM p WHERE substr(seq, i, length(pattern)) = pattern
+""")
+def motif_positions(spark, sf_dir):
+    return motif.motif_positions(sequences(spark, sf_dir), MOTIFS)
+
+
+HITS = f"""WITH {SEQS}, {REFS},
+st AS (SELECT ref_id, '+' AS strand, seq FROM refs UNION ALL SELECT ref_id, '-', reverse(translate(seq, 'ATGC', 'TACG')) FROM refs),
+db0 AS (SELECT ref_id, strand, i - 1 AS s_pos, substr(seq, i, 16) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 14)) AS i FROM st WHERE length(seq) >= 16)),
+mask AS (SELECT kmer FROM db0 GROUP BY kmer HAVING count(*) > 1000), db AS (SELECT * FROM db0 ANTI JOIN mask USING (kmer)),
+qk AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, 16) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 14)) AS i FROM seqs WHERE length(seq) >= 16)),
+sd AS (SELECT seq_id, ref_id, strand, pos, pos - s_pos AS diag FROM qk JOIN db USING (kmer)),
+mk AS (SELECT *, CASE WHEN coalesce(pos - (lag(pos) OVER w + 16), 17) > 16 THEN 1 ELSE 0 END AS nw FROM sd WINDOW w AS (PARTITION BY seq_id, ref_id, strand, diag ORDER BY pos)),
+il AS (SELECT *, sum(nw) OVER (PARTITION BY seq_id, ref_id, strand, diag ORDER BY pos) AS island FROM mk),
+sp AS (SELECT seq_id, ref_id, strand, diag, min(pos) AS a, max(pos) + 16 AS z FROM il GROUP BY seq_id, ref_id, strand, diag, island),
+ct AS (SELECT sp.*, z - a AS n, length(q.seq) AS q_len, length(s.seq) AS s_len, substr(q.seq, a + 1, z - a) AS x, substr(s.seq, a - diag + 1, z - a) AS y FROM sp JOIN seqs q USING (seq_id) JOIN st s USING (ref_id, strand)),
+mt AS (SELECT *, len(list_filter(range(1, n + 1), lambda i: substr(x, i, 1) = substr(y, i, 1))) AS m FROM ct),
+sc AS (SELECT *, m - 2 * (n - m) AS score, 0.621 * q_len * (SELECT sum(length(seq)) FROM refs)::DOUBLE * exp(-1.33 * (m - 2 * (n - m))) AS e FROM mt),
+hits AS (SELECT seq_id AS query_id, ref_id AS subject_id, m / n * 100 AS percent_identity, n AS alignment_length, n - m AS mismatches, 0::BIGINT AS gap_opens, a + 1 AS q_start, z AS q_end,
+ CASE WHEN strand = '+' THEN a - diag + 1 ELSE s_len - (a - diag) END AS s_start, CASE WHEN strand = '+' THEN z - diag ELSE s_len + 1 - (z - diag) END AS s_end, e AS evalue, (1.33 * score - ln(0.621)) / ln(2) AS bit_score FROM sc WHERE e <= 1e-5)"""
+
+
+def hits(spark, sf_dir):
+    return homology.homology_hits(sequences(spark, sf_dir), references(spark, sf_dir))
+
+
+@query(f"{HITS} SELECT query_id, subject_id, round(percent_identity, 6) AS percent_identity, alignment_length, mismatches, gap_opens, q_start, q_end, s_start, s_end, round(evalue, 6) AS evalue, round(bit_score, 6) AS bit_score FROM hits")
+def homology_hits(spark, sf_dir):
+    return hits(spark, sf_dir)
+
+
+@query(f"{HITS}, pos AS (SELECT DISTINCT query_id, unnest(range(q_start, q_end + 1)) AS p FROM hits), c AS (SELECT query_id, count(*) AS covered FROM pos GROUP BY 1) SELECT seq_id, coalesce(covered, 0) AS covered, round(coalesce(covered / nullif(length(seq), 0) * 100, 0), 6) AS coverage FROM seqs LEFT JOIN c ON query_id = seq_id")
+def hit_coverage(spark, sf_dir):
+    return homology.coverage(hits(spark, sf_dir), sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")))
+
+
+SUMMARY = "best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY percent_identity DESC, subject_id, q_start) AS k, count(*) OVER (PARTITION BY query_id) AS n_hits FROM hits), summ AS (SELECT seq_id, coalesce(n_hits, 0) AS n_hits, coalesce(percent_identity, 0) AS max_identity, subject_id AS top_subject FROM seqs LEFT JOIN best ON query_id = seq_id AND k = 1)"
+
+
+@query(f"{HITS}, {SUMMARY} SELECT seq_id, n_hits, round(max_identity, 6) AS max_identity, top_subject FROM summ")
+def hit_summary(spark, sf_dir):
+    return homology.hit_summary(hits(spark, sf_dir), sequences(spark, sf_dir))
+
+
+@query(f"{HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY q_start, q_end, subject_id, s_start) AS n FROM hits) SELECT query_id, n, subject_id, q_start, q_end, substr(seq, q_start, least(70, q_end - q_start + 1)) AS snippet FROM r JOIN seqs ON seq_id = query_id WHERE n <= 35")
+def hit_listing(spark, sf_dir):
+    return homology.hit_listing(hits(spark, sf_dir), sequences(spark, sf_dir))
+
+
+@query(f"{HITS} SELECT seq_id, seq_id IN (SELECT query_id FROM hits) AS hit FROM seqs")
+def hit_flag(spark, sf_dir):
+    return homology.has_hit(sequences(spark, sf_dir).select("seq_id"), hits(spark, sf_dir).select(F.col("query_id").alias("id")))
+
+
+# ranks, curves, tables
+
+
+@query(f"{BASE}, {BINARY}, r AS (SELECT score, x, rank() OVER (PARTITION BY score ORDER BY x) + (count(*) OVER (PARTITION BY score, x) - 1) / 2 AS midrank FROM pts) SELECT score, x, midrank, count(*) AS n FROM r GROUP BY ALL")
+def midrank(spark, sf_dir):
+    return metrics.midranks(binary(spark, sf_dir), ("score",)).groupBy("score", "x", "midrank").agg(F.count(F.lit(1)).alias("n"))
+
+
+AUC = "won AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY score ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS u FROM cnt)"
+
+
+@query(f"{BASE}, {BINARY}, {CUM}, {AUC} SELECT score, sum(pos)::BIGINT AS m, sum(neg)::BIGINT AS n, round(sum(u) / (sum(pos) * sum(neg)), 6) AS auroc FROM won GROUP BY score")
+def auroc(spark, sf_dir):
+    return metrics.auroc(binary(spark, sf_dir), ("score",))
+
+
+OVR = "pts AS (SELECT c AS score, CASE WHEN label = c THEN 1 ELSE 0 END AS y, CASE c WHEN 0 THEN 1 - gc WHEN 1 THEN ns ELSE gc END AS x FROM scored CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS c))"
+
+
+def three(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("inverse", 1 - F.col("gc"))
+    return metrics.one_vs_rest(s, [0, 1, 2], {0: "inverse", 1: "ns", 2: "gc"})
+
+
+@query(f"{BASE}, {OVR}, {CUM}, {AUC} SELECT score AS class, sum(pos)::BIGINT AS m, sum(neg)::BIGINT AS n, round(sum(u) / (sum(pos) * sum(neg)), 6) AS auroc FROM won GROUP BY score")
+def auroc_ovr(spark, sf_dir):
+    return metrics.auroc(three(spark, sf_dir), ("class",))
+
+
+@query(f"{BASE}, {OVR}, {CUM}, {AUC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score) SELECT round(avg(auroc), 6) AS macro_auroc FROM a")
+def auroc_macro(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("inverse", 1 - F.col("gc"))
+    return metrics.macro_auroc(s, [0, 1, 2], {0: "inverse", 1: "ns", 2: "gc"})
+
+
+ROC = "roc AS (SELECT score, x, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY score) AS m, sum(neg) OVER (PARTITION BY score) AS n FROM cnt WINDOW w AS (PARTITION BY score ORDER BY x DESC))"
+
+
+@query(f"{BASE}, {BINARY}, {CUM}, {ROC} SELECT score, x, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / m, 6) AS tpr, round(fp / n, 6) AS fpr FROM roc")
+def roc_points(spark, sf_dir):
+    return metrics.roc_points(binary(spark, sf_dir), ("score",))
+
+
+@query(f"{BASE}, {BINARY}, {CUM}, {ROC}, st AS (SELECT score, m, n, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc) SELECT score, round(sum(s), 6) AS ap, round(max(m) / (max(m) + max(n)), 6) AS base FROM st GROUP BY score")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(binary(spark, sf_dir), ("score",))
+
+
+DELONG = """pl AS (SELECT score, x, pos, neg, sum(pos) OVER (PARTITION BY score) AS m, sum(neg) OVER (PARTITION BY score) AS n, coalesce(sum(pos) OVER w, 0) AS pb, coalesce(sum(neg) OVER w, 0) AS nb FROM cnt WINDOW w AS (PARTITION BY score ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+vu AS (SELECT *, (nb + neg / 2) / n AS v, 1 - (pb + pos / 2) / m AS u FROM pl),
+dl AS (SELECT score, max(m)::BIGINT AS m, max(n)::BIGINT AS n, sum(pos * v) / max(m) AS auroc,
+ (sum(pos * v * v) - sum(pos * v) * sum(pos * v) / max(m)) / (max(m) - 1) / max(m) + (sum(neg * u * u) - sum(neg * u) * sum(neg * u) / max(n)) / (max(n) - 1) / max(n) AS variance FROM vu GROUP BY score)"""
+
+
+@query(f"{BASE}, {OVR}, {CUM}, {DELONG} SELECT score AS class, m, n, round(auroc, 6) AS auroc, round(variance, 6) AS variance, round(greatest(auroc - 1.959963984540054 * sqrt(variance), 0), 6) AS lo, round(least(auroc + 1.959963984540054 * sqrt(variance), 1), 6) AS hi FROM dl")
+def delong_ci(spark, sf_dir):
+    return metrics.delong(three(spark, sf_dir), ("class",))
+
+
+@query(f"""{BASE}, tr AS (SELECT ns AS x FROM scored WHERE label = 0), te AS (SELECT seq_id, ns AS x FROM scored WHERE label <> 0)
+SELECT seq_id, x, round(((SELECT count(*) FROM tr WHERE tr.x < te.x) + (SELECT count(*) FROM tr WHERE tr.x <= te.x) + (SELECT max(CASE WHEN tr.x = te.x THEN 1 ELSE 0 END) FROM tr)) / (2 * (SELECT count(*) FROM tr)), 6) AS risk FROM te""")
+def ecdf_risk(spark, sf_dir):
+    s = scored(spark, sf_dir).select("seq_id", "label", F.col("ns").alias("x"))
+    return metrics.ecdf_risk(s.filter("label = 0").select("x"), s.filter("label <> 0").select("seq_id", "x"))
+
+
+PRED = "pred AS (SELECT label AS y, CASE WHEN ns >= 0.4 THEN 1 WHEN gc >= 0.12 THEN 2 ELSE 0 END AS p FROM scored), cells AS (SELECT a.c AS y, b.c AS p, count(pred.y) AS n FROM (SELECT unnest([0, 1, 2]) AS c) a CROSS JOIN (SELECT unnest([0, 1, 2]) AS c) b LEFT JOIN pred ON pred.y = a.c AND pred.p = b.c GROUP BY ALL)"
+
+
+def predicted(spark, sf_dir):
+    return scored(spark, sf_dir).select(F.col("label").alias("y"), F.when(F.col("ns") >= 0.4, 1).when(F.col("gc") >= 0.12, 2).otherwise(0).alias("p"))
+
+
+@query(f"{BASE}, {PRED} SELECT y::BIGINT AS y, p::BIGINT AS p, n, round(n / greatest(sum(n) OVER (PARTITION BY y), 1), 6) AS share FROM cells")
+def confusion(spark, sf_dir):
+    return metrics.confusion(predicted(spark, sf_dir), [0, 1, 2])
+
+
+REPORT = """rep AS (SELECT c.c, coalesce(tp / nullif(said, 0), 0) AS precision, coalesce(tp / nullif(sup, 0), 0) AS recall, coalesce(2 * tp / nullif(said + sup, 0), 0) AS f1, sup AS support FROM (SELECT unnest([0, 1, 2]) AS c) c
+ JOIN (SELECT y, sum(n)::BIGINT AS sup, sum(CASE WHEN y = p THEN n ELSE 0 END)::BIGINT AS tp FROM cells GROUP BY y) a ON a.y = c.c JOIN (SELECT p, sum(n)::BIGINT AS said FROM cells GROUP BY p) b ON b.p = c.c)"""
+
+
+@query(f"{BASE}, {PRED}, {REPORT} SELECT c::VARCHAR AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep UNION ALL SELECT 'MACRO', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM rep")
+def class_report(spark, sf_dir):
+    return metrics.class_report(predicted(spark, sf_dir), [0, 1, 2])
+
+
+@query(f"{BASE}, {PRED}, r AS (SELECT y, sum(n) AS s, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp FROM cells GROUP BY y), o AS (SELECT sum(tp) / sum(s) AS accuracy, avg(tp / greatest(s, 1)) AS mean_recall, min(s) = max(s) AS balanced FROM r) SELECT round(accuracy, 6) AS accuracy, round(mean_recall, 6) AS mean_recall, balanced, CASE WHEN NOT balanced THEN 'warn' WHEN abs(mean_recall - accuracy) < 0.01 THEN 'ok' ELSE 'fail' END AS verdict FROM o")
+def accuracy_check(spark, sf_dir):
+    return metrics.accuracy_check(predicted(spark, sf_dir), [0, 1, 2])
+
+
+THRESHOLDS = [round(0.10 + 0.05 * i, 2) for i in range(18)]
+SWEEP = f"""th AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold),
+sw AS (SELECT score, threshold, sum(CASE WHEN y = 1 AND x >= threshold THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN y = 0 AND x >= threshold THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN y = 1 AND x < threshold THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN y = 0 AND x < threshold THEN 1 ELSE 0 END)::BIGINT AS tn FROM pts CROSS JOIN th GROUP BY ALL),
+rt AS (SELECT *, tp / greatest(tp + fn, 1) AS tpr, fp / greatest(fp + tn, 1) AS fpr, tp / greatest(tp + fp, 1) AS precision FROM sw),
+fs AS (SELECT *, 2 * precision * tpr / greatest(precision + tpr, 1e-9) AS f1 FROM rt)"""
+SIX = ", ".join(f"round({c}, 6) AS {c}" for c in ("tpr", "fpr", "precision", "f1"))
+
+
+@query(f"{BASE}, {BINARY}, {SWEEP} SELECT score, threshold, tp, fp, fn, tn, {SIX} FROM fs")
+def threshold_sweep(spark, sf_dir):
+    return metrics.threshold_sweep(binary(spark, sf_dir), THRESHOLDS, ("score",))
+
+
+@query(f"{BASE}, {BINARY}, {SWEEP}, b AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY f1 DESC, threshold) AS k FROM fs) SELECT score, threshold, tp, fp, fn, tn, {SIX} FROM b WHERE k = 1")
+def peak_f1(spark, sf_dir):
+    return metrics.peak_f1(metrics.threshold_sweep(binary(spark, sf_dir), THRESHOLDS, ("score",)), ("score",))
+
+
+@query(f"{BASE}, h AS (SELECT label, least(floor(ns * 100 / 5)::BIGINT + 1, 20) AS bin FROM scored), c AS (SELECT label, bin, count(*) AS n FROM h GROUP BY ALL) SELECT label::BIGINT AS label, bin, n, round(n / (sum(n) OVER (PARTITION BY label) * 5), 6) AS density FROM c")
+def score_hist(spark, sf_dir):
+    return metrics.histogram(scored(spark, sf_dir).select("label", (F.col("ns") * 100).alias("x")), ("label",))
+
+
+@query(f"{BASE} SELECT label::BIGINT AS label, round(avg(ns), 6) AS mean, round(stddev_pop(ns), 6) AS std, round(min(ns), 6) AS min, round(max(ns), 6) AS max, count(*) AS n FROM scored GROUP BY label")
+def score_distribution(spark, sf_dir):
+    return metrics.distribution(scored(spark, sf_dir), ("label",), "ns")
+
+
+@query(f'{BASE} SELECT label::BIGINT AS label, round(min(ns), 6) AS "min", round(quantile_cont(ns, 0.25), 6) AS q1, round(quantile_cont(ns, 0.5), 6) AS median, round(quantile_cont(ns, 0.75), 6) AS q3, round(max(ns), 6) AS "max" FROM scored GROUP BY label')
+def box_summary(spark, sf_dir):
+    return metrics.box_summary(scored(spark, sf_dir), ("label",), "ns")
+
+
+@query(f"WITH {LABELS} SELECT label::BIGINT AS label, count(*) AS n FROM lab GROUP BY label")
+def class_counts(spark, sf_dir):
+    return labels(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# tests, folds, samples
+
+TOOLS = "tools AS (SELECT y, CASE WHEN ns >= 0.4 THEN 1 ELSE 0 END AS own, CASE WHEN gc >= 0.1 THEN 1 ELSE 0 END AS by_gc, CASE WHEN ns >= 0.3 THEN 1 ELSE 0 END AS by_n FROM scored), long AS (SELECT 'by_gc' AS tool, y, own AS a, by_gc AS b FROM tools UNION ALL SELECT 'by_n', y, own, by_n FROM tools)"
+
+
+def tools(spark, sf_dir):
+    return scored(spark, sf_dir).select("y", (F.col("ns") >= 0.4).cast("int").alias("own"), (F.col("gc") >= 0.1).cast("int").alias("by_gc"), (F.col("ns") >= 0.3).cast("int").alias("by_n"))
+
+
+@query(f"""{BASE}, {TOOLS}, c AS (SELECT tool, sum(CASE WHEN a = y AND b = y THEN 1 ELSE 0 END)::BIGINT AS n11, sum(CASE WHEN a = y AND b <> y THEN 1 ELSE 0 END)::BIGINT AS n10, sum(CASE WHEN a <> y AND b = y THEN 1 ELSE 0 END)::BIGINT AS n01, sum(CASE WHEN a <> y AND b <> y THEN 1 ELSE 0 END)::BIGINT AS n00 FROM long GROUP BY tool),
+x AS (SELECT *, coalesce((abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) / nullif(n10 + n01, 0), 0) AS chi2 FROM c) SELECT tool, n11, n10, n01, n00, round(chi2, 6) AS chi2, count(*) OVER (PARTITION BY round(chi2, 2)) AS twins FROM x""")
+def mcnemar(spark, sf_dir):
+    return stats.mcnemar_suite(tools(spark, sf_dir), ["by_gc", "by_n"], "own")
+
+
+@query(f"""{BASE}, {TOOLS}, c AS (SELECT tool, 'accuracy' AS rate, sum(CASE WHEN b = y THEN 1 ELSE 0 END)::BIGINT AS k, count(*) AS n FROM long GROUP BY tool UNION ALL SELECT tool, 'tpr', sum(CASE WHEN b = 1 AND y = 1 THEN 1 ELSE 0 END)::BIGINT, sum(y)::BIGINT FROM long GROUP BY tool UNION ALL SELECT tool, 'fpr', sum(CASE WHEN b = 1 AND y = 0 THEN 1 ELSE 0 END)::BIGINT, sum(1 - y)::BIGINT FROM long GROUP BY tool),
+p AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM c), q AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS center, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM p)
+SELECT tool, rate, k, n, round(p, 6) AS value, round(greatest(center - h, 0), 6) AS lo, round(least(center + h, 1), 6) AS hi, round(center, 6) AS center FROM q""")
+def wilson_rates(spark, sf_dir):
+    t = tools(spark, sf_dir)
+    long = t.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("tool"), F.col(n).alias("p")) for n in ("by_gc", "by_n")))).alias("t")).select("y", "t.*")
+    return stats.rates(long, ("tool",))
+
+
+@query(f"""WITH {SEQS}, {LABELS}, v AS (SELECT source, label, count(*) AS c FROM seqs JOIN lab USING (seq_id) GROUP BY ALL), g AS (SELECT substr(source, 4)::BIGINT AS grp, label, c FROM v),
+o AS (SELECT grp, label, sum(c) OVER (PARTITION BY grp) AS size, row_number() OVER (PARTITION BY grp ORDER BY c DESC, label) AS k FROM g),
+r AS (SELECT grp, label, (row_number() OVER (PARTITION BY label ORDER BY size DESC, (grp * 2654435761 + 42) % 1000003, grp) - 1) % 10 AS k FROM o WHERE k = 1)
+SELECT grp, label::BIGINT AS label, CASE WHEN k < 5 THEN k ELSE 9 - k END AS fold FROM r""")
+def group_folds(spark, sf_dir):
+    rows = sequences(spark, sf_dir).join(labels(spark, sf_dir), "seq_id").select(F.substring("source", 4, 20).cast("long").alias("grp"), "label")
+    return folds.group_folds(rows, "grp", "label")
+
+
+@query(f"WITH {LABELS}, r AS (SELECT seq_id, label, row_number() OVER (PARTITION BY label ORDER BY (seq_id * 2654435761 + 42) % 1000003, seq_id) AS k FROM lab) SELECT seq_id, label::BIGINT AS label FROM r WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM lab GROUP BY label))")
+def balanced_sample(spark, sf_dir):
+    return folds.balanced_sample(labels(spark, sf_dir), "label", "seq_id")
+
+
+@query(f"WITH {SEQS}, r AS (SELECT seq_id, source, length(seq) AS len, row_number() OVER (PARTITION BY source ORDER BY seq_id) AS k FROM seqs) SELECT seq_id, source, len FROM r WHERE k <= 20")
+def first_per_source(spark, sf_dir):
+    return folds.first_per_group(sequences(spark, sf_dir).select("seq_id", "source", F.length("seq").alias("len")), "source", ["seq_id"], 20)
+
+
+@query(f"WITH {SEQS}, r AS (SELECT md5(seq) AS digest, seq_id, length(seq) AS len, row_number() OVER (PARTITION BY md5(seq) ORDER BY len DESC, seq_id) AS k FROM (SELECT *, length(seq) AS len FROM seqs)) SELECT digest, seq_id, len FROM r WHERE k = 1")
+def first_by_sequence(spark, sf_dir):
+    s = sequences(spark, sf_dir).select(F.md5(F.col("seq").cast("binary")).alias("digest"), "seq_id", F.length("seq").alias("len"))
+    return folds.first_by_id(s, "digest", ["seq_id"])
+
+
+@query(f"""WITH {SEQS}, u AS (SELECT seq_id, seq FROM seqs WHERE length(seq) >= 20), h AS (SELECT seq_id, row_number() OVER (ORDER BY (seq_id * 2654435761 + 42) % 1000003, seq_id) - 1 AS no FROM u), t AS (SELECT count(*) AS total FROM u),
+d AS (SELECT i AS id, (((i * 2654435761 + 42) % 1000003) * 7919 + i) % total AS no, (i * 2654435761 + 53) % 1000003 AS u, (i * 2654435761 + 71) % 1000003 AS v FROM range(0, 500) r(i) CROSS JOIN t),
+s AS (SELECT d.*, seq_id, seq, 20 + d.u % (least(150, length(seq)) - 19) AS size FROM d JOIN h USING (no) JOIN u USING (seq_id))
+SELECT 'frag_' || lpad(id::VARCHAR, 6, '0') AS frag_id, seq_id, substr(seq, v % (length(seq) - size + 1) + 1, size) AS frag FROM s""")
+def sampled_fragments(spark, sf_dir):
+    return seq.sampled_fragments(sequences(spark, sf_dir), 500)
