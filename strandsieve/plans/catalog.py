@@ -15,11 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, digits: int = 6):
     """Register a function under its name, with its SQL."""
 
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: finished(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: finished(f(spark, sf_dir), digits)
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -476,3 +476,320 @@ s AS (SELECT d.*, seq_id, seq, 20 + d.u % (least(150, length(seq)) - 19) AS size
 SELECT 'frag_' || lpad(id::VARCHAR, 6, '0') AS frag_id, seq_id, substr(seq, v % (length(seq) - size + 1) + 1, size) AS frag FROM s""")
 def sampled_fragments(spark, sf_dir):
     return seq.sampled_fragments(sequences(spark, sf_dir), 500)
+
+
+# evidence, verdicts, fusion. The risk of a record stands for a classifier's: 100 x its share of N; the anomaly for the
+# envelope's: 300 x its share of G and C.
+
+RISK = "least(round(ns * 100, 6), 100)"
+OOD = "least(round(gc * 300, 6), 100)"
+MOT = f"{MOTIF_SQL}, mot AS (SELECT seq_id, count(*) AS n_motifs FROM seqs JOIN motifs ON contains(seq, pattern) GROUP BY 1)"
+ALLS = f"alls AS (SELECT seq_id, length(seq) AS len, round(coalesce({n_of('GC')} / nullif(length(seq), 0), 0), 6) AS gc, round(coalesce({n_of('N')} / nullif(length(seq), 0), 0), 6) AS ns, round(coalesce({n_of('GC')} / nullif({n_of('ATGC')}, 0) * 100, 0), 6) AS gc_percent FROM seqs)"
+SIG = f"sig AS (SELECT seq_id, len, gc_percent, {RISK} AS risk, {OOD} AS ood, n_hits, max_identity, coalesce(n_motifs, 0) AS n_motifs FROM alls JOIN summ USING (seq_id) LEFT JOIN mot USING (seq_id))"
+SIGNALS = f"{HITS}, {SUMMARY}, {MOT}, {ALLS}, {SIG}"
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record: len, gc_percent, risk, ood, n_hits, max_identity, top_subject, n_motifs."""
+    s = sequences(spark, sf_dir)
+    share = lambda x: F.round(F.coalesce(T.letters("seq", x) / F.nullif(F.length("seq"), F.lit(0)), F.lit(0.0)), 6)
+    base = s.select("seq_id", F.length("seq").alias("len"), F.round(T.gc_percent("seq"), 6).alias("gc_percent"), F.least(F.round(share("N") * 100, 6), F.lit(100.0)).alias("risk"), F.least(F.round(share("GC") * 300, 6), F.lit(100.0)).alias("ood"))
+    found = motif.motif_scan(s, MOTIFS).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_motifs"))
+    out = base.join(homology.hit_summary(hits(spark, sf_dir), s), "seq_id").join(found, "seq_id", "left")
+    return out.withColumn("n_motifs", F.coalesce("n_motifs", F.lit(0)))
+
+
+VERDICT = "CASE WHEN n_hits > 0 OR n_motifs > 0 THEN 'CONFIRMED LAB-ENGINEERED' WHEN len > 0 AND len < 20 THEN 'BORDERLINE / REVIEW' WHEN risk >= 60{0} THEN 'SUSPECTED ENGINEERED' WHEN risk >= 35{1} THEN 'BORDERLINE / REVIEW' ELSE 'LIKELY NATURAL' END"
+
+
+@query(f"{SIGNALS} SELECT seq_id, {VERDICT.format('', '')} AS verdict, {VERDICT.format(' AND ood >= 5', ' AND ood >= 2')} AS dual FROM sig")
+def verdict(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    args = [F.col(c) for c in ("n_hits", "n_motifs", "risk", "len")]
+    return s.select("seq_id", evidence.verdict(*args).alias("verdict"), evidence.verdict(*args, ood=F.col("ood")).alias("dual"))
+
+
+CODON_REC = codon_sql("seq_id", "seqs") + ", used AS (SELECT seq_id, round(avg(abs(rscu - 1)), 4) AS bias FROM rscu GROUP BY ALL)"
+ENRICH = """km6 AS (SELECT seq_id, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 6)),
+cnt6 AS (SELECT seq_id, kmer, count(*) AS cnt FROM km6 GROUP BY ALL), tot6 AS (SELECT seq_id, count(*) AS total FROM km6 GROUP BY ALL),
+bgs AS (SELECT seq_id, substr(seq, 1, 50000) AS seq FROM seqs WHERE length(seq) >= 4 ORDER BY seq_id LIMIT 20),
+bk AS (SELECT substr(seq, i, 6) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS i FROM bgs WHERE length(seq) >= 6)),
+bg AS (SELECT kmer, count(*) AS bg FROM bk GROUP BY ALL), bt AS (SELECT count(*) AS bg_total FROM bk),
+enr AS (SELECT seq_id, max((cnt / total) / ((coalesce(bg, 0) + 1) / (bg_total + 4096))) AS fold FROM cnt6 JOIN tot6 USING (seq_id) LEFT JOIN bg USING (kmer) CROSS JOIN bt GROUP BY seq_id)"""
+LEVELS = """lv AS (SELECT sig.*, coalesce(cai, 0) AS cai, coalesce(bias, 0) AS bias, coalesce(fold, 0) AS max_fold,
+ CASE WHEN risk >= 80 THEN 'CRITICAL' WHEN risk >= 60 THEN 'HIGH' WHEN risk >= 35 THEN 'MODERATE' WHEN risk >= 15 THEN 'LOW' ELSE 'NEGATIVE' END AS ai,
+ CASE WHEN ood >= 75 THEN 'CRITICAL' WHEN ood >= 50 THEN 'HIGH' WHEN ood >= 35 THEN 'MODERATE' WHEN ood >= 20 THEN 'LOW' ELSE 'NEGATIVE' END AS ood_level,
+ CASE WHEN n_hits = 0 THEN 'NEGATIVE' WHEN n_hits >= 10 AND max_identity >= 95 THEN 'CRITICAL' WHEN n_hits >= 5 AND max_identity >= 90 THEN 'HIGH' WHEN n_hits >= 2 AND max_identity >= 85 THEN 'MODERATE' ELSE 'LOW' END AS blast,
+ CASE WHEN n_motifs > 0 THEN 'CRITICAL' WHEN fold >= 20 THEN 'HIGH' WHEN fold >= 10 THEN 'MODERATE' WHEN fold IS NOT NULL THEN 'LOW' ELSE 'NEGATIVE' END AS motifs,
+ CASE WHEN cai > 0.75 OR bias > 0.5 THEN 'HIGH' WHEN cai > 0.65 OR bias > 0.45 THEN 'MODERATE' WHEN cai > 0.55 OR bias > 0.3 THEN 'LOW' ELSE 'NEGATIVE' END AS codon,
+ CASE WHEN gc_percent < 30 OR gc_percent > 65 THEN 'MODERATE' WHEN gc_percent < 35 OR gc_percent > 60 THEN 'LOW' ELSE 'NEGATIVE' END AS gc
+ FROM sig LEFT JOIN cai USING (seq_id) LEFT JOIN used USING (seq_id) LEFT JOIN enr USING (seq_id))"""
+FULL = f"{SIGNALS}, {CODON_REC}, {ENRICH}, {LEVELS}"
+
+
+def leveled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """signals() with codon use and enrichment, and the strengths of the six signals."""
+    s = sequences(spark, sf_dir)
+    folded = motif.enriched_kmers(s, top=1).select("seq_id", "fold")
+    used = codon.codon_summary(s).select("seq_id", "cai", "bias", F.col("flag").alias("codon_flag"))
+    rows = signals(spark, sf_dir).join(used, "seq_id").join(folded, "seq_id", "left")
+    return rows, evidence.strengths(*(F.col(c) for c in ("risk", "ood", "n_hits", "max_identity", "n_motifs", "fold", "cai", "bias", "gc_percent")))
+
+
+@query(f"{FULL} SELECT seq_id, ai, ood_level AS ood, blast, motifs, codon, gc FROM lv")
+def signal_strengths(spark, sf_dir):
+    rows, s = leveled(spark, sf_dir)
+    return rows.select("seq_id", *(c.alias(n) for n, c in s.items()))
+
+
+@query(f"""{FULL} SELECT seq_id, concat_ws(',', CASE WHEN blast IN ('CRITICAL', 'HIGH') AND ai = 'NEGATIVE' THEN 'blast_ai' END, CASE WHEN ai IN ('CRITICAL', 'HIGH') AND ood_level IN ('NEGATIVE', 'LOW') THEN 'ai_ood' END, CASE WHEN ood_level IN ('CRITICAL', 'HIGH') AND ai IN ('NEGATIVE', 'LOW') THEN 'ood_ai' END, CASE WHEN codon IN ('HIGH', 'MODERATE') AND ai = 'NEGATIVE' THEN 'codon_ai' END, CASE WHEN len < 300 THEN 'short' END) AS conflicts,
+ concat_ws(',', CASE WHEN (ai IN ('CRITICAL', 'HIGH'))::INT + (ood_level IN ('CRITICAL', 'HIGH'))::INT + (blast IN ('CRITICAL', 'HIGH'))::INT + (motifs IN ('CRITICAL', 'HIGH'))::INT + (codon IN ('CRITICAL', 'HIGH'))::INT >= 3 THEN 'strong' END, CASE WHEN ai IN ('CRITICAL', 'HIGH') AND ood_level IN ('CRITICAL', 'HIGH') THEN 'ai_ood' END, CASE WHEN blast IN ('CRITICAL', 'HIGH') AND motifs IN ('CRITICAL', 'HIGH') THEN 'blast_motif' END) AS convergence,
+ CASE WHEN ood >= 75 THEN 'Anomalous' WHEN ood >= 50 THEN 'Elevated' WHEN ood >= 35 THEN 'Borderline' ELSE 'Normal' END AS ood_text FROM lv""")
+def conflicts(spark, sf_dir):
+    rows, s = leveled(spark, sf_dir)
+    return rows.select("seq_id", F.concat_ws(",", evidence.conflicts(s, F.col("len"))).alias("conflicts"), F.concat_ws(",", evidence.convergence(s)).alias("convergence"), evidence.ood_level(F.col("ood")).alias("ood_text"))
+
+
+@query(f"""{SIGNALS}, {CODON_REC}, e AS (SELECT seq_id, n_hits, n_motifs, risk / 100 AS kmer, ood / 100 AS ood, CASE WHEN n_hits > 0 THEN 1.0 ELSE 0 END::DOUBLE AS blast, least(1, n_motifs / 3)::DOUBLE AS motif, CASE WHEN coalesce(cai, 0) > 0.65 OR coalesce(bias, 0) > 0.45 THEN 1 ELSE 0 END::DOUBLE AS codon FROM sig LEFT JOIN cai USING (seq_id) LEFT JOIN used USING (seq_id))
+SELECT seq_id, round(CASE WHEN blast >= 1 OR motif > 0 THEN 1 ELSE kmer END, 9) AS cascade, round(round(0.60::DOUBLE * kmer + 0.2667::DOUBLE * least(n_hits / 10, 1), 9) + 1e-10, 4) AS benchmark, round(0.45::DOUBLE * kmer + 0.25::DOUBLE * ood + 0.15::DOUBLE * blast + 0.10::DOUBLE * motif + 0.05::DOUBLE * codon, 9) AS convex FROM e""", digits=9)
+def fused_score(spark, sf_dir):
+    used = codon.codon_summary(sequences(spark, sf_dir)).select("seq_id", F.col("flag").alias("codon_flag"))
+    rows = signals(spark, sf_dir).join(used, "seq_id")
+    e = evidence.engine_scores(*(F.col(c) for c in ("risk", "ood", "n_hits", "n_motifs", "codon_flag")))
+    return rows.select("seq_id", evidence.fused_cascade(e["kmer"], e["blast"], e["motif"]).alias("cascade"), evidence.fused_benchmark(e["kmer"], F.col("n_hits")).alias("benchmark"), evidence.fused_convex(e, evidence.WEIGHTS).alias("convex"))
+
+
+ABL = f"""{SIGNALS}, {LABELS}, lb AS (SELECT sig.*, CASE WHEN label <> 0 THEN 1 ELSE 0 END AS y, risk / 100 AS ai, ood / 100 AS od, n_hits > 0 AS hit, n_motifs > 0 AS motif FROM sig JOIN lab USING (seq_id)),
+pts AS (SELECT 'full' AS score, y, CASE WHEN motif THEN greatest(CASE WHEN hit THEN greatest(ai, 0.95::DOUBLE) ELSE ai END, 0.85::DOUBLE) ELSE CASE WHEN hit THEN greatest(ai, 0.95::DOUBLE) ELSE ai END END AS x FROM lb
+ UNION ALL SELECT 'no_ai', y, CASE WHEN hit OR motif THEN greatest(od, 0.85::DOUBLE) ELSE od END FROM lb UNION ALL SELECT 'no_ood', y, CASE WHEN hit THEN greatest(ai, 0.95::DOUBLE) ELSE ai END FROM lb
+ UNION ALL SELECT 'no_blast_motif', y, (ai + od) / 2 FROM lb UNION ALL SELECT 'ai_only', y, ai FROM lb UNION ALL SELECT 'ood_only', y, od FROM lb UNION ALL SELECT 'random', y, (seq_id * 2654435761 + 42) % 1000003 / 1000003 FROM lb)"""
+
+
+@query(f"""{ABL}, {CUM}, {AUC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score),
+sw AS (SELECT score, sum(CASE WHEN y = 1 AND x >= 0.6::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN y = 0 AND x >= 0.6::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN y = 1 AND x < 0.6::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN y = 0 AND x < 0.6::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS tn FROM pts GROUP BY score),
+rt AS (SELECT *, tp / greatest(tp + fn, 1) AS tpr, fp / greatest(fp + tn, 1) AS fpr, tp / greatest(tp + fp, 1) AS precision FROM sw), fs AS (SELECT *, 2 * precision * tpr / greatest(precision + tpr, 1e-9) AS f1 FROM rt)
+SELECT score AS config, round(auroc, 6) AS auroc, CASE WHEN score = 'full' THEN 0 ELSE round((SELECT auroc FROM a WHERE score = 'full') - auroc, 6) END AS drop, tp, fp, fn, tn, {SIX} FROM fs JOIN a USING (score)""")
+def ablation_table(spark, sf_dir):
+    rows = signals(spark, sf_dir).join(labels(spark, sf_dir), "seq_id")
+    rows = rows.select("seq_id", (F.col("label") != 0).cast("int").alias("y"), "risk", "ood", (F.col("n_hits") > 0).alias("hit"), (F.col("n_motifs") > 0).alias("motif"))
+    return evidence.ablation_table(evidence.ablation_scores(rows, "seq_id"))
+
+
+@query(f"{SIGNALS}, {LABELS} SELECT seq_id, round(max_identity, 6) AS identity, ood, CASE WHEN ood > 50 THEN 1 ELSE 0 END::BIGINT AS label, max_identity BETWEEN 0 AND 30 AND ood BETWEEN 50 AND 100 AS in_zone, ood >= 5 AS novel_screen, ood >= 50 AS novel_eval FROM sig")
+def signal_gap(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    zone = F.col("max_identity").between(0, 30) & F.col("ood").between(50, 100)
+    return s.select("seq_id", F.col("max_identity").alias("identity"), "ood", (F.col("ood") > 50).cast("int").alias("label"), zone.alias("in_zone"), (F.col("ood") >= 5).alias("novel_screen"), (F.col("ood") >= 50).alias("novel_eval"))
+
+
+GRID = ", ".join(f"({g}, {a / 5}::DOUBLE, {b / 5}::DOUBLE, {(5 - a - b) / 5}::DOUBLE)" for g, (a, b) in enumerate((a, b) for a in range(6) for b in range(6 - a)))
+GRID_SQL = f"""{ABL.split('pts AS')[0]} grid(score, w_ai, w_od, w_motif) AS (VALUES {GRID}), pts AS (SELECT score, y, round(0 + w_ai * ai + w_od * od + w_motif * least(1, n_motifs / 3), 9) AS x FROM lb CROSS JOIN grid), {CUM}, {AUC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score)"""
+
+
+def engines(spark, sf_dir):
+    rows = signals(spark, sf_dir).join(labels(spark, sf_dir), "seq_id")
+    return rows.select((F.col("label") != 0).cast("int").alias("y"), (F.col("risk") / 100).alias("ai"), (F.col("ood") / 100).alias("od"), F.least(F.lit(1.0), F.col("n_motifs") / F.lit(3.0)).alias("motif"))
+
+
+@query(f"{GRID_SQL} SELECT score::BIGINT AS grid, w_ai, w_od, w_motif, round(auroc, 6) AS auroc FROM a JOIN grid USING (score)")
+def fusion_grid(spark, sf_dir):
+    return evidence.fusion_grid(engines(spark, sf_dir), ["ai", "od", "motif"])
+
+
+@query(f"{GRID_SQL} SELECT score::BIGINT AS grid, w_ai, w_od, w_motif, round(auroc, 6) AS auroc FROM a JOIN grid USING (score) ORDER BY a.auroc DESC, score LIMIT 1")
+def fusion_best(spark, sf_dir):
+    return evidence.best_weights(evidence.fusion_grid(engines(spark, sf_dir), ["ai", "od", "motif"]))
+
+
+# token weights
+
+K46 = """k AS (SELECT unnest([4, 6]) AS k), tk AS (SELECT seq_id, idx, k, i, 'k' || k || '_' || substr(frag, i, k) AS token FROM (SELECT seq_id, idx, frag, k, unnest(range(1, length(frag) - k + 2)) AS i FROM frags CROSS JOIN k WHERE length(frag) >= k)),
+bi AS (SELECT seq_id, idx, token || ' ' || lead(token) OVER (PARTITION BY seq_id, idx ORDER BY k, i) AS token FROM tk),
+tc AS (SELECT seq_id, idx, token, count(*) AS tf FROM (SELECT seq_id, idx, token FROM tk UNION ALL SELECT * FROM bi WHERE token IS NOT NULL) GROUP BY ALL),
+vo AS (SELECT token, count(*) AS df, sum(tf)::BIGINT AS n FROM tc GROUP BY token HAVING count(*) >= 3 ORDER BY n DESC, token LIMIT 5000),
+rw AS (SELECT seq_id, idx, token, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM frags)) / (1 + df)) + 1) AS w FROM tc JOIN vo USING (token)),
+wt AS (SELECT seq_id, idx, token, w / sqrt(sum(w * w) OVER (PARTITION BY seq_id, idx)) AS weight FROM rw)"""
+
+
+def counted(spark, sf_dir):
+    frags = seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
+    return frags, features.term_counts(frags, ("seq_id", "idx"), (4, 6))
+
+
+@query(f"WITH {SEQS}, {FRAGS}, {K46} SELECT token, df FROM vo")
+def vocabulary(spark, sf_dir):
+    return features.vocabulary(counted(spark, sf_dir)[1], most=5000)
+
+
+def weighted(spark, sf_dir):
+    frags, tf = counted(spark, sf_dir)
+    return features.tfidf(tf, features.vocabulary(tf, most=5000), frags.count(), ("seq_id", "idx"))
+
+
+@query(f"WITH {SEQS}, {FRAGS}, {K46} SELECT seq_id, idx, token, round(weight, 6) AS weight FROM wt")
+def tfidf_weights(spark, sf_dir):
+    return weighted(spark, sf_dir)
+
+
+@query(f"WITH {SEQS}, {FRAGS}, {K46}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, idx ORDER BY round(weight, 9) DESC, token) AS rank FROM wt) SELECT seq_id, idx, rank, token, round(weight, 9) AS weight FROM r WHERE rank <= 5", digits=9)
+def top_tokens(spark, sf_dir):
+    return features.top_tokens(weighted(spark, sf_dir).withColumn("weight", F.round("weight", 9)), ("seq_id", "idx"))
+
+
+@query(f"""WITH {SEQS}, {FRAGS}, km AS (SELECT seq_id, idx, substr(frag, i, 4) AS kmer FROM (SELECT seq_id, idx, frag, unnest(range(1, length(frag) - 2)) AS i FROM frags)), c AS (SELECT seq_id, idx, kmer, count(*) AS c FROM km WHERE kmer NOT LIKE '%N%' GROUP BY ALL),
+f AS (SELECT seq_id, idx, kmer, c / sum(c) OVER (PARTITION BY seq_id, idx) AS freq FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, idx ORDER BY abs(freq - 0.00390625) DESC, kmer) AS rank FROM f)
+SELECT seq_id, idx, kmer, rank, round(abs(freq - 0.00390625), 6) AS dev FROM r WHERE rank <= 5""")
+def top_dimensions(spark, sf_dir):
+    v = seq.kmer_vectors(seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq")), ("seq_id", "idx"))
+    return features.anomalous_dimensions(v, ("seq_id", "idx")).select("seq_id", "idx", "kmer", "rank", "dev")
+
+
+@query(f"{BASE} SELECT seq_id, round((gc - (SELECT avg(gc) FROM scored WHERE seq_id % 5 <> 0)) / (SELECT stddev_pop(gc) FROM scored WHERE seq_id % 5 <> 0), 6) AS gc, round((ns - (SELECT avg(ns) FROM scored WHERE seq_id % 5 <> 0)) / (SELECT stddev_pop(ns) FROM scored WHERE seq_id % 5 <> 0), 6) AS ns FROM scored")
+def scaled_features(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return features.scaled(s.select("seq_id", "gc", "ns"), ["gc", "ns"], s.filter("seq_id % 5 <> 0"))
+
+
+@query(f"""{BASE}, ct AS (SELECT y, ns AS x, count(*) AS c FROM scored GROUP BY ALL), rg AS (SELECT *, sum(c) OVER (PARTITION BY y ORDER BY x) AS t FROM ct),
+rw AS (SELECT y, x, unnest(range((t - c)::BIGINT, t::BIGINT)) AS no FROM rg), sz AS (SELECT y, sum(c)::BIGINT AS size FROM ct GROUP BY y),
+dr AS (SELECT b, r.y, ((b * 7919 + r.no * 104729 + r.y * 31 + 42) * 2654435761 % 1000003) % size AS no FROM rw r JOIN sz USING (y) CROSS JOIN range(0, 200) g(b)),
+pts AS (SELECT b AS score, y, x FROM dr JOIN rw USING (y, no)), {CUM}, {ROC}, st AS (SELECT score, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc), ap AS (SELECT score, sum(s) AS ap FROM st GROUP BY score)
+SELECT round(quantile_cont(ap, 0.025), 6) AS ap_lo, round(quantile_cont(ap, 0.975), 6) AS ap_hi, count(*) AS n FROM ap""")
+def bootstrap_ap(spark, sf_dir):
+    return stats.bootstrap_ap(scored(spark, sf_dir).select("y", F.col("ns").alias("x")))
+
+
+# models: no SQL; tests hold them against what they must find
+
+
+def fragment_vectors(spark, sf_dir):
+    return anomaly.vector_table(seq.whole_fragments(sequences(spark, sf_dir).select("seq_id", "seq")))
+
+
+def envelope(spark, sf_dir) -> tuple[DataFrame, anomaly.Forest]:
+    """Vectors of all fragments, and a forest fitted on those of records labelled 0."""
+    vectors = fragment_vectors(spark, sf_dir)
+    natural = labels(spark, sf_dir).filter("label = 0").select("seq_id")
+    return vectors, anomaly.fit_forest(vectors.join(natural, "seq_id", "left_semi"), trees=100)
+
+
+@query()
+def iforest_scores(spark, sf_dir):
+    vectors, forest = envelope(spark, sf_dir)
+    return anomaly.record_scores(anomaly.raw_scores(vectors, forest))
+
+
+@query()
+def ood_calibrated(spark, sf_dir):
+    """Calibrated score, flag and Platt probability of every record, by the anchors of classes 0 and 2."""
+    vectors, forest = envelope(spark, sf_dir)
+    raw = anomaly.record_scores(anomaly.raw_scores(vectors, forest))
+    known = raw.join(labels(spark, sf_dir), "seq_id")
+    cal = anomaly.anchors(known.filter("label = 0"), known.filter("label = 2"))
+    score = anomaly.calibrated(*(F.col(c) for c in ("raw", "mean", "std", "high", "direction")))
+    out = sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")).join(raw, "seq_id", "left").crossJoin(F.broadcast(cal)).withColumn("score", F.when(F.col("raw").isNotNull(), score))
+    return out.select("seq_id", "raw", "score", anomaly.ood_flag(F.col("len"), F.col("score")).alias("flag"))
+
+
+@query()
+def ood_platt(spark, sf_dir):
+    """P(class 2 rather than 0) by a logistic regression on the raw score."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vectors, forest = envelope(spark, sf_dir)
+    raw = anomaly.record_scores(anomaly.raw_scores(vectors, forest))
+    known = raw.join(labels(spark, sf_dir), "seq_id").filter("label <> 1").withColumn("y", (F.col("label") == 2).cast("double"))
+    model = anomaly.platt(known)
+    return model.transform(raw.withColumn("_f", array_to_vector(F.array("raw")))).select("seq_id", vector_to_array("_p")[1].alias("p"))
+
+
+def training(spark, sf_dir):
+    return classify.training_fragments(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id"))
+
+
+@query()
+def cv_predictions(spark, sf_dir):
+    return classify.cross_validate(training(spark, sf_dir))
+
+
+@query()
+def cv_auroc(spark, sf_dir):
+    return classify.fold_scores(classify.cross_validate(training(spark, sf_dir)))
+
+
+def classified(spark, sf_dir):
+    """p0..p2 of all records by a random forest on the labelled ones."""
+    model = classify.fit_forest(training(spark, sf_dir), trees=20)
+    seqs = sequences(spark, sf_dir)
+    scored_ = classify.fragment_probabilities(model, classify.training_fragments(seqs.select("seq_id", "seq")))
+    return classify.record_probabilities(scored_, seqs.select("seq_id", F.length("seq").alias("len")))
+
+
+@query()
+def screen_risk(spark, sf_dir):
+    p = F.array("p0", "p1", "p2")
+    kind = F.when(F.col("len") < 50, "short").otherwise("standard")
+    return classified(spark, sf_dir).select("seq_id", "p0", "p1", "p2", T.risk(p, F.col("len")).alias("risk"), T.typed_risk(p, kind)["risk"].alias("typed_risk"), T.argmax(p).alias("class"), T.majority(p).alias("majority"))
+
+
+@query()
+def isotonic_calibrated(spark, sf_dir):
+    """Out-of-fold probabilities, calibrated on two thirds of the records and applied to the others."""
+    oof = classify.cross_validate(training(spark, sf_dir))
+    return classify.isotonic(oof.filter("seq_id % 3 <> 0"), oof.filter("seq_id % 3 = 0"))
+
+
+@query()
+def window_sweep(spark, sf_dir):
+    return classify.window_sweep(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id"), [250, 500])
+
+
+@query()
+def risk_track(spark, sf_dir):
+    model = classify.fit_logistic(training(spark, sf_dir), 256, 30)
+    return classify.risk_track(sequences(spark, sf_dir).select("seq_id", "seq"), model)
+
+
+@query()
+def smote_rows(spark, sf_dir):
+    return features.smote(scored(spark, sf_dir), "seq_id", "label", ["gc", "ns"])
+
+
+@query()
+def metrics_table(spark, sf_dir):
+    """Report, AUROC with DeLong's interval and average precision by class, from out-of-fold predictions."""
+    oof = classify.cross_validate(training(spark, sf_dir)).persist()
+    report = metrics.class_report(oof.select(F.col("label").alias("y"), T.argmax(F.array("p0", "p1", "p2")).alias("p")), classify.CLASSES)
+    each = metrics.one_vs_rest(oof, classify.CLASSES, {c: f"p{c}" for c in classify.CLASSES})
+    ci = metrics.delong(each, ("class",)).select(F.col("class").cast("string").alias("class"), "auroc", "lo", "hi")
+    ap = metrics.average_precision(each, ("class",)).select(F.col("class").cast("string").alias("class"), F.col("ap").alias("auprc"))
+    return report.join(ci, "class", "left").join(ap, "class", "left")
+
+
+@query()
+def screen(spark, sf_dir):
+    """The screening table: one row per record with scores, verdict, strengths and evidence."""
+    rows, strength = leveled(spark, sf_dir)
+    p = classified(spark, sf_dir).select("seq_id", T.risk(F.array("p0", "p1", "p2"), F.col("len")).alias("risk"))
+    vectors, forest = envelope(spark, sf_dir)
+    raw = anomaly.record_scores(anomaly.raw_scores(vectors, forest))
+    cal = anomaly.anchors(raw)
+    ood = raw.crossJoin(F.broadcast(cal)).select("seq_id", anomaly.calibrated(*(F.col(c) for c in ("raw", "mean", "std", "high", "direction"))).alias("ood"))
+    out = rows.drop("risk", "ood").join(p, "seq_id").join(ood, "seq_id", "left").withColumn("ood", F.coalesce("ood", F.lit(0.0)))
+    e = evidence.engine_scores(*(F.col(c) for c in ("risk", "ood", "n_hits", "n_motifs", "codon_flag")))
+    fused = evidence.fused_cascade(e["kmer"], e["blast"], e["motif"])
+    na = F.lit("n/a")
+    text = evidence.evidence_text(F.col("seq_id"), e, fused, na, na, F.coalesce(F.col("top_subject").cast("string"), F.lit("none")), F.concat(F.col("n_motifs").cast("string"), F.lit(" known")), F.col("bias"))
+    return out.select("seq_id", "len", "gc_percent", "risk", "ood", "n_hits", "max_identity", "n_motifs", "cai", "bias", fused.alias("fused"), evidence.verdict(*(F.col(c) for c in ("n_hits", "n_motifs", "risk", "len"))).alias("verdict"), strength["ai"].alias("ai"), F.concat_ws(",", evidence.conflicts(strength, F.col("len"))).alias("conflicts"), text.alias("evidence"))
+
+
+@query(f"{SIGNALS}, {LABELS} SELECT seq_id, CASE label WHEN 0 THEN 'NATURAL' WHEN 1 THEN 'VECTOR' WHEN 2 THEN 'SYNTHETIC' ELSE 'UNKNOWN' END AS true_label, CASE lang WHEN 'en' THEN 'EASY' WHEN 'de' THEN 'HARD' ELSE 'UNKNOWN' END AS difficulty, risk, ood, n_hits, round(round(0.60::DOUBLE * (risk / 100) + 0.2667::DOUBLE * least(n_hits / 10, 1), 9) + 1e-10, 4) AS fused, {VERDICT.format('', '')} AS verdict, len, gc_percent FROM sig JOIN seqs USING (seq_id) LEFT JOIN lab USING (seq_id)")
+def benchmark_result(spark, sf_dir):
+    """Verdicts beside the labels and levels that are parsed from the records' headers."""
+    name = F.coalesce(F.when(F.col("label") == 0, "NATURAL"), F.when(F.col("label") == 1, "VECTOR"), F.when(F.col("label") == 2, "SYNTHETIC"), F.lit("OTHER"))
+    level = F.when(F.col("lang") == "en", "EASY").when(F.col("lang") == "de", "HARD").otherwise("NONE")
+    heads = sequences(spark, sf_dir).join(labels(spark, sf_dir), "seq_id", "left").select("seq_id", F.concat(F.lit("rec SRC="), name, F.lit(" "), level).alias("header"))
+    known = ("NATURAL", "VECTOR", "SYNTHETIC")
+    meta = heads.select("seq_id", T.header_label(F.col("header"), F.lit("rec"), known).alias("true_label"), T.header_level(F.col("header"), F.lit("rec")).alias("difficulty"))
+    s = signals(spark, sf_dir).join(meta, "seq_id")
+    return s.select("seq_id", "true_label", "difficulty", "risk", "ood", "n_hits", evidence.fused_benchmark(F.col("risk") / 100, F.col("n_hits")).alias("fused"), evidence.verdict(*(F.col(c) for c in ("n_hits", "n_motifs", "risk", "len"))).alias("verdict"), "len", "gc_percent")
