@@ -34,7 +34,7 @@ NESTED = NEVER | frozenset("header article main section div ul ol dl table a".sp
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted related reply replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Classes of words; weights where no page is labelled.
 PLAIN, LINKED, OUTSIDE, TAG = "word", "word:link", "word:boilerplate", "tag:"
-DEFAULT = {PLAIN: 1.0, LINKED: -1.0, OUTSIDE: -4.0, TAG: -1.0}
+DEFAULT = {PLAIN: 1.0, LINKED: -0.5, OUTSIDE: -0.5, TAG: -0.2}
 
 
 def _marked(name: str, attributes: str, in_content: bool) -> bool:
@@ -114,7 +114,8 @@ def learn_weights(pages: DataFrame, most: int = 2000) -> dict[str, float]:
     """Weights from at most about most pages with exactly one article or main element (picked by a hash of their html).
 
     The weight of a class is the logarithm of its share inside the content over its share outside, within 8 of zero;
-    plain words are at least 0.1, tags at most -0.1, and words in boilerplate at most -1.
+    plain words are at least 0.1 and tags at most -0.1. Words in boilerplate lie between -1 and -0.1: they are left out of
+    the text in any case, and an advert must not part an article.
     """
     opened = lambda t: F.size(F.split(F.lower("html"), f"<{t}[\\s>]")) - 1
     marked = pages.filter(F.col("html").isNotNull()).filter(opened("article") + opened("main") == 1)
@@ -143,7 +144,7 @@ def learn_weights(pages: DataFrame, most: int = 2000) -> dict[str, float]:
     for r in found:
         w = float(np.clip(np.log((r["inside"] + 1) / total_in) - np.log((r["outside"] + 1) / total_out), -8, 8))
         kind = r["class"]
-        weights[kind] = max(w, 0.1) if kind == PLAIN else min(w, -0.1) if kind.startswith(TAG) else min(w, -1.0) if kind == OUTSIDE else w
+        weights[kind] = max(w, 0.1) if kind == PLAIN else min(w, -0.1) if kind.startswith(TAG) else float(np.clip(w, -1.0, -0.1)) if kind == OUTSIDE else w
     return weights
 
 

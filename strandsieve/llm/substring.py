@@ -229,8 +229,8 @@ def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int
     """docs with the repeated words taken out: texts that lose words are their other words, joined by one space; all
     others stay as they are. n_chars follows the text."""
     spans = repeated_spans(docs, window, run, part)
-    ids = docs.withColumns({"_d": id_or_last("doc_id"), "_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    rows = ids.join(spans.withColumnsRenamed({"d": "_d", "key": "_key", "spans": "_spans"}), ["_d", "_key"], "left")
+    ids = docs.withColumns({"_sub_d": id_or_last("doc_id"), "_sub_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    rows = ids.join(spans.withColumnsRenamed({"d": "_sub_d", "key": "_sub_key", "spans": "_sub_spans"}), ["_sub_d", "_sub_key"], "left")
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -238,7 +238,7 @@ def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int
 
         return pd.Series([t if s is None else b" ".join(_kept(t.encode(), s)[1]).decode() for t, s in zip(text, spans, strict=True)])
 
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
+    rows = rows.withColumn("text", F.when(F.col("_sub_spans").isNull(), F.col("text")).otherwise(cut("text", "_sub_spans")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_sub_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*docs.columns)

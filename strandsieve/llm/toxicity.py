@@ -226,17 +226,19 @@ def learn_lexicon(rows: DataFrame, most: int = 4096, candidates: int = 50_000, e
 
     good = {t: n for t, n in found.items() if strength(t, n) >= evidence}
     # weaker terms must hold where the strong ones don't explain the label, or near copies of a text would teach its words
-    strong = frozenset(t for t, n in good.items() if strength(t, n) >= 5 * evidence)
+    strong = frozenset(t for t, n in good.items() if strength(t, n) >= 3 * evidence)
     if strong and len(strong) < len(good):
         left = {r["term"]: r["n"] for r in _counted(toxic, frozenset(good) - strong, strong).collect()}
         good = {t: n for t, n in good.items() if t in strong or strength(t, left.get(t, 0) or 1) >= evidence}
     stems: list[str] = []
-    # a stem stands for all longer terms, unless a single whole word makes nearly all of it
     for t in sorted((t[:-1] for t in good if t[-1] == "*"), key=len):
-        if any(t[:k] + "*" in good and t[:k] in stems for k in STEMS if k < len(t)):
+        if any(t.startswith(s) or s.startswith(t) for s in stems):
             continue
-        words = [w for w in good if w[-1] != "*" and w.startswith(t)]
-        if max((good[w] for w in words), default=0) < 0.9 * good[t + "*"]:
+        # the longest stem that nearly as many texts hold
+        longer = [u[:-1] for u in good if u[-1] == "*" and u.startswith(t) and good[u] >= 0.98 * good[t + "*"]]
+        t = max(longer, key=lambda u: (len(u), u))
+        # unless a single whole word makes nearly all of it
+        if max((good[w] for w in good if w[-1] != "*" and w.startswith(t)), default=0) < 0.9 * good[t + "*"]:
             stems.append(t)
     known = set(stems)
     words = [w for w in good if w[-1] != "*" and not any(w[:k] in known for k in STEMS)]
