@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands in for a null id where rows must be ordered: such rows come last.
@@ -16,6 +16,7 @@ NO_ID = 2**63 - 1
 
 _HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_made: dict[str, list[str]] = {}
 _own_folders: dict[str, str] = {}
 
 
@@ -35,7 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what scratch() has named in this application so far; for when all results made from it are written."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +55,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_by_keys(df: DataFrame, key: Column, keys: Column, among: DataFrame, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be among the keys, rows whose key surely isn't), so that only the first are joined.
+
+    The keys' hashes set bits of a map of fixed size: at most bits / 8 bytes are broadcast, however many keys there are.
+    A null key surely isn't.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = among.filter(keys.isNotNull()).select(at(keys).alias("_m")).distinct()
+    maps = marks.groupBy(F.floor(F.col("_m") / 32768).alias("_bucket")).agg(F.bitmap_construct_agg(F.pmod(F.col("_m"), F.lit(32768)).cast("int")).alias("_bits"))
+    seen = df.withColumn("_m", F.when(key.isNotNull(), at(key))).withColumn("_bucket", F.floor(F.col("_m") / 32768)).join(F.broadcast(maps), "_bucket", "left")
+    place = F.pmod(F.col("_m"), F.lit(32768))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.bit_get(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    seen = seen.withColumn("_hit", hit)
+    return seen.filter("_hit").select(*df.columns), seen.filter("NOT _hit").select(*df.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the Arrow batches that go to Python, as single texts may be very long; and let workers find this package."""
     path = spark.sparkContext.environment.get("PYTHONPATH", "")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pa_schema, small_batches, staged
+from .common import map_batches, pa_schema, small_batches, split_by_keys, staged
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code.
@@ -327,7 +327,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
 
         return f
 
-    known = staged(map_batches(docs.select("doc", F.col("text").cast("binary").alias("text")).join(wanted, "doc", "left_semi"), sets, "doc long, set binary"), "shingle-sets")
+    near = split_by_keys(docs.select("doc", F.col("text").cast("binary").alias("text")), F.col("doc"), F.col("doc"), wanted)[0]
+    known = staged(map_batches(near.join(wanted, "doc", "left_semi"), sets, "doc long, set binary"), "shingle-sets")
     both = pairs.join(known.select(F.col("doc").alias("x"), F.col("set").alias("u")), "x").join(known.select(F.col("doc").alias("y"), F.col("set").alias("v")), "y")
 
     def verify():
@@ -360,4 +361,6 @@ def keep_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataF
     ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     links = similar_links(ids, words, similarity)
     gone = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    gone = staged(gone, "near-gone")
+    may, rest = split_by_keys(docs, F.col("doc_id").cast("long"), F.col("_gone"), gone)
+    return rest.unionByName(may.join(gone, may["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_last, map_batches, pa_schema, small_batches, staged
+from .common import id_or_last, map_batches, pa_schema, small_batches, split_by_keys, staged
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -228,8 +228,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 12, part: int
 def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int = 2000) -> DataFrame:
     """docs with the repeated words taken out: texts that lose words are their other words, joined by one space; all
     others stay as they are. n_chars follows the text."""
-    spans = repeated_spans(docs, window, run, part)
+    spans = staged(repeated_spans(docs, window, run, part), "spans")
     ids = docs.withColumns({"_sub_d": id_or_last("doc_id"), "_sub_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    ids, whole = split_by_keys(ids, F.col("_sub_key"), F.col("key"), spans)
     rows = ids.join(spans.withColumnsRenamed({"d": "_sub_d", "key": "_sub_key", "spans": "_sub_spans"}), ["_sub_d", "_sub_key"], "left")
 
     @F.pandas_udf("string")
@@ -241,4 +242,4 @@ def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int
     rows = rows.withColumn("text", F.when(F.col("_sub_spans").isNull(), F.col("text")).otherwise(cut("text", "_sub_spans")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_sub_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+    return rows.select(*docs.columns).unionByName(whole.select(*docs.columns))
