@@ -85,7 +85,7 @@ def smote(df: DataFrame, key: str, label: str, cols: list[str], k: int = 3, buck
     ranked = ranked.withColumn("_near", F.array_compact(near))
     copies = F.floor((F.col("need") - F.col("_r")) / F.col("c")) + 1
     out = ranked.filter(F.col("_r") <= F.col("need")).withColumn("_j", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
-    u = F.pmod((F.col(key) * 31 + F.col("_j")) * 2654435761 + seed, F.lit(1_000_003))
+    u = mixed(F.col(key) * 31 + F.col("_j"), seed)
     out = out.withColumns({"_t": u / 1_000_003, "_o": F.when(F.size("_near") > 0, F.get("_near", F.pmod(u, F.greatest(F.size("_near"), F.lit(1))).cast("int")))})
     made = out.select((-F.col(key) * 1000 - F.col("_j") - 1).alias(key), label, *((F.col(c) + F.col("_t") * (F.coalesce(F.col(f"_o.{c}"), F.col(c)) - F.col(c))).alias(c) for c in cols))
     return df.select(key, label, *cols).unionByName(made)

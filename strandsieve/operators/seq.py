@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import mixed
 
 #: Windows that are cut from one block of a sequence. A sequence is cut into blocks first, so that no window is looked
 #: for from the beginning of a long sequence.
@@ -116,7 +117,7 @@ def sampled_fragments(df: DataFrame, n: int, seed: int = 42, least: int = 20, mo
     """
     usable = df.filter(F.length("seq") >= least).select("seq_id", "seq")
     # a number for each record: its rank among the records of its own hash value, after those of lower ones
-    hashed = usable.select("seq_id", F.pmod(F.col("seq_id") * 2654435761 + seed, F.lit(1_000_003)).alias("_h"))
+    hashed = usable.select("seq_id", mixed("seq_id", seed).alias("_h"))
     sizes = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
     base = sizes.select("_h", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("_h").orderBy("seq_id")) - 1
@@ -124,7 +125,7 @@ def sampled_fragments(df: DataFrame, n: int, seed: int = 42, least: int = 20, mo
     total = usable.count()
     if not total:
         return df.sparkSession.createDataFrame([], "frag_id string, seq_id long, frag string")
-    draw = lambda salt: F.pmod(F.col("id") * 2654435761 + seed + salt, F.lit(1_000_003))
+    draw = lambda salt: mixed("id", seed + salt)
     draws = df.sparkSession.range(n).select("id", F.pmod(draw(0) * 7919 + F.col("id"), F.lit(total)).alias("no"), draw(11).alias("u"), draw(29).alias("v"))
     got = draws.join(numbered, "no").join(usable, "seq_id")
     size = (least + F.pmod(F.col("u"), F.least(F.lit(most), F.length("seq")) - least + 1)).cast("int")
