@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+_HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver. Python workers learn where this package is, wherever the driver was started."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _HERE not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, _HERE) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
