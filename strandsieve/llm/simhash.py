@@ -279,11 +279,12 @@ def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, block: in
 
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
     """Links (x, y) between documents (doc, text) whose sets of word shingles have a Jaccard similarity of at least
-    similarity, enough of them to connect what they connect.
+    similarity: they connect all that candidate pairs of that similarity connect.
 
     Two independent 64-bit fingerprints of the set of shingles each give Golay keys; in a bucket all 128 bits count. They
     differ in a share of acos(2j / (1 + j)) / pi of the bits for a similarity j; twice the spread is allowed on top.
-    The edges of each bucket's minimum spanning tree are then verified on the whole texts.
+    Candidates are the pairs of a bucket within that limit. The edges of each bucket's minimum spanning tree are verified
+    on the whole texts first; where edges fail, all candidates between the components that are left are verified as well.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = int(128 * p + 2 * np.sqrt(128 * p * (1 - p)))
@@ -294,31 +295,109 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
             both = []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t or b"", words))
-                both.append((simhash(h), simhash(_other(h)), len(h)))
-            fp = np.array([x[:2] for x in both], np.uint64).reshape(-1, 2).view(np.int64)
-            return {"doc": b.column(0), "f": fp[:, 0], "g": fp[:, 1], "n": [x[2] for x in both]}
+                both.append((simhash(h), simhash(_other(h)), xxhash.xxh64_intdigest(h.tobytes()), len(h)))
+            fp = np.array([x[:3] for x in both], np.uint64).reshape(-1, 3).view(np.int64)
+            return {"doc": b.column(0), "f": fp[:, 0], "g": fp[:, 1], "h": fp[:, 2], "n": [x[3] for x in both]}
 
         return f
 
-    own = staged(map_batches(docs.select("doc", F.col("text").cast("binary")), prints, "doc long, f long, g long, n long"), "fingerprints").filter("n > 0")
-    least = staged(own.groupBy("f", "g").agg(F.min("doc").alias("doc")), "distinct-fingerprints")
+    own = staged(map_batches(docs.select("doc", F.col("text").cast("binary")), prints, "doc long, f long, g long, h long, n long"), "fingerprints").filter("n > 0")
+    sets_ = staged(own.groupBy("f", "g", "h", "n").agg(F.min("doc").alias("doc")), "distinct-sets")
+    least = staged(sets_.groupBy("f", "g").agg(F.min("doc").alias("doc")), "distinct-fingerprints")
+
+    edges = _bucket_edges(_golay_keys(least.select("f", "g")).withColumnsRenamed({"f": "fp", "g": "fp1"}), bits, block, 2).distinct()
+    for side, f, g in (("x", "a", "a1"), ("y", "b", "b1")):
+        edges = edges.join(least.select(F.col("f").alias(f), F.col("g").alias(g), F.col("doc").alias(side)), [f, g])
+    alike = own.join(sets_.withColumnRenamed("doc", "x"), ["f", "g", "h", "n"]).filter("doc <> x").select("x", F.col("doc").alias("y"))
+    same = sets_.join(least.withColumnRenamed("doc", "x"), ["f", "g"]).filter("doc <> x").select("x", F.col("doc").alias("y"))
+    pairs = staged(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionAll(same).unionAll(alike).distinct(), "pairs")
+    first = staged(_verified(docs, pairs, words, similarity), "links")
+
+    # failed edges between components: only what such components hold can have links that haven't been tried
+    failed = pairs.join(first, ["x", "y"], "left_anti")
+    if failed.isEmpty():
+        return first
+    root = staged(connected_components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))), "verified")
+    for side in ("x", "y"):
+        failed = failed.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    open_ = failed.filter("rx <> ry").select(F.explode(F.array("rx", "ry")).alias("root")).distinct()
+    nodes = sets_.join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(open_, "root", "left_semi")
+    more = _crossing_pairs(staged(nodes, "open"), bits, similarity, min(block, 1024)).join(pairs, ["x", "y"], "left_anti")
+    return first.unionAll(_verified(docs, staged(more, "pairs"), words, similarity))
+
+
+def _golay_keys(rows: DataFrame) -> DataFrame:
+    """The rows (f, g, ...: longs) with each key of each of the two fingerprints: key, f, g, ..."""
+    names = rows.columns
 
     def keys():
         def f(b: pa.RecordBatch) -> dict:
-            fg = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
-            out = [bucket_keys(np.ascontiguousarray(fg[:, k]).view(np.uint64)) for k in range(2)]
+            held = np.stack([c.to_numpy() for c in b.columns], axis=1)
+            out = [bucket_keys(np.ascontiguousarray(held[:, k]).view(np.uint64)) for k in range(2)]
             row = np.concatenate([r for r, _ in out])
-            return {"key": np.concatenate([key | k << 26 for k, (_, key) in enumerate(out)]), "fp": fg[row, 0], "fp1": fg[row, 1]}
+            return {"key": np.concatenate([key | k << 26 for k, (_, key) in enumerate(out)])} | {c: held[row, i] for i, c in enumerate(names)}
 
         return f
 
-    edges = _bucket_edges(map_batches(least.select("f", "g"), keys, "key long, fp long, fp1 long"), bits, block, 2).distinct()
-    for side, f, g in (("x", "a", "a1"), ("y", "b", "b1")):
-        edges = edges.join(least.select(F.col("f").alias(f), F.col("g").alias(g), F.col("doc").alias(side)), [f, g])
-    same = own.join(least.withColumnRenamed("doc", "x"), ["f", "g"]).filter("doc <> x").select("x", F.col("doc").alias("y"))
-    pairs = staged(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionAll(same).distinct(), "pairs")
+    return map_batches(rows, keys, ", ".join(f"{c} long" for c in ("key", *names)))
+
+
+def _crossing_pairs(nodes: DataFrame, bits: int, similarity: float, block: int) -> DataFrame:
+    """All pairs (x, y) of nodes(doc, f, g, n, root) that share a bucket and differ in root and in at most bits bits.
+
+    Sets whose sizes n are too far apart for the similarity can't link and are left out. Buckets are cut into blocks of
+    about block rows by hash; each pair of blocks is compared on its own.
+    """
+    keyed = staged(_golay_keys(nodes.select("f", "g", "n", "doc", "root")), "open-keys")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rows = keyed.join(sizes.select("key", F.ceil(F.col("c") / block).cast("long").alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "g", "n", "doc", "root")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(lambda batches: _crossing(batches, bits, similarity), "x long, y long").distinct()
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], bits: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, f, g, n, doc, root) sorted by (key, i, j): the pairs (x, y) of docs of each group. Where i
+    and j differ only pairs of two blocks count."""
+
+    def near(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count((v[..., 4] ^ w[..., 4]).view(np.uint64)).astype(np.int64) + np.bitwise_count((v[..., 5] ^ w[..., 5]).view(np.uint64))
+        sized = np.minimum(v[..., 6], w[..., 6]) >= similarity * np.maximum(v[..., 6], w[..., 6]) - 1e-9
+        return (d <= bits) & sized & (v[..., 8] != w[..., 8]) & ((v[..., 1] == v[..., 2]) | (v[..., 3] != w[..., 3]))
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        first, size = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(rows)]]))
+        group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= 8, size)
+        for lag in range(1, 8):
+            at = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag])
+            at = at[near(rows[at], rows[at + lag])]
+            yield from batch(rows[at, 7], rows[at + lag, 7])
+        for i, n in zip(first[size > 8], size[size > 8], strict=True):
+            own = rows[i : i + n]
+            for k in range(n - 1):
+                at = np.flatnonzero(near(own[k], own[k + 1 :])) + k + 1
+                yield from batch(np.full(len(at), own[k, 7]), own[at, 7])
+
+    def batch(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            yield pa.RecordBatch.from_pydict({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+
+    held = np.empty((0, 9), np.int64)
+    for rows in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy() for c in rows.columns], axis=1)])
+        change = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1))
+        if len(change):
+            last = int(change[-1]) + 1
+            yield from pairs(held[:last])
+            held = held[last:]
+    if len(held):
+        yield from pairs(held)
+
 
-    # the shingle hashes of the documents in pairs
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose documents' sets of shingles are alike to similarity or more."""
     wanted = pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("y").alias("doc"))).distinct()
 
     def sets():

@@ -63,6 +63,40 @@ def test_similar_documents_leave_one(spark, block):
     assert kept >= set(range(2, 40)) - {5} | {100, 101, 102, 300} and not kept & set(range(301, 312)) and not kept & set(range(111, 135))
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_failed_tree_edges_displace_no_links(spark, block):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(240)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.choice(240, int(rng.integers(3, 7)), replace=False):
+            w[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    prints = np.array([[simhash.simhash(h), simhash.simhash(simhash._other(h))] for h in sets], np.uint64)
+    keys = [set() for _ in rows]
+    for k in range(2):
+        for r, key in zip(*simhash.bucket_keys(np.ascontiguousarray(prints[:, k])), strict=True):
+            keys[r].add((k, int(key)))
+
+    def joined(links):
+        root = list(range(len(rows)))
+        for x, y in links:
+            root = [root[x] if r == root[y] else r for r in root]
+        return {frozenset(i for i in range(len(rows)) if root[i] == r) for r in root}
+
+    want = []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 27 and keys[i] & keys[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                want.append((i, j))
+    assert len(joined(want)) > 1
+    links = simhash.similar_links(documents(spark, rows).selectExpr("doc_id AS doc", "text"), block=block).collect()
+    assert joined([(r.x, r.y) for r in links]) == joined(want)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b")
     got = components.connected_components(edges.unionAll(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a long, b long"))).collect()
