@@ -16,19 +16,26 @@ from .seq import kmers
 
 #: Parameters of ungapped nucleotide scores +1 / -2.
 LAMBDA, K = 1.33, 0.621
+#: Reference positions of one seed that are joined in one task.
+PART = 1000
 
 
-def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int = 16, most_seeds: int = 1000, evalue: float = 1e-5, identity: float = 0.0) -> DataFrame:
+def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int = 16, evalue: float = 1e-5, identity: float = 0.0) -> DataFrame:
     """Twelve-column hits of queries(seq_id, seq) in refs(ref_id, seq), both strands, 1-based inclusive coordinates.
 
-    Seeds that occur more than most_seeds times in the references are masked. A hit on the minus strand has s_start >
-    s_end. Ordering and ties don't arise: a hit is a (query, subject, strand, diagonal, island).
+    A hit on the minus strand has s_start > s_end. Ordering and ties don't arise: a hit is a (query, subject, strand,
+    diagonal, island). Every seed counts, however often it occurs: references of one text are searched as one, and the
+    reference positions of a frequent seed are dealt into parts of about PART, each of which meets all query positions.
     """
-    strands = refs.select("ref_id", F.lit("+").alias("strand"), "seq").unionAll(refs.select("ref_id", F.lit("-").alias("strand"), T.reverse_complement("seq").alias("seq")))
+    texts = refs.filter("ref_id IS NOT NULL").groupBy("seq").agg(F.min("ref_id").alias("_text"))
+    members = refs.filter("ref_id IS NOT NULL").join(texts, "seq").select("_text", "ref_id")
+    one = texts.select(F.col("_text").alias("ref_id"), "seq")
+    strands = one.select("ref_id", F.lit("+").alias("strand"), "seq").unionAll(one.select("ref_id", F.lit("-").alias("strand"), T.reverse_complement("seq").alias("seq")))
     db = kmers(strands, word).withColumnRenamed("pos", "s_pos")
-    masked = db.groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most_seeds).select("kmer")
-    db = db.join(masked, "kmer", "left_anti")
-    seeds = kmers(queries.select("seq_id", "seq"), word).join(db, "kmer").select("seq_id", "ref_id", "strand", "pos", (F.col("pos") - F.col("s_pos")).alias("diag"))
+    frequent = db.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts")).filter("_parts > 1")
+    db = db.join(frequent, "kmer", "left").withColumn("_salt", F.pmod(F.xxhash64("ref_id", "strand", "s_pos"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    found = kmers(queries.select("seq_id", "seq"), word).join(frequent, "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    seeds = found.join(db, ["kmer", "_salt"]).select("seq_id", "ref_id", "strand", "pos", (F.col("pos") - F.col("s_pos")).alias("diag"))
     w = Window.partitionBy("seq_id", "ref_id", "strand", "diag").orderBy("pos")
     marked = seeds.withColumn("new", (F.coalesce(F.col("pos") - (F.lag("pos").over(w) + word), F.lit(gap + 1)) > gap).cast("int"))
     spans = marked.withColumn("island", F.sum("new").over(w)).groupBy("seq_id", "ref_id", "strand", "diag", "island").agg(F.min("pos").alias("a"), (F.max("pos") + word).alias("z"))
@@ -43,7 +50,7 @@ def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int
     scored = scored.withColumn("e", K * F.col("q_len") * F.col("db_len") * F.exp(-LAMBDA * F.col("score")))
     sa, sz = F.col("a") - F.col("diag") + 1, F.col("z") - F.col("diag")
     plus = F.col("strand") == "+"
-    hits = scored.select(
+    hits = scored.withColumnRenamed("ref_id", "_text").join(members, "_text").select(
         F.col("seq_id").alias("query_id"), F.col("ref_id").alias("subject_id"), (F.col("match") / F.col("n") * 100).alias("percent_identity"), F.col("n").alias("alignment_length"),
         (F.col("n") - F.col("match")).alias("mismatches"), F.lit(0).alias("gap_opens"), (F.col("a") + 1).alias("q_start"), F.col("z").alias("q_end"),
         F.when(plus, sa).otherwise(F.col("s_len") + 1 - sa).alias("s_start"), F.when(plus, sz).otherwise(F.col("s_len") + 1 - sz).alias("s_end"), F.col("e").alias("evalue"), F.col("bits").alias("bit_score"),

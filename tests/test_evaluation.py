@@ -71,6 +71,18 @@ def test_homology_finds_both_strands(spark):
     assert (got[2].q_start, got[2].q_end, got[2].s_start, got[2].s_end) == (1, 100, 150, 51)
 
 
+def test_homology_keeps_frequent_seeds(spark):
+    r = random.Random(5)
+    ref = "".join(r.choice("ATGC") for _ in range(60))
+    q = spark.createDataFrame([(1, "ATTA" + ref), (2, "G" * 30)], "seq_id long, seq string")
+    refs = spark.createDataFrame([(i, ref) for i in range(1100)] + [(5000, "G" * 1050)], "ref_id long, seq string")
+    got = homology.homology_hits(q, refs).collect()
+    assert sorted(h.subject_id for h in got if h.query_id == 1) == list(range(1100))
+    assert {(h.q_start, h.q_end, h.s_start, h.s_end) for h in got if h.query_id == 1} == {(5, 64, 1, 60)}
+    # diagonals of at least one seed; the shortest ones are below the significance limit
+    assert {h.s_start - h.q_start for h in got if h.query_id == 2} >= set(range(1021)) and len({(h.q_start, h.q_end, h.s_start) for h in got}) == len([h for h in got if h.query_id == 2]) + 1
+
+
 def test_groups_stay_in_one_fold(spark):
     df = spark.createDataFrame([(g, g % 3) for g in range(90) for _ in range(g % 5 + 1)], "g long, label int")
     got = folds.group_folds(df, "g", "label")
