@@ -26,6 +26,13 @@ def test_isolation_forest_finds_strange_vectors(spark):
     assert by[0] > by[1] and by[2] > by[1]
 
 
+def test_copies_are_drawn_for_all_trees(spark):
+    x = spark.createDataFrame([(i, [1.0 if i % 3 == 0 else i / 2400]) for i in range(1200)], "id long, v array<float>")
+    forest = anomaly.fit_forest(x, trees=20)
+    # a tree that has copies cuts them off from the others, which end at 0.5
+    assert len(forest.nodes) == 20 and all(cut.max() > 0.49 for _, cut, *_ in forest.nodes)
+
+
 def test_forest_round_trip(spark, tmp_path):
     x = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(100)], "id long, v array<float>")
     f = anomaly.fit_forest(x, trees=10)
