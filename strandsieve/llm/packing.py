@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ByteEncoder, path).encode
+        encode = encoder(ByteEncoder, path).encode_all
         schema = pa_schema(_PIECES)
         for b in batches:
             out = []

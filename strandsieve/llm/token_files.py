@@ -33,16 +33,38 @@ def width(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def _lanes(bits: int):
+    """(id, word, shift) of 64 ids in bits words of 64 bits; an id that reaches into the next word comes twice."""
+    for j in range(64):
+        word, shift = divmod(j * bits, 64)
+        yield j, word, shift
+        if shift + bits > 64:
+            yield j, word + 1, shift - 64
+
+
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """ids (uint32) in bits bits each, lowest bit first."""
-    return np.packbits(np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
+    """ids in bits bits each, lowest bit first."""
+    size = -(-len(ids) * bits // 8)
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
+    rows = np.zeros((-(-len(ids) // 64), 64), np.uint64)
+    rows.reshape(-1)[: len(ids)] = ids
+    out = np.zeros((len(rows), bits), np.uint64)
+    for j, word, shift in _lanes(bits):
+        out[:, word] |= rows[:, j] << np.uint64(shift) if shift >= 0 else rows[:, j] >> np.uint64(-shift)
+    return out.astype("<u8").tobytes()[:size]
 
 
 def unpack_bits(raw: bytes, n: int, bits: int) -> np.ndarray:
     """The first n ids of a block."""
-    whole = np.zeros((n, 32), np.uint8)
-    whole[:, :bits] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * bits).reshape(n, bits)
-    return np.packbits(whole, axis=1, bitorder="little").view("<u4").reshape(-1)
+    if bits in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{bits // 8}", n).astype("<u4")
+    groups = -(-n // 64)
+    words = np.frombuffer(raw.ljust(groups * bits * 8, b"\0"), "<u8", groups * bits).reshape(groups, bits)
+    out = np.zeros((groups, 64), np.uint64)
+    for j, word, shift in _lanes(bits):
+        out[:, j] |= words[:, word] >> np.uint64(shift) if shift >= 0 else words[:, word] << np.uint64(-shift)
+    return (out & np.uint64((1 << bits) - 1)).astype("<u4").reshape(-1)[:n]
 
 
 class TokenWriter:
@@ -53,9 +75,7 @@ class TokenWriter:
         self.offsets, self.documents, self.at, self.n = [], [], len(MAGIC), 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, raw: bytes) -> None:
-        """raw: four bytes for each id, little-endian."""
-        ids = np.frombuffer(raw, "<u4")
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.documents.append((doc_id or 0, doc_id is not None, self.n, len(ids)))
         self.n += len(ids)
         self.held.append(ids)
@@ -128,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1)
         if first is None:
             return
         words = encoder(WordEncoder, path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], words.dtype).tobytes()
         ordinal = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{ordinal:08d}.bin"
         with writing(name) as out:
@@ -136,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1)
             b = first
             while b is not None:
                 for doc_id, raw in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
-                    w.add(doc_id, raw + end)
+                    w.add(doc_id, np.frombuffer(raw + end, words.dtype))
                 b = next(batches, None)
             w.finish()
         yield pa.RecordBatch.from_pydict({"file": [name], "ordinal": [ordinal], "n_ids": [w.n], "n_docs": [len(w.documents)]}, schema=pa_schema(schema))
@@ -147,6 +167,16 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1)
     return files.withColumn("base", F.coalesce(before, F.lit(0)))
 
 
+def _runs(documents: np.ndarray, most: int = 1 << 21) -> Iterator[np.ndarray]:
+    """Documents in a row with about most ids together, 8192 at most; a longer document is a run of its own."""
+    i = 0
+    while i < len(documents):
+        j = int(np.searchsorted(documents["start"], documents["start"][i] + np.uint64(most)))
+        j = min(max(j, i + 1), i + 8192)
+        yield documents[i:j]
+        i = j
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -157,9 +187,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with reading(name) as f:
                     r = TokenReader(f)
-                    for i in range(0, len(r.documents), 8192):
-                        part = r.documents[i : i + 8192]
-                        crc = [zlib.crc32(r.ids(int(s), int(k)).tobytes()) for s, k in zip(part["start"], part["n"], strict=True)]
+                    for part in _runs(r.documents):
+                        # the run's blocks are decoded once; a document is a slice of their bytes
+                        first = int(part["start"][0])
+                        raw = memoryview(r.ids(first, int(part["start"][-1] + part["n"][-1]) - first).view(np.uint8))
+                        at, to = 4 * (part["start"].astype(np.int64) - first), 4 * part["n"].astype(np.int64)
+                        crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), to.tolist(), strict=True)]
                         ids = [int(x) if known else None for x, known in zip(part["doc_id"], part["known"], strict=True)]
                         yield pa.RecordBatch.from_pydict({"doc_id": ids, "start": part["start"].astype(np.int64) + base, "n_tokens": part["n"].astype(np.int64), "ids_crc32": crc}, schema=pa_schema(schema))
 

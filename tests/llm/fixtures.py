@@ -15,6 +15,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     rows += [(240, passage), (241, passage.upper()), (242, passage.replace(" ", "  \n"))]
     rows += [(300 + i, base.replace("tail7 ", f"tail7{i} ")) for i in range(12)]
     rows += [(400, "x" * 40_000), (401, ("don't  stop\n\n" * 4000)), (402, "ééé — “quoted” 日本語 👩‍👧 " * 500), (403, "same same " * 400)]
+    rows += [(404, "ends <|endoftext|>here <|startoftext|>"), (405, "<|endoftext|>")]
     rows += [(500, "repeated row"), (500, "repeated row"), (501, "one id"), (501, "two texts")]
     return rows
 

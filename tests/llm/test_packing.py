@@ -32,7 +32,6 @@ def test_every_id_lies_in_one_piece_and_sequences_have_no_gaps(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     got = packing.pack(documents(spark), PATH, length=256, group_docs=40).collect()
     want = []
     for i, text in texts():
@@ -58,6 +57,6 @@ def test_word_encoder_is_the_library():
     e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(2)
     odd = ["".join(r.choice("ab'SsΣé1²ªµ×.,!\xa0  \n\x1cİſ") for _ in range(r.randint(0, 30))) for _ in range(2000)]
-    odd += [None, "", "<|endoftext|> it's"]
+    odd += [None, "", "<|endoftext|> it's", "a<|endoftext|>B É<|startoftext|>", "<|ENDOFTEXT|>", "<| endoftext |>"]
     for t, raw in zip(odd, e.encode(odd), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(raw, e.dtype).tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
