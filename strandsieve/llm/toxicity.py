@@ -3,8 +3,9 @@
 The lexicon is learned from labelled texts: whole words and word stems (prefixes) that toxic texts hold far more often
 than others. Words are read through the Levenshtein automata of all terms at once, run along the lexicon's trie: a state
 is the set of (trie node, edits so far) that a word's first letters allow, and the states that occur are kept with their
-moves. A hit counts less where its window quotes or reports it than where it addresses someone. A logistic
-regression turns the hits of a text into its score.
+moves. Words with signs for letters (id!ot) are read whole, and letters parted by signs (i.d.i.o.t) without the signs. A
+hit's window says whether it is quoted or reported, or addresses someone: at first such hits count by fixed factors, and
+a logistic regression, which turns the hits of a text into its score, learns from the labels how much less or more.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, pa_schema, small_batches
 
-_WORD = re.compile(r"\w+")
-_PARTS = re.compile(r"\w+|[\"“”„«»‘’]")
-QUOTES = frozenset("\"“”„«»‘’")
-#: Fixed lists: words that report speech, and words that address someone.
+_LETTERS = r"(?<![^\W_])(?:[^\W_][.\-_*·]){2,}[^\W_](?![^\W_])|\w+(?:[!@$*#]+\w+)*"
+_WORD = re.compile(_LETTERS)
+#: Words, quotation marks (single ones only outside words, where they aren't apostrophes), and the end of a paragraph.
+_PARTS = re.compile(_LETTERS + r"|[\"“”„«»]|(?<!\w)[‘‚](?=\w)|(?<=\S)’(?!\w)|\n[^\S\n]*\n")
+_SIGNS = str.maketrans("", "", ".-_*·")
+#: Fixed lists: quotation marks that open, with those that close them; words that report speech, and that address someone.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’"}
 REPORTS = frozenset("said says wrote called quote quoted word term insult sagte schrieb wort zitat nannte dit écrit mot cité appelé dijo escribió palabra cita llamó".split())
 ADDRESSES = frozenset("you your yours du dich dir dein tu te toi ton vous votre tú ti usted".split())
-#: Words on either side of a hit that make its window; what a quoted hit counts; what an addressing one counts.
+#: Words on either side of a hit that make its window; what a quoted or reported hit and an addressing one count at first.
 WINDOW, QUOTED, ADDRESSED = 6, 0.25, 1.5
-STEMS = range(3, 9)
+STEMS = range(3, 13)
 
 
 class Lexicon(NamedTuple):
@@ -131,29 +135,57 @@ class Automaton:
         return self.accepts[state]
 
 
-FEATURES = ["exact", "near", "dense"]
+FEATURES = ["exact", "near", "dense", "quoted", "addressed"]
+
+
+def read_words(text: str) -> list[str]:
+    """The words of a text in lower case as they stand in it; plain_word() takes signs out."""
+    return _WORD.findall(text)
+
+
+def plain_word(word: str) -> str:
+    """A word without the signs that part its letters; signs that stand for letters stay."""
+    return word if word.isalnum() else word.translate(_SIGNS) if all(len(x) < 2 for x in re.split(r"[.\-_*·]", word)) else word
+
+
+def quoted_parts(parts: list[str]) -> set[int]:
+    """Places between a quotation mark and the next that closes it, within a paragraph."""
+    out: set[int] = set()
+    opened, closing = -1, ""
+    for i, x in enumerate(parts):
+        if x[0] == "\n":
+            opened = -1
+        elif opened >= 0 and x in closing:
+            out.update(range(opened + 1, i))
+            opened = -1
+        elif opened < 0 and x in QUOTES:
+            opened, closing = i, QUOTES[x]
+    return out
 
 
 def features(text: str, hits: dict[str, int]) -> list[float]:
-    """Of a text in lower case with some hit: strength of exact hits, of misspelled ones, and per hundred words."""
+    """Of a text in lower case with some hit: strength of exact hits, of misspelled ones, and per hundred words, with
+    quoted hits counting less and addressing ones more; and how many hits are quoted or reported, and how many address."""
     parts = _PARTS.findall(text)
+    inside = quoted_parts(parts)
+    at = [i for i, x in enumerate(parts) if x[0] == "_" or x[0].isalnum()]
+    words = [parts[i] for i in at]
     exact = near = 0.0
-    inside, n = False, 0
-    for i, w in enumerate(parts):
-        if w in QUOTES:
-            inside = not inside
+    quoted = addressed = 0
+    for k, w in enumerate(words):
+        if w not in hits:
             continue
-        n += 1
-        if w in hits:
-            window = parts[max(0, i - WINDOW) : i + WINDOW + 1]
-            closes = any(x in QUOTES for x in parts[i + 1 : i + 1 + 4 * WINDOW])
-            quoted = inside and closes or not REPORTS.isdisjoint(window)
-            strength = QUOTED if quoted else ADDRESSED if not ADDRESSES.isdisjoint(window) else 1.0
-            if hits[w]:
-                near += strength / hits[w]
-            else:
-                exact += strength
-    return [float(np.log1p(exact)), float(np.log1p(near)), float(np.log1p(100 * (exact + near) / max(n, 1)))]
+        window, strength = words[max(0, k - WINDOW) : k + WINDOW + 1], 1.0
+        if at[k] in inside or not REPORTS.isdisjoint(window):
+            strength, quoted = QUOTED, quoted + 1
+        elif not ADDRESSES.isdisjoint(window):
+            strength, addressed = ADDRESSED, addressed + 1
+        if hits[w]:
+            near += strength / hits[w]
+        else:
+            exact += strength
+    n = len(words)
+    return [float(np.log1p(x)) for x in (exact, near, 100 * (exact + near) / max(n, 1), quoted, addressed)]
 
 
 class Reader:
@@ -164,9 +196,9 @@ class Reader:
 
     def features(self, texts: list[str | None]) -> list[list[float]]:
         low = [(t or "").lower() for t in texts]
-        words = [set(_WORD.findall(t)) for t in low]
+        words = [set(read_words(t)) for t in low]
         near = self.automaton.edits
-        hits = {w: e for w in set().union(*words) if (e := near(w)) < 9}
+        hits = {w: e for w in set().union(*words) if (e := near(plain_word(w))) < 9}
         return [features(t, hits) if not hits.keys().isdisjoint(w) else [0.0] * len(FEATURES) for t, w in zip(low, words, strict=True)]
 
 
@@ -184,11 +216,11 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def _terms(text: str) -> set[str]:
     """Whole words as they are, stems with a star."""
-    words = set(_WORD.findall(text.lower()))
+    words = {plain_word(w) for w in set(read_words(text.lower()))}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 
-def _counted(rows: DataFrame, among: frozenset | None, without: frozenset = frozenset()) -> DataFrame:
+def _counted(rows: DataFrame, among: frozenset | None = None, without: frozenset = frozenset()) -> DataFrame:
     """Number of texts of rows with each term, counted in each task first; texts with a term of without don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +230,7 @@ def _counted(rows: DataFrame, among: frozenset | None, without: frozenset = froz
                 terms = _terms(t)
                 if without.isdisjoint(terms):
                     n.update(terms if among is None else terms & among)
-            if len(n) > 500_000:
+            if len(n) > 300_000:
                 yield pa.RecordBatch.from_pydict({"term": list(n), "n": list(n.values())}, schema=pa_schema("term string, n long"))
                 n.clear()
         if n:
@@ -207,21 +239,22 @@ def _counted(rows: DataFrame, among: frozenset | None, without: frozenset = froz
     return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(rows: DataFrame, most: int = 4096, candidates: int = 50_000, evidence: float = 30.0, precision: float = 0.8) -> Lexicon:
+def learn_lexicon(rows: DataFrame, evidence: float = 30.0, precision: float = 0.8) -> Lexicon:
     """Terms of rows(text, toxic): at least precision of the texts with a term are toxic, and the likelihood ratio
-    2 n ln(precision / share of toxic texts) is at least evidence. most and candidates bound what comes to the driver."""
+    2 n ln(precision / share of toxic texts) is at least evidence. Only such terms come to the driver."""
     toxic, clean = rows.filter("toxic = 1"), rows.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic:
         return Lexicon([], [])
     share = max(n_toxic / (n_toxic + n_clean), 1e-9)
     least = max(3, int(evidence / (2 * max(0.1, np.log(1 / share)))) if share < 1 else 3)
-    found = {r["term"]: r["n"] for r in _counted(toxic, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(candidates).collect()}
-    against = {r["term"]: r["n"] for r in _counted(clean, frozenset(found)).collect()}
-
+    counts = _counted(toxic).filter(F.col("n") >= least).join(_counted(clean).withColumnRenamed("n", "m"), "term", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    p = F.col("n") / (F.col("n") + F.col("m"))
+    sure = counts.filter((p >= precision) & (2 * F.col("n") * F.log(F.greatest(p, F.lit(share)) / share) >= evidence)).collect()
+    found, against = {r["term"]: r["n"] for r in sure}, {r["term"]: r["m"] for r in sure}
 
     def strength(t: str, n: int) -> float:
-        p = n / (n + against.get(t, 0))
+        p = n / (n + against[t])
         return 2 * n * np.log(max(p, share) / share) if p >= precision else 0.0
 
     good = {t: n for t, n in found.items() if strength(t, n) >= evidence}
@@ -242,11 +275,13 @@ def learn_lexicon(rows: DataFrame, most: int = 4096, candidates: int = 50_000, e
             stems.append(t)
     known = set(stems)
     words = [w for w in good if w[-1] != "*" and not any(w[:k] in known for k in STEMS)]
-    return Lexicon(sorted(words, key=lambda w: (-good[w], w))[:most], sorted(stems, key=lambda t: (-good[t + "*"], t))[:most])
+    return Lexicon(sorted(words), sorted(stems))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
-    """Lexicon and regression from at most about most labelled rows; without toxic rows every text scores near 0."""
+    """Lexicon and regression from at most about most labelled rows; without toxic rows every text scores near 0.
+
+    That bound also bounds the lexicon, and with it what comes to the driver."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -305,7 +340,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFram
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """The documents that aren't predicted toxic, with all columns."""
+    """The documents that aren't predicted toxic, with all columns, whatever their names.
+
+    Only the text counts, whole; null and empty texts have no hits and stay unless most labelled texts are toxic. Rows
+    without a doc_id are judged like others; repeated rows stay or go together. Empty tables give none, and without
+    labels all stay.
+    """
     model = fit(docs, labels, most)
     small_batches(docs.sparkSession, 512)
     weights, bias, lexicon = np.array(model.weights), model.bias, model.lexicon

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from strandsieve.llm import toxicity
@@ -40,6 +42,70 @@ def test_quoted_hits_count_less_than_addressed_ones():
     assert quoted < plain < direct
 
 
+def test_apostrophes_open_no_quotation():
+    hits = {"idiot": 0}
+    exact = lambda t: toxicity.features(t, hits)[0]
+    assert exact("i don’t like that idiot and he’s bad") == exact("i do like that idiot and he is bad") == exact("the dogs’ idiot isn't theirs’")
+    assert exact("she heard ‘what an idiot’ there") < exact("she heard what an idiot there") == exact("“one” idiot “two”") == exact("a “mark \n\n idiot there” it") == exact('5" idiot')
+    far = "x " * 60
+    assert exact(f"«{far} idiot {far}»") == exact(f"„{far} idiot {far}“") < exact(f"{far} idiot {far}")
+
+
+def test_signs_for_letters_and_between_them():
+    reader = toxicity.Reader(toxicity.Lexicon(["idiot"], []))
+    plain, parted, sign, none = (reader.features([t])[0] for t in ("that idiot there", "that i.d.i.o.t there", "that id!ot there", "that i.d. there"))
+    assert parted == plain and sign[:2] == [0.0, plain[0]] and none == [0.0] * len(toxicity.FEATURES)
+
+
+def plain_features(text, words, stems):
+    """Edit distances to each term, and a hit's context looked at word by word."""
+    text = (text or "").lower()
+    spans = [m.span() for m in re.finditer(r'"[^"]*"|“[^”]*”', text)]
+    found = list(re.finditer(r"\w+", text))
+    exact = near = 0.0
+    quoted = addressed = hit = 0
+    for i, m in enumerate(found):
+        w = m[0]
+        edits = [e for t in words if (e := distance(t, w)) <= toxicity._edits(t, False)]
+        edits += [e for t in stems for k in range(len(w) + 1) if (e := distance(t, w[:k])) <= toxicity._edits(t, True)]
+        if not edits:
+            continue
+        hit += 1
+        window = {x[0] for x in found[max(0, i - 6) : i + 7]}
+        strength = 1.0
+        if any(a < m.start() < b for a, b in spans) or window & toxicity.REPORTS:
+            strength, quoted = 0.25, quoted + 1
+        elif window & toxicity.ADDRESSES:
+            strength, addressed = 1.5, addressed + 1
+        if min(edits):
+            near += strength / min(edits)
+        else:
+            exact += strength
+    return [math.log1p(x) for x in (exact, near, 100 * (exact + near) / max(len(found), 1), quoted, addressed)]
+
+
+def test_scores_are_those_of_plain_features(spark):
+    lexicon = toxicity.Lexicon(["stupid", "loser", "worthless"], ["lowei"])
+    model = toxicity.Model(lexicon, [1.5, 0.7, 0.3, -0.4, 0.2], -3.0)
+    r = random.Random(5)
+    near = ["stupid", "stupd", "losers", "worthles", "worthlsse", "loweist", "lowei", "lowex", "lose"]
+    other = [f"w{i}" for i in range(40)] + ["you", "wort"]
+    rows = []
+    for i in range(150):
+        t = [r.choice(near) if r.random() < 0.1 else r.choice(other) for _ in range(r.randint(0, 60))]
+        if len(t) > 20 and i % 3 == 0:
+            a = r.randint(7, 12)
+            t[a], t[a + r.randint(0, 6)] = '"' + t[a], t[a] + '"'
+        rows.append((i, " ".join(t)))
+    rows += [(1000, None), (1001, ""), (None, "you stupid loser"), (1002, "stupid " * 5000), (1003, "same loser"), (1003, "same loser"), (1004, "x" * 3000)]
+    got = sorted((str(x.doc_id), round(x.score, 9), x.predicted) for x in toxicity.score(documents(spark, rows), model).collect())
+    want = []
+    for i, t in rows:
+        s = 1 / (1 + math.exp(-(model.bias + sum(w * x for w, x in zip(model.weights, plain_features(t, *lexicon), strict=True)))))
+        want.append((str(i), round(s, 9), int(s >= 0.3)))
+    assert got == sorted(want)
+
+
 def _labelled(spark):
     r = random.Random(3)
     words = [f"tok{i}" for i in range(300)]
