@@ -3,7 +3,10 @@
 A page is a sequence of words and tags in page order. Plain words score positive; tags, words of links and words inside
 boilerplate elements score negative. The weights are log-likelihood ratios of the classes inside and outside the content
 element of labelled pages: those that mark their content with one article or main element. One linear scan finds the
-contiguous run of the highest score: the content region. Boilerplate elements inside it are left out of the text.
+contiguous run of the highest score: the content region. It grows to whole blocks, and on to the end of the element that
+holds it. Boilerplate elements inside it are left out of the text: navigation, forms and the like, and elements whose
+class, id or role speaks for boilerplate by the weights of its parts, which are learned from the same pages on top of
+fixed ones.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +34,84 @@ _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form head button select option fieldset menu dialog".split())
 NESTED = NEVER | frozenset("header article main section div ul ol dl table a".split())
-#: Parts of class, id and role names that mark boilerplate.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notification popup promo promoted related reply replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Fixed lists: parts of class, id and role names that mark boilerplate, surely or as a rule; and parts that say nothing.
+SURE = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus masthead nav navbar newsletter share sharing sidebar social sponsor sponsored subscribe".split())
+RULE = frozenset("banner footer header menu modal navigation notice notification popup promo promoted related reply replies respond search toolbar widget".split())
+NEUTRAL = frozenset("area bar block bottom box button buttons col column container content data el elem first form group id inner item items last layout left line link links list main middle outer page panel post posts article articles right row section slot small story stories text thread title top unit wrap wrapper".split())
+#: Weights of such parts before any are learned; an unknown part of a name inside the content speaks for content.
+SURELY, AS_A_RULE, UNKNOWN = -6.0, -3.0, 3.0
 #: Classes of words; weights where no page is labelled.
-PLAIN, LINKED, OUTSIDE, TAG = "word", "word:link", "word:boilerplate", "tag:"
+PLAIN, LINKED, OUTSIDE, TAG, PART = "word", "word:link", "word:boilerplate", "tag:", "part:"
 DEFAULT = {PLAIN: 1.0, LINKED: -0.5, OUTSIDE: -0.5, TAG: -0.2}
+CONTENT = ("article", "main")
 
 
-def _marked(name: str, attributes: str, in_content: bool) -> bool:
+def _names(attributes: str) -> list[list[str]]:
+    """The class, id and role names of a tag, each in its parts."""
+    if "=" not in attributes:
+        return []
+    names = (n for m in _HINTS.finditer(attributes) for n in m[1].strip("\"'").split())
+    return [p for n in names if (p := re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower()))]
+
+
+def _part(part: str, weights: dict[str, float]) -> float:
+    return (SURELY if part in SURE else AS_A_RULE if part in RULE else 0.0) + weights.get(PART + part, 0.0)
+
+
+def _marked(name: str, names: list[list[str]], in_content: bool, weights: dict[str, float]) -> bool:
+    """Whether an element is boilerplate."""
     if name in NEVER or name == "header" and not in_content:
         return True
     if name in ("article", "main", "body", "html"):
         return False
-    return any(part in MARKS for m in _HINTS.finditer(attributes) for part in re.split(r"[^a-z]+", m[1].lower()) if part)
+    for parts in names:
+        own = [_part(p, weights) for p in parts]
+        known = sum(UNKNOWN for p, w in zip(parts, own, strict=True) if not w and len(p) > 1 and p not in NEUTRAL) if in_content else 0.0
+        if min(own) <= -2 and sum(own) + known <= -2:
+            return True
+    return False
+
+
+class Item(NamedTuple):
+    """A piece of text or a tag: its class, text (" " for a tag that breaks blocks), whether it stands in the content
+    element, the innermost element that is followed, and the parts of names that are open."""
 
+    kind: str
+    text: str
+    content: bool
+    element: int
+    parts: frozenset
 
-def items(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(class, text, in content): text pieces and tags in page order; tags have " " for text where they break blocks."""
-    open_: list[tuple[str, bool]] = []
+
+class Page(NamedTuple):
+    """Items in page order; for each element followed its parent, name, first item and the item after its last."""
+
+    items: list[Item]
+    elements: list[list]
+
+
+def read_page(page: str, weights: dict[str, float]) -> Page:
+    items: list[Item] = []
+    elements: list[list] = [[-1, "", 0, 0]]
+    open_: list[tuple[str, bool, int, frozenset]] = [("", False, 0, frozenset())]
     boiler = content = links = 0
+
+    def put(kind: str, text: str) -> None:
+        items.append(Item(kind, text, content > 0, open_[-1][2], open_[-1][3]))
+
+    def close() -> str:
+        nonlocal boiler, content, links
+        name, bad, element, _ = open_.pop()
+        boiler -= bad
+        content -= name in CONTENT
+        links -= name == "a"
+        elements[element][3] = len(items)
+        return name
+
     at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            yield (OUTSIDE if boiler else LINKED if links else PLAIN), page[at : m.start()], content > 0
+            put(OUTSIDE if boiler else LINKED if links else PLAIN, page[at : m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -60,28 +119,27 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
         closing, attributes = m[2] or m[5], m[4] or m[7] or ""
         blank = " " if name in BLOCKS else ""
         if closing:
-            yield TAG + name, blank, content > 0
-            if name in NESTED and any(n == name for n, _ in open_):
-                while open_:
-                    n, bad = open_.pop()
-                    boiler -= bad
-                    content -= n in ("article", "main")
-                    links -= n == "a"
-                    if n == name:
-                        break
+            put(TAG + name, blank)
+            if name in NESTED and any(x[0] == name for x in open_):
+                while close() != name:
+                    pass
             continue
-        if name == "a" and open_ and open_[-1][0] == "a":
-            boiler -= open_.pop()[1]
-            links -= 1
+        if name == "a" and open_[-1][0] == "a":
+            close()
+        put(TAG + name, blank)
         if name in NESTED and not attributes.endswith("/"):
-            bad = _marked(name, attributes, content > 0)
-            open_.append((name, bad))
+            names = _names(attributes)
+            bad = _marked(name, names, content > 0, weights)
+            elements.append([open_[-1][2], name, len(items), 0])
+            open_.append((name, bad, len(elements) - 1, open_[-1][3].union(*names) if names else open_[-1][3]))
             boiler += bad
-            content += name in ("article", "main")
+            content += name in CONTENT
             links += name == "a"
-        yield TAG + name, blank, content > 0
     if at < len(page):
-        yield (OUTSIDE if boiler else LINKED if links else PLAIN), page[at:], content > 0
+        put(OUTSIDE if boiler else LINKED if links else PLAIN, page[at:])
+    while open_:
+        close()
+    return Page(items, elements)
 
 
 def _size(kind: str, text: str) -> int:
@@ -101,21 +159,69 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return region
 
 
+def whole_blocks(page: Page, a: int, b: int) -> tuple[int, int]:
+    """The region, grown to whole blocks and then over the blocks beside it in the element that holds it: over all of an
+    article or main element, in others up to the first block that is mostly links; never over the page itself."""
+    items, elements = page
+    while a and not (items[a - 1].kind.startswith(TAG) and items[a - 1].text):
+        a -= 1
+    while b < len(items) and not (items[b].kind.startswith(TAG) and items[b].text):
+        b += 1
+    depth = {0: 0}
+
+    def level(e: int) -> int:
+        if e not in depth:
+            depth[e] = level(elements[e][0]) + 1
+        return depth[e]
+
+    e = min((items[i].element for i in range(a, b)), key=level)
+    up = e
+    while up and elements[up][1] not in CONTENT:
+        up = elements[up][0]
+    if up:
+        return min(a, elements[up][2]), max(b, elements[up][3])
+    while e and elements[e][1] == "a":
+        e = elements[e][0]
+    if e:
+        first, last = elements[e][2], elements[e][3]
+        ends = [i for i in range(first, last) if items[i].kind.startswith(TAG) and items[i].text]
+        for i in [*(x for x in ends if x > b), last]:
+            if _linked(items[b:i]):
+                break
+            b = max(b, i)
+        for i in [*(x for x in reversed(ends) if x < a - 1), first - 1]:
+            if _linked(items[i + 1 : a]):
+                break
+            a = min(a, i + 1)
+    return a, b
+
+
+def _linked(items: list[Item]) -> bool:
+    words = Counter()
+    for x in items:
+        if not x.kind.startswith(TAG):
+            words[x.kind] += _size(x.kind, x.text)
+    return words[LINKED] > words[PLAIN]
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The text of the content region; empty for a null or empty page or one without positive words."""
-    parts = list(items(page or ""))
+    read = read_page(page or "", weights)
     tag = weights.get(TAG, DEFAULT[TAG])
-    scores = np.array([weights.get(k, tag) * _size(k, t) for k, t, _ in parts])
+    scores = np.array([weights.get(x.kind, tag) * _size(x.kind, x.text) for x in read.items])
     a, b = best_region(scores)
-    return " ".join(entities.unescape("".join([t for k, t, _ in parts[a:b] if k != OUTSIDE])).split())
+    if a < b:
+        a, b = whole_blocks(read, a, b)
+    return " ".join(entities.unescape("".join([x.text for x in read.items[a:b] if x.kind != OUTSIDE])).split())
 
 
-def learn_weights(pages: DataFrame, most: int = 2000) -> dict[str, float]:
+def learn_weights(pages: DataFrame, most: int = 2000, least: int = 50) -> dict[str, float]:
     """Weights from at most about most pages with exactly one article or main element (picked by a hash of their html).
 
     The weight of a class is the logarithm of its share inside the content over its share outside, within 8 of zero;
     plain words are at least 0.1 and tags at most -0.1. Words in boilerplate lie between -1 and -0.1: they are left out of
-    the text in any case, and an advert must not part an article.
+    the text in any case, and an advert must not part an article. The weight of a part of names is the change that it
+    makes to the odds of a word to be content, drawn towards none by least words; parts over fewer words have none.
     """
     opened = lambda t: F.size(F.split(F.lower("html"), f"<{t}[\\s>]")) - 1
     marked = pages.filter(F.col("html").isNotNull()).filter(opened("article") + opened("main") == 1)
@@ -128,23 +234,34 @@ def learn_weights(pages: DataFrame, most: int = 2000) -> dict[str, float]:
         outside: Counter = Counter()
         for b in batches:
             for page in b.column(0).to_pylist():
-                for kind, text, content in items(page):
-                    (inside if content else outside)[kind] += _size(kind, text)
+                for x in read_page(page, {}).items:
+                    to, n = inside if x.content else outside, _size(x.kind, x.text)
+                    to[x.kind] += n
+                    if not x.kind.startswith(TAG):
+                        for p in x.parts:
+                            to[PART + p] += n
         kinds = sorted({*inside, *outside})
         if kinds:
             yield pa.RecordBatch.from_pydict({"class": kinds, "inside": [inside[k] for k in kinds], "outside": [outside[k] for k in kinds]}, schema=pa_schema(schema))
 
     known = [*DEFAULT, *(TAG + x for x in sorted(BLOCKS | NESTED | {"b", "i", "em", "strong", "span", "img", "code", "sup", "sub", "small", "u"}))]
     small_batches(pages.sparkSession, 512)
-    found = rows.mapInArrow(run, schema).filter(F.col("class").isin(known)).groupBy("class").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    counts = rows.mapInArrow(run, schema).groupBy("class").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    found = counts.filter(F.col("class").isin(known) | F.col("class").startswith(PART) & (F.col("inside") + F.col("outside") >= least)).collect()
+    parts, found = [r for r in found if r["class"].startswith(PART)], [r for r in found if not r["class"].startswith(PART)]
+    weights = dict(DEFAULT)
     if not found:
-        return dict(DEFAULT)
+        return weights
     total_in, total_out = (sum(r[c] for r in found) + len(found) for c in ("inside", "outside"))
-    weights = dict(DEFAULT)
     for r in found:
         w = float(np.clip(np.log((r["inside"] + 1) / total_in) - np.log((r["outside"] + 1) / total_out), -8, 8))
         kind = r["class"]
         weights[kind] = max(w, 0.1) if kind == PLAIN else min(w, -0.1) if kind.startswith(TAG) else float(np.clip(w, -1.0, -0.1)) if kind == OUTSIDE else w
+    words = [sum(r[c] for r in found if not r["class"].startswith(TAG)) + 1 for c in ("inside", "outside")]
+    base = words[0] / sum(words)
+    for r in parts:
+        odds = (r["inside"] + least * base) / (r["outside"] + least * (1 - base))
+        weights[r["class"]] = float(np.clip(np.log(odds) - np.log(base / (1 - base)), -6, 6))
     return weights
 
 

@@ -47,3 +47,47 @@ def test_driver_pages_give_their_articles(spark, sf_dir):
     for r in html_text.extract(pages).collect():
         body = source[r.page_id].split("<article>", 1)[1].split("</article>")[0]
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>?", " ", body)).split())
+
+
+#: As learned from pages of one template: words far above zero, and many tags far below.
+STEEP = {**html_text.DEFAULT, "word": 8.0, "word:link": -8.0, **{f"tag:{t}": -8.0 for t in ("div", "ul", "li", "a", "nav", "td", "tr")}}
+
+
+def test_articles_keep_their_ends():
+    page = "<body><nav><a href=/>home</a> <a href=/x>more of it</a></nav><article><p><a href=1>This long linked phrase</a> begins a text of some words.</p><p>A second one, see <a href=2>the last of all the links here</a></p><ul><li>one</li><li>two</li><li>three</li></ul></article><footer>(c)</footer></body>"
+    want = "This long linked phrase begins a text of some words. A second one, see the last of all the links here one two three"
+    for weights in (html_text.DEFAULT, STEEP):
+        assert html_text.main_text(page, weights) == want
+        # a division does as well, unless what follows is mostly links
+        other = page.replace("<article>", '<div class="post-body">').replace("</article>", "<p><a href=3>other</a> <a href=4>pages</a></p></div>")
+        assert html_text.main_text(other, weights) == want
+
+
+def test_names_inside_the_content():
+    page = "<main><p>Some words to begin with.</p><div class='related-work'><p>Work that came before it.</p></div><div class='related-posts'><p>Ten more things</p></div><section id=comments><p>first!</p></section><div class=adSlot>buy</div><p>Last words.</p></main>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "Some words to begin with. Work that came before it. Last words."
+
+
+TEMPLATES = [
+    "<html><body><div class='top-menu'><ul><li><a href=/>Start</a></li><li><a href=/b>News</a></li></ul></div><div id=sidebar><p>Most read this week</p></div><article><header><h1>{t}</h1></header>{p}</article><div id='comments'><p>I liked it a lot, thank you</p></div></body></html>",
+    "<html><body><div role=banner><p>Our site, since 1999</p></div><div id=page><main><h2>{t}</h2>{p}<form><p>Your mail</p></form></main><aside><p>About the author and others</p></aside></div><footer><p>All rights</p></footer></body></html>",
+    "<html><body><table><tr><td><a href=/>Home</a> <a href=/2>Two</a></td></tr></table><div class=cookie-consent><p>We use cookies here</p></div><div class='entry'><h1>{t}</h1>{p}</div><div class=newsletter-signup><p>Sign up for our letter</p></div></body></html>",
+]
+
+
+def test_three_templates_of_one_table(spark):
+    rows, want = [], {}
+    for i in range(60):
+        body = [f"Paragraph {i} of {k} has &lt;some&gt; words, and <a href=/{k}>a link</a> to it." for k in range(3 + i % 3)]
+        rows.append((i, "u", TEMPLATES[i % 3].format(t=f"Title {i}", p="".join(f"<p>{x}</p>" for x in body))))
+        want[i] = " ".join([f"Title {i}", *(x.replace("&lt;", "<").replace("&gt;", ">").replace("</a>", "").replace(f"<a href=/{k}>", "") for k, x in enumerate(body))])
+    rows += [(100, "u", "<p>no labelled element &amp; no names</p>"), (101, "u", "")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**want, 100: "no labelled element & no names", 101: ""}
+
+
+def test_parts_of_names_are_learned(spark):
+    page = "<body><div class='zork-box'><p>{0}</p></div><article><div class='blah'><p>{0}</p></div></article></body>".format("word " * 30)
+    weights = html_text.learn_weights(spark.createDataFrame([(page.replace("word", f"w{i}"),) for i in range(20)], "html string"))
+    assert weights["part:zork"] < -2 and weights["part:blah"] > 1
+    assert html_text.main_text("<body><div class=zork>short one</div><div class=x><p>this is the text of it</p></div></body>", weights) == "this is the text of it"
