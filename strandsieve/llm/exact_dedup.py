@@ -4,7 +4,8 @@ The rows are appended to a content table in the shared folder. A Structured Stre
 keeps, per SHA-256 digest and without expiry, a state in RocksDB: the number of rows, the stable identifier of the
 row that stays and the locator (file, row number) of its content. A later call with the same folder goes on from
 that state. Every hit is then held against the full bytes of the row that stays, so that a digest collision
-separates into groups of its own.
+separates into groups of its own. The comparison reads the content table in bulk; the locator serves readers that want
+one text.
 """
 
 from __future__ import annotations
@@ -14,11 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import scratch, staged
 
-#: The state lives on disk; its many small stores reserve no space ahead.
+#: The state lives on disk. Its many small stores reserve no space ahead, share a bounded memory on each executor, and are
+#: closed when a task has committed its store, so that none stays in memory for a batch that never comes.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
+#: Rows of one digest that a task compares with a copy of the text that stays.
+PART = 128
 
 
 def digest_state(content_path: str, schema, checkpoint: str, spark) -> DataFrame:
@@ -67,11 +75,13 @@ def _judged(stored: DataFrame, folder: str) -> DataFrame:
     spark = stored.sparkSession
     state = digest_state(f"{folder}/content", stored.schema, f"{folder}/state", spark)
 
-    # full bytes of each hit against those of the row that stays
-    hits = staged(stored.select("digest", "row_no", "doc_id", "text").join(state.filter("group_size > 1").select("digest", "keep_row"), "digest"), "exact-hits")
-    stays = hits.filter("row_no = keep_row").select("digest", F.col("text").alias("kept_text"))
-    differ = hits.filter("row_no <> keep_row").join(stays, "digest").filter("text <> kept_text").select("digest")
-    collided = staged(differ.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "exact-collided").select("digest")
+    # full bytes of each hit against those of the row that stays; a copy of that text goes to each part of a large group
+    several = state.filter("group_size > 1").select("digest", "keep_row", F.ceil(F.col("group_size") / PART).cast("int").alias("parts"))
+    hits = staged(stored.select("digest", "row_no", "doc_id", "text").join(several, "digest"), "exact-hits")
+    stays = hits.filter("row_no = keep_row").select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("kept_text"))
+    others = hits.filter("row_no <> keep_row").withColumn("part", F.pmod(F.xxhash64("row_no"), F.col("parts")).cast("int"))
+    differ = staged(others.join(stays, ["digest", "part"]).filter("text <> kept_text").select("digest"), "exact-differ")
+    collided = staged(differ.distinct(), "exact-collided")
 
     narrow = stored.select("doc_id", "row_no", "digest", F.lower(F.hex("text_sha256")).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
     if collided.isEmpty():
