@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -26,12 +28,36 @@ def test_digests_equal_the_library(spark, chunk, overlap):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(i), *expected(t)) for i, t in texts())
 
 
-def test_chunks_of_one_long_run_dont_resynchronise_and_stay_whole(spark):
-    rows = spark.createDataFrame([(1, 7, "a" * 5000 + " b"), (2, 8, "word and word " * 400)], "row long, doc_id long, text string")
-    got = bpe.stitched_pieces(rows, PATH, 1000, 50).collect()
-    assert {r["row"]: sum(x["row"] == r["row"] for x in got) for r in got}[1] == 1
-    assert sum(r["row"] == 2 for r in got) > 3
-    assert "".join(r["text"] for r in sorted(got, key=lambda r: r["k"]) if r["row"] == 2) == "word and word " * 400
+def test_chunks_without_a_common_boundary_stay_together_with_their_neighbours_only(spark):
+    texts_ = {1: "a" * 5000 + " b", 2: "word and word " * 400, 3: "some words " * 300 + "x" * 2500 + "," + " more words" * 300, 4: "日本語。" * 1200}
+    rows = spark.createDataFrame([(i, 7, t) for i, t in texts_.items()], "row long, doc_id long, text string")
+    got = {}
+    for r in sorted(bpe.stitched_pieces(rows, PATH, 1000, 50).collect(), key=lambda r: (r["row"], r["piece"])):
+        assert r["piece"] == len(got.setdefault(r["row"], []))
+        got[r["row"]].append(r["text"])
+    assert {i: "".join(p) for i, p in got.items()} == texts_
+    assert len(got[1]) == 1 and len(got[2]) > 3 and len(got[3]) >= 5 and len(got[4]) > 3
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    for i, pieces in got.items():
+        assert [x for p in pieces for x in pattern.findall(p)] == pattern.findall(texts_[i])
+
+
+def test_pieces_of_random_texts_have_the_pre_tokens_of_the_whole(spark):
+    r = random.Random(4)
+    rows = [(i, i, "".join(r.choice(["ab", "'s", " ", "  ", "\n", "1", "!?", "é", "x" * r.randint(1, 90)]) for _ in range(r.randint(50, 300)))) for i in range(60)]
+    got = {}
+    for p in sorted(bpe.stitched_pieces(spark.createDataFrame(rows, "row long, doc_id long, text string"), PATH, 128, 24).collect(), key=lambda p: (p["row"], p["piece"])):
+        got.setdefault(p["row"], []).append(p["text"])
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    assert all([x for p in got[i] for x in pattern.findall(p)] == pattern.findall(t) for i, _, t in rows)
+
+
+def test_encoded_pieces_decode_to_the_text(spark):
+    e = ByteEncoder(PATH)
+    got = {}
+    for p in sorted(bpe.encoded(documents(spark), PATH, 700, 90).collect(), key=lambda p: (p["row"], p["piece"])):
+        got[p["row"]] = got.get(p["row"], b"") + bpe.decode(np.frombuffer(p["ids"], "<u4").tolist(), e.raw)
+    assert sorted(got.values()) == sorted((t or "").encode() for _, t in texts())
 
 
 def test_boundaries_are_those_of_the_whole_text():
