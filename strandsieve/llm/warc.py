@@ -109,6 +109,7 @@ class BundleReader:
         self.sizes, self.unpack = sizes, zstandard.ZstdDecompressor()
         f.seek(self.at[-1])
         self.index = [tuple(x) for x in json.loads(self.unpack.decompress(f.read(sizes[-1][0])[8:]))]
+        self.places = {record_id: (k, at) for record_id, k, at, _ in self.index}
 
     def frame(self, k: int) -> bytes:
         self.f.seek(self.at[k])
@@ -116,7 +117,7 @@ class BundleReader:
 
     def record(self, record_id: str) -> tuple[dict[str, str], bytes]:
         """Random access: only the record's frame is read."""
-        _, k, at, _ = next(x for x in self.index if x[0] == record_id)
+        k, at = self.places[record_id]
         return parse_record(self.frame(k), at)[:2]
 
     def records(self) -> Iterator[tuple[str, dict[str, str], bytes]]:
@@ -127,19 +128,25 @@ class BundleReader:
             yield (record_id, *parse_record(raw, at)[:2])
 
 
-def _urn(page_id: int | None) -> str:
-    return "urn:page:" + ("none" if page_id is None else str(page_id))
+def record_id(page_id: int | None, row: int) -> str:
+    """A record's id: the page's id, and the row's number, which no two records share."""
+    return f"urn:page:{'none' if page_id is None else page_id}:{row}"
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): of pages with equal payloads of at least least bytes the one with the smallest
-    page_id stays (refers_to null), the others refer to it. A page without an id is larger than all others."""
+    """(page_id, url, html, row, refers_to, refers_row): of pages with equal payloads of at least least bytes the one with
+    the smallest page_id stays (refers_to null), the others refer to it. A page without an id is larger than all others.
+
+    Pages are written with their row numbers first, so that these stay the same however often pages are read.
+    """
     text = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("html"), id_or_last("page_id").alias("_p"), F.unhex(F.sha2(text, 256)).alias("_sha"))
-    narrow = rows.filter(F.octet_length("html") >= least).select("_p", "_sha")
-    low = narrow.groupBy("_sha").agg(F.min("_p").alias("low"), F.max("_p").alias("high")).filter("low < high").select("_sha", "low")
-    refers = narrow.join(low, "_sha").filter("_p > low").select("_p", "_sha", F.col("low").alias("refers_to")).distinct()
-    return rows.join(refers, ["_p", "_sha"], "left").select("page_id", "url", "html", "refers_to")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"), F.monotonically_increasing_id().alias("row"))
+    rows = staged(rows, "warc-pages", "zstd")
+    narrow = rows.filter(F.octet_length("html") >= least).select("row", id_or_last("page_id").alias("p"), F.unhex(F.sha2("html", 256)).alias("sha"))
+    low = narrow.groupBy("sha").agg(F.min(F.struct("p", "row")).alias("low"), F.max("p").alias("high")).filter("low.p < high").select("sha", "low")
+    # written first, so that Spark can split the rows of one very common payload
+    refers = narrow.join(staged(low, "warc-lowest"), "sha").filter("p > low.p").select("row", F.col("low.p").alias("refers_to"), F.col("low.row").alias("refers_row"))
+    return rows.join(refers, "row", "left").select("page_id", "url", "html", "row", "refers_to", "refers_row")
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -155,9 +162,10 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             with writing(name) as out:
                 w = BundleWriter(out)
                 while row is not None and w.raw < BUNDLE_BYTES:
-                    page_id, url, html, refers_to = row
+                    page_id, url, html, number, refers_to, refers_row = row
+                    own = record_id(page_id, number)
                     # a line break can't stand in a header
-                    w.add(_urn(page_id), record(_urn(page_id), " ".join((url or "").split()), html.encode(), None if refers_to is None else _urn(refers_to)))
+                    w.add(own, record(own, " ".join((url or "").split()), html.encode(), None if refers_to is None else record_id(refers_to, refers_row)))
                     row = next(rows, None)
                 w.finish()
             yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [w.records], "raw_bytes": [w.raw]}, schema=pa_schema(schema))
@@ -174,8 +182,8 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
     n = max(1, manifest.count())
 
     def number(urn: str | None) -> int | None:
-        tail = (urn or "").strip("<>").rpartition(":")[2]
-        return int(tail) if tail not in ("", "none") else None
+        page_id = (urn or "::none").strip("<>").split(":")[2]
+        return None if page_id == "none" else int(page_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -39,16 +39,22 @@ def test_round_trip(spark):
 def test_bundles_are_plain_zstd_and_seekable(spark):
     manifest = warc.write_bundles(pages(spark), scratch(spark, "warc-test")).collect()
     assert sum(r.n_records for r in manifest) == len(ROWS)
+    ids, referred = [], []
     for r in manifest:
         with warc.reading(r.file) as f:
             raw = f.read(f.size())
             reader = warc.BundleReader(f)
+            heads = [reader.record(x[0])[0] for x in reader.index]
+            ids += [h["warc-record-id"] for h in heads if h["warc-type"] == "response"]
+            referred += [h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"]
+            assert len(reader.places) == len(reader.index) == r.n_records
             for record_id, k, at, size in reader.index[::5]:
                 head, _ = reader.record(record_id)
-                assert head["warc-record-id"] == f"<{record_id}>" or record_id == "urn:page:none"
+                assert head["warc-record-id"] == f"<{record_id}>"
                 assert reader.frame(k)[at : at + 5] == b"WARC/" and size > 0
         plain = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
         assert plain.count(b"WARC/1.1\r\n") == r.n_records and len(plain) == r.raw_bytes
+    assert len(set(ids)) == len(ids) and set(referred) <= set(ids)
 
 
 def test_empty_table(spark):
