@@ -202,18 +202,35 @@ def demux(b: bytes) -> Media:
                     pos = {i: _uint(b, p, q) for i, p, q in elements(b, *own[CUE_TRACK_POSITIONS])}
                     cues.append((_uint(b, *own[CUE_TIME]), pos.get(CUE_TRACK, 0), pos.get(CUE_CLUSTER_POSITION, 0)))
             elif id_ == CLUSTER:
-                first, clusters = 0, clusters + 1
-                for i, x, y in elements(b, a, z):
-                    if i == TIMESTAMP:
-                        first = _uint(b, x, y)
-                    elif i in (SIMPLE_BLOCK, BLOCK_GROUP):
-                        for p, q in [(x, y)] if i == SIMPLE_BLOCK else [(p, q) for j, p, q in elements(b, x, y) if j == BLOCK]:
-                            track, rel, flags, frames = block_frames(b, p, q)
-                            packets += [Packet(track, first + rel, s, n, at - start, bool(flags & 0x80)) for s, n in frames]
+                clusters += 1
+                packets += _cluster(b, a, z, at - start)
             at = z
     return Media(packets, cues, tracks, scale, clusters)
 
 
+def _cluster(b: bytes, a: int, z: int, position: int) -> list[Packet]:
+    packets, first = [], 0
+    for i, x, y in elements(b, a, z):
+        if i == TIMESTAMP:
+            first = _uint(b, x, y)
+        elif i in (SIMPLE_BLOCK, BLOCK_GROUP):
+            for p, q in [(x, y)] if i == SIMPLE_BLOCK else [(p, q) for j, p, q in elements(b, x, y) if j == BLOCK]:
+                track, rel, flags, frames = block_frames(b, p, q)
+                packets += [Packet(track, first + rel, s, n, position, bool(flags & 0x80)) for s, n in frames]
+    return packets
+
+
+def seek(b: bytes, media: Media, timestamp: int) -> list[Packet]:
+    """The packets of the cluster that the last cue at or before timestamp names: no other cluster is read."""
+    position = max((c for c in media.cues if c[0] <= timestamp), default=(0, 0, -1))[2]
+    if position < 0:
+        return []
+    start = next(a for i, a, _ in elements(b, 0, len(b)) if i == SEGMENT)
+    _, a = _vint(b, start + position, True)
+    size, a = _vint(b, a, False)
+    return _cluster(b, a, _open_end(b, a, len(b)) if size is None else a + size, position)
+
+
 def padded(text: bytes) -> bytes:
     """text with spaces up to a positive multiple of FRAME."""
     return text + b" " * (-len(text) % FRAME if text else FRAME)
@@ -274,7 +291,8 @@ def media_features(docs: DataFrame) -> DataFrame:
             for raw in b.column("media").to_pylist():
                 m = demux(raw)
                 payload = b"".join([raw[p.start : p.start + p.size] for p in m.packets])
-                for c, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(m, payload)), strict=True):
+                tail = b"".join([raw[p.start : p.start + p.size] for p in seek(raw, m, m.cues[-1][0])])[-16:]
+                for c, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), feature(m, payload)), strict=True):
                     out[c].append(v)
             return {"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes")} | out
 

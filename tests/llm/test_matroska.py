@@ -18,6 +18,9 @@ def test_round_trip(lacing):
         m = matroska.demux(raw)
         assert b"".join(raw[p.start : p.start + p.size] for p in m.packets) == payload
         assert m.tracks == {1: "A_PCM/INT/LIT"} and len(m.cues) == m.clusters and {c[2] for c in m.cues} == {p.cluster for p in m.packets}
+        for t in (0, 23, 24, m.packets[-1].timestamp, 10**9):
+            want = max(c[0] for c in m.cues if c[0] <= t)
+            assert matroska.seek(raw, m, t) == [p for p in m.packets if p.cluster == next(c[2] for c in m.cues if c[0] == want)]
         if lacing == "none":
             assert [p.timestamp for p in m.packets] == [24 * i for i in range(n // 192)]
 
@@ -55,6 +58,22 @@ def test_query_values(spark):
     assert got == sorted(want)
 
 
+def test_media_and_feature_are_those_of_the_samples(spark):
+    got = sorted((str(r.doc_id), r.media_bytes, r.media_sha256, r.feature) for r in matroska.media_features(documents(spark)).collect())
+    want = []
+    for i, t in texts():
+        q = (t or "").encode()
+        q += b" " * ((-len(q)) % 192 if q else 192)
+        media = matroska.mux(q)
+        x = [b - 128 for b in q]
+        steps = [(b > a) - (b < a) for a, b in zip(x, x[1:], strict=False)]
+        turns = sum(a != b for a, b in zip(steps, steps[1:], strict=False))
+        n, blocks = len(q) // 192, -(-len(q) // (192 * 8))
+        clusters = -(-blocks // 128)
+        want.append((str(i), len(media), hashlib.sha256(media).hexdigest(), f"packets={n};clusters={clusters};cues={clusters};last={(n - 1) // 8 * 8 * 24};sum={sum(x)};energy={sum(v * v for v in x)};turns={turns}"))
+    assert got == sorted(want)
+
+
 def test_packet_table(spark):
     table = matroska.packet_table(matroska.media_column(documents(spark, [(1, "a" * 500), (2, None)]))).orderBy("doc_id", "packet").collect()
     assert [(r.doc_id, r.packet, r.size) for r in table] == [(1, 0, 192), (1, 1, 192), (1, 2, 192), (2, 0, 192)]
