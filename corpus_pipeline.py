@@ -1,60 +1,102 @@
 """From documents to packed training sequences in five stages.
 
-Each stage takes documents that are written tables. It first deletes what earlier stages left in the shared folder, as
-their results are written by then.
+Each stage takes documents that are a written table. It first deletes what the stage before it, in the same thread, left
+in the shared folder, as that stage's result is written by then; results of other calls keep their files.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandsieve.llm import exact_dedup, packing, simhash, substring, toxicity
-from strandsieve.llm.common import shared_dir, sweep
+from strandsieve.llm.common import delete, noting, shared_dir
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: dict[tuple[str, int], list[str]] = {}
 
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = _left.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+        delete(spark, own)
+        own.clear()
+        with noting(own):
+            return f(spark, docs, sf_dir)
+
+    return tidy
+
+
+@stage
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    sweep(spark)
+    """Documents that the toxicity model rejects go.
+
+    Only the text counts, whole. Null and empty texts and documents without a doc_id stay if the model lets them; repeated
+    rows and equal texts stay or go together. All columns stay, whatever their names. An empty table stays empty.
+    """
     return toxicity.keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    sweep(spark)
+    """Of equal texts the one with the largest doc_id stays.
+
+    A null text equals an empty one; a null doc_id is below all others; of rows that repeat the largest doc_id one stays.
+    Long texts are compared whole. All columns stay, whatever their names. An empty table stays empty.
+    """
     return exact_dedup.keep_exact(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are alike to 0.8 or more one stays."""
-    sweep(spark)
+    """Of documents whose five-word shingles are alike to 0.8 or more, directly or over others, that with the smallest doc_id
+    stays.
+
+    Texts without words, null ones too, and documents without a doc_id stay; rows of one doc_id stay or go together. Long
+    texts are read whole. All columns stay, whatever their names. An empty table stays empty.
+    """
     return simhash.keep_near(docs)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of fifty words or more that stand in a document with a smaller doc_id are cut out."""
-    sweep(spark)
+    """Passages of fifty words or more that also stand in a document with a smaller doc_id are cut out.
+
+    No row goes; a text may become empty, a null one stays null. A document without a doc_id is larger than all others.
+    Repeated rows lose the same words. All columns stay, n_chars follows the text. An empty table stays empty.
+    """
     return substring.without_repeats(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 2048 with little padding."""
-    sweep(spark)
+    """Token sequences of 2048 with little padding, one row for each piece of a document.
+
+    A null text counts as empty and has the end id alone; null and repeated doc_ids are packed like others. Long texts
+    have many pieces; ties go by doc_id and place. An empty table gives no row.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", civil), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", repeats), ("packing", packed)]
 
-#: Tokenisation has no SQL; tests hold the stages against brute force.
+#: Tokenisation has no SQL; tests hold the stages against plain versions of them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to the documents of sf_dir, each result written and read again."""
+    """STAGES applied to the documents of sf_dir, each result written and read again; only the last stage's input stays."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(docs.schema).parquet(f"{folder}/{name}")
+    before: list[str] = []
+    for name, f in STAGES[:-1]:
+        f(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        delete(spark, before)
+        before = [f"{folder}/{name}"]
+        docs = spark.read.schema(docs.schema).parquet(*before)
     return STAGES[-1][1](spark, docs, sf_dir)
