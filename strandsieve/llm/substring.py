@@ -4,7 +4,8 @@ A window is so many consecutive words of one document. Each has a minimiser: the
 it. Consecutive windows with one minimiser make a super-k-mer, which travels as one packed string to the minimiser's
 bucket; equal windows have equal minimisers, so they meet there, and sorting the bucket's windows finds for each the
 smallest document. Only super-k-mers whose minimiser occurs in two documents travel. A bucket with many of them is
-dealt into salted parts, each sorted alone; a part's own smallest document then stands for it among the parts.
+dealt by document into salted parts, each sorted alone; of each window the part's own smallest document then stands for
+it among the parts, where windows are told apart by 128-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from .common import id_or_last, map_batches, pa_schema, small_batches, split_by_
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Super-k-mers in a part of a bucket, about. A task holds one part at a time, of at most 128 windows each.
+PART = 1000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -101,9 +105,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"d": id_or_last("doc_id"), "key": F.xxhash64(text), "text": text})
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, run: int = 12, part: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, run: int = 12, part: int = PART) -> DataFrame:
     """(d, key, spans) of each text with windows that also start in a document with a smaller id: word ranges, end not
-    included. part: super-k-mers in a salted part of a bucket, about."""
+    included."""
     spark = docs.sparkSession
     small_batches(spark, 512)
     keyed = _keyed(docs.select("doc_id", "text")).select("d", "key", "text")
@@ -117,8 +121,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, run: int = 12, part: int =
 
     kmers = staged(map_batches(keyed, find, "d long, key long, at long, n long, m long"), "super-kmers")
     shared = kmers.groupBy("m").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("c")).filter("low < high")
-    travel = kmers.join(shared.select("m", F.ceil(F.col("c") / part).alias("salts")), "m")
-    travel = travel.groupBy("d", "key").agg(F.collect_set(F.struct("at", "n", "m", "salts")).alias("go"))
+    shared = staged(shared.select("m", F.ceil(F.col("c") / part).alias("salts")), "shared-minimisers")
+    travel = kmers.join(shared, "m").withColumn("salt", F.pmod(F.xxhash64("d", "key", "at"), F.col("salts")))
+    travel = travel.groupBy("d", "key").agg(F.collect_set(F.struct("at", "n", "m", "salt", "salts")).alias("go"))
     packed = "m long, salt long, salts long, d long, key long, at long, words binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,24 +133,24 @@ def repeated_spans(docs: DataFrame, window: int = 50, run: int = 12, part: int =
             for d, key, text, go in zip(*(b.column(c).to_pylist() for c in ("d", "key", "text", "go")), strict=True):
                 words = text.split()
                 for x in go:
-                    out.append((x["m"], (key ^ x["at"]) % x["salts"], x["salts"], d, key, x["at"], b" ".join(words[x["at"] : x["at"] + x["n"] + window - 1])))
+                    out.append((x["m"], x["salt"], x["salts"], d, key, x["at"], b" ".join(words[x["at"] : x["at"] + x["n"] + window - 1])))
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), schema.types, strict=True)], schema=schema)
 
     moved = keyed.join(travel, ["d", "key"]).mapInArrow(cut, packed)
-    judged = "d long, key long, start long, end long, words binary"
+    judged = "d long, key long, start long, end long, digest binary"
     found = staged(moved.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(lambda rows: _sorted_buckets(rows, window, judged), judged), "repeated")
-    spans = found.filter("words IS NULL").select("d", "key", "start", "end")
+    spans = found.filter("digest IS NULL").select("d", "key", "start", "end")
     # windows whose part had no smaller document: the smallest of all parts decides
-    open_ = found.filter("words IS NOT NULL")
-    low = open_.groupBy("words").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("words", "low")
-    late = open_.join(low, "words").filter("d > low").select("d", "key", "start", "end")
+    open_ = found.filter("digest IS NOT NULL")
+    low = open_.groupBy("digest").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("digest", "low")
+    late = open_.join(staged(low, "lowest"), "digest").filter("d > low").select("d", "key", "start", "end")
     return spans.unionAll(late).groupBy("d", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def _sorted_buckets(rows: Iterator[pa.RecordBatch], window: int, schema: str) -> Iterator[pa.RecordBatch]:
     """Super-k-mers sorted by bucket and salt to the spans that a smaller document of the part has as well; and, of
-    salted buckets, the windows of each part's smallest documents with their words."""
+    salted buckets, the windows of each part's smallest documents with a digest of their words."""
     arrow = pa_schema(schema)
     held, last, out = [], None, []
 
@@ -163,7 +168,7 @@ def _sorted_buckets(rows: Iterator[pa.RecordBatch], window: int, schema: str) ->
             if d > low:
                 gone.append((d, key, at))
             elif salts > 1:
-                out.append((d, key, at, at + window, w))
+                out.append((d, key, at, at + window, xxhash.xxh3_128_digest(w)))
         gone.sort()
         before = None
         for d, key, at in gone:
@@ -205,7 +210,7 @@ def _kept(text: bytes, spans) -> tuple[int, list[bytes]]:
     return len(words), [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, run: int = 12, part: int = 2000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, run: int = 12, part: int = PART) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
 
     Words are runs of other characters than space, tab and line ends, unchanged. A word goes if a window over it also
@@ -225,13 +230,18 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 12, part: int
     return map_batches(rows, make, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int = 2000) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int = PART) -> DataFrame:
     """docs with the repeated words taken out: texts that lose words are their other words, joined by one space; all
-    others stay as they are. n_chars follows the text."""
+    others stay as they are. n_chars follows the text.
+
+    All rows and columns stay, whatever their names. A null or empty text stays as it is; a document without a doc_id
+    counts as larger than all others; rows of one doc_id don't count against each other, and rows of one doc_id and text
+    lose the same words. A text that is all repeated becomes empty. Long texts are read whole. An empty table stays empty.
+    """
     spans = staged(repeated_spans(docs, window, run, part), "spans")
-    ids = docs.withColumns({"_sub_d": id_or_last("doc_id"), "_sub_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    ids, whole = split_by_keys(ids, F.col("_sub_key"), F.col("key"), spans)
-    rows = ids.join(spans.withColumnsRenamed({"d": "_sub_d", "key": "_sub_key", "spans": "_sub_spans"}), ["_sub_d", "_sub_key"], "left")
+    ids = docs.select(F.struct("*").alias("row"), id_or_last("doc_id").alias("d"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("key"))
+    ids, whole = split_by_keys(ids, F.col("key"), F.col("key"), spans)
+    rows = ids.join(spans, ["d", "key"], "left")
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -239,7 +249,9 @@ def without_repeats(docs: DataFrame, window: int = 50, run: int = 12, part: int
 
         return pd.Series([t if s is None else b" ".join(_kept(t.encode(), s)[1]).decode() for t, s in zip(text, spans, strict=True)])
 
-    rows = rows.withColumn("text", F.when(F.col("_sub_spans").isNull(), F.col("text")).otherwise(cut("text", "_sub_spans")))
+    lost = F.col("spans").isNotNull()
+    rows = rows.withColumn("left", F.when(lost, cut("row.text", "spans")))
+    row = F.col("row").withField("text", F.when(lost, F.col("left")).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_sub_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns).unionByName(whole.select(*docs.columns))
+        row = row.withField("n_chars", F.when(lost, F.length("left").cast("long")).otherwise(F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*").unionByName(whole.select("row.*"))
