@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def clean(col: str | Column, keep: str = "ATGCN") -> Column:
     """Upper case of the letters in keep; everything else goes. A null stays null."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.upper(F.regexp_replace(c, f"[^{keep}{keep.lower()}]", ""))
+    return F.upper(F.regexp_replace(c, f"[^{keep}{keep.lower()}]+", ""))
 
 
 def count_letter(col: str | Column, letter: str) -> Column:

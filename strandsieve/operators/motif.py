@@ -49,6 +49,7 @@ def enriched_kmers(df: DataFrame, k: int = 6, top: int = 10, background: DataFra
     """
     bg, total = pooled_counts(df if background is None else background, k, first)
     counted = kmer_counts(df.select("seq_id", "seq"), k)
+    # broadcast: the partitioning by record stays, so ranks need no shuffle
     joined = counted.join(F.broadcast(bg), "kmer", "left").crossJoin(F.broadcast(total))
     fold = (F.col("cnt") / F.col("total")) / ((F.coalesce("bg", F.lit(0)) + 1) / (F.col("bg_total") + 4**k))
     ranked = joined.withColumn("fold", fold).withColumn("rank", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("fold"), "first_pos")))

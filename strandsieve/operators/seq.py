@@ -57,19 +57,26 @@ def kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 
 def tokens(df: DataFrame, ks: tuple[int, ...] = (4, 6, 8), seq: str = "frag") -> DataFrame:
-    """k, pos and token (k{k}_{kmer}) of all overlapping k-mers for each k."""
-    parts = [kmers(df, k, seq).select("*", F.lit(k).alias("k")) for k in ks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*[c for c in out.columns if c != "kmer"], F.concat(F.lit("k"), F.col("k").cast("string"), F.lit("_"), F.col("kmer")).alias("token"))
+    """k, pos and token (k{k}_{kmer}) of all overlapping k-mers for each k, made in one pass; for fragments, which are short."""
+    n = F.length(seq)
+
+    def of(k: int) -> Column:
+        one = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(F.lit(k).alias("k"), (i - 1).cast("long").alias("pos"), F.concat(F.lit(f"k{k}_"), F.substring(F.col(seq), i.cast("int"), F.lit(k))).alias("token")))
+        return F.when(n >= k, one).otherwise(F.array().cast("array<struct<k:int,pos:bigint,token:string>>"))
+
+    every = F.concat(*map(of, ks))
+    rest = [c for c in df.columns if c != seq]
+    return df.select(*rest, F.explode(every).alias("_t")).select(*rest, "_t.pos", "_t.k", "_t.token")
 
 
 def kmer_counts(df: DataFrame, k: int, by: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """Count, first position and relative frequency of each k-mer of each record."""
-    counted = kmers(df.select(*by, "seq"), k).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
-    totals = df.groupBy(*by).agg(F.sum(F.greatest(F.length("seq") - k + 1, F.lit(0))).alias("total"))
-    return counted.join(totals, list(by)).withColumn("freq", F.col("cnt") / F.col("total"))
+    """Count, first position and relative frequency of each k-mer of each record.
+
+    Records are dealt out by their key, and their k-mers are counted where they are made: no k-mer is shuffled. A task
+    holds a counter for each k-mer that occurs.
+    """
+    counted = kmers(df.select(*by, "seq").repartition(*by), k).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    return counted.withColumn("total", F.sum("cnt").over(Window.partitionBy(*by))).withColumn("freq", F.col("cnt") / F.col("total"))
 
 
 def pooled_counts(df: DataFrame, k: int, first: int = 20, most: int = 50_000, least: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -85,10 +92,9 @@ def composition(df: DataFrame, seq: str = "frag") -> DataFrame:
 
 def kmer_vectors(frags: DataFrame, by: tuple[str, ...], k: int = 4, seq: str = "frag") -> DataFrame:
     """Relative frequencies of the k-mers over A, T, G and C, those that occur: by, kmer, freq."""
-    known = kmers(frags.select(*by, seq), k, seq).filter(~F.col("kmer").contains("N"))
+    known = kmers(frags.select(*by, seq).repartition(*by), k, seq).filter(~F.col("kmer").contains("N"))
     counted = known.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("cnt"))
-    total = counted.groupBy(*by).agg(F.sum("cnt").alias("total"))
-    return counted.join(total, list(by)).select(*by, "kmer", (F.col("cnt") / F.col("total")).alias("freq"))
+    return counted.select(*by, "kmer", (F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by))).alias("freq"))
 
 
 def gc_track(df: DataFrame) -> DataFrame:
