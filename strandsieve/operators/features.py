@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import mixed
+from .ranges import mixed
 from .seq import tokens
 
 

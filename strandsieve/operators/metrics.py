@@ -1,7 +1,7 @@
 """Ranks, curves, intervals and tables of labelled scores, by key.
 
 A table of labelled scores is (key..., y, x): y is 1 or 0 (or a class), x the score. Rows are first counted by distinct
-score, so windows run over distinct scores within a key only.
+score; sums along the scores run in ranges of them (ranges.py), so no task orders all scores of a key.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 #: The two-sided 95 % normal quantile.
 Z95 = 1.959963984540054
 
@@ -23,20 +25,13 @@ def by_score(df: DataFrame, by: tuple[str, ...], y: str = "y", x: str = "x") ->
 def midranks(df: DataFrame, by: tuple[str, ...], x: str = "x") -> DataFrame:
     """Adds midrank: the mean of the 1-based ranks that equal scores of a key share."""
     counted = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.select(*by, x, (below + (F.col("_c") + 1) / 2).alias("midrank"))
+    ranks = running_sums(counted, by, x, ("_c",)).select(*by, x, (F.col("below__c") + (F.col("_c") + 1) / 2).alias("midrank"))
     return df.join(ranks, [*by, x])
 
 
-def _ordered(by: tuple[str, ...], x: str, descending: bool = False):
-    return Window.partitionBy(*by).orderBy(F.desc(x) if descending else F.col(x))
-
-
 def auroc(df: DataFrame, by: tuple[str, ...], y: str = "y", x: str = "x") -> DataFrame:
     """by, m (positives), n (negatives) and auroc, equal scores counting half; null without both kinds."""
-    counted = by_score(df, by, y, x)
-    below = F.coalesce(F.sum("neg").over(_ordered(by, x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counted.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running_sums(by_score(df, by, y, x), by, x, ("neg",)).withColumn("_won", F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
     out = won.groupBy(*by).agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"), F.sum("_won").alias("_u"))
     return out.select(*by, "m", "n", (F.col("_u") / F.nullif(F.col("m") * F.col("n"), F.lit(0))).alias("auroc"))
 
@@ -55,27 +50,29 @@ def macro_auroc(df: DataFrame, classes: list[int], scores: dict[int, str], label
 
 def roc_points(df: DataFrame, by: tuple[str, ...], y: str = "y", x: str = "x") -> DataFrame:
     """by, x, tp, fp, tpr, fpr at each distinct score taken as the threshold."""
-    counted = by_score(df, by, y, x)
-    w = _ordered(by, x, True).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    out = counted.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "_m": F.sum("pos").over(all_), "_n": F.sum("neg").over(all_)})
-    return out.select(*by, x, "tp", "fp", (F.col("tp") / F.nullif("_m", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("_n", F.lit(0))).alias("fpr"))
+    return _points(by_score(df, by, y, x), by, x).select(*by, x, "tp", "fp", "tpr", "fpr")
+
+
+def _points(counted: DataFrame, by: tuple[str, ...], x: str) -> DataFrame:
+    out = running_sums(counted, by, x, ("pos", "neg")).withColumns({"tp": F.col("all_pos") - F.col("below_pos"), "fp": F.col("all_neg") - F.col("below_neg")})
+    return out.withColumns({"tpr": F.col("tp") / F.nullif("all_pos", F.lit(0)), "fpr": F.col("fp") / F.nullif("all_neg", F.lit(0))})
 
 
 def average_precision(df: DataFrame, by: tuple[str, ...], y: str = "y", x: str = "x") -> DataFrame:
     """by, ap (steps of recall times precision) and base (share of positives); null without positives."""
-    points = roc_points(df, by, y, x)
-    before = F.coalesce(F.lag("tpr").over(_ordered(by, x, True)), F.lit(0.0))
-    steps = points.withColumn("_s", (F.col("tpr") - before) * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return steps.groupBy(*by).agg(F.sum("_s").alias("ap"), (F.max("tp") / (F.max("tp") + F.max("fp"))).alias("base"))
+    return counted_precision(by_score(df, by, y, x), by, x)
+
+
+def counted_precision(counted: DataFrame, by: tuple[str, ...], x: str = "x") -> DataFrame:
+    """average_precision from pos and neg at each distinct score."""
+    step = F.col("pos") / F.nullif("all_pos", F.lit(0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))
+    return _points(counted, by, x).groupBy(*by).agg(F.sum(step).alias("ap"), (F.max("all_pos") / F.nullif(F.max("all_pos") + F.max("all_neg"), F.lit(0))).alias("base"))
 
 
 def delong(df: DataFrame, by: tuple[str, ...], y: str = "y", x: str = "x", z: float = Z95) -> DataFrame:
     """by, auroc, variance, lo, hi: DeLong's interval, cut to [0, 1]; a kind with one row adds no variance."""
-    counted = by_score(df, by, y, x)
-    w, all_ = _ordered(by, x).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    p = counted.withColumns({"_m": F.sum("pos").over(all_), "_n": F.sum("neg").over(all_), "_pb": F.coalesce(F.sum("pos").over(w), F.lit(0)), "_nb": F.coalesce(F.sum("neg").over(w), F.lit(0))})
-    p = p.withColumns({"v": (F.col("_nb") + F.col("neg") / 2) / F.nullif("_n", F.lit(0)), "u": 1 - (F.col("_pb") + F.col("pos") / 2) / F.nullif("_m", F.lit(0))})
+    p = running_sums(by_score(df, by, y, x), by, x, ("pos", "neg")).withColumnsRenamed({"all_pos": "_m", "all_neg": "_n"})
+    p = p.withColumns({"v": (F.col("below_neg") + F.col("neg") / 2) / F.nullif("_n", F.lit(0)), "u": 1 - (F.col("below_pos") + F.col("pos") / 2) / F.nullif("_m", F.lit(0))})
 
     def var(weight: str, value: str) -> Column:
         n, s, q = F.sum(weight), F.sum(F.col(weight) * F.col(value)), F.sum(F.col(weight) * F.col(value) * F.col(value))
@@ -91,10 +88,9 @@ def ecdf_risk(train: DataFrame, test: DataFrame, x: str = "x") -> DataFrame:
     tables' distinct scores."""
     both = train.groupBy(x).agg(F.count(F.lit(1)).alias("c")).unionAll(test.select(x).distinct().select(x, F.lit(0).alias("c")))
     both = both.groupBy(x).agg(F.sum("c").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("c").over(Window.partitionBy())
-    up_to = below + F.col("c")
-    ranks = both.select(x, ((below + up_to + F.when(up_to > below, 1).otherwise(0)) / (2 * total)).alias("risk"))
+    both = running_sums(both, (), x, ("c",))
+    up_to = F.col("below_c") + F.col("c")
+    ranks = both.select(x, ((F.col("below_c") + up_to + F.when(up_to > F.col("below_c"), 1).otherwise(0)) / (2 * F.col("all_c"))).alias("risk"))
     return test.join(ranks, x)
 
 

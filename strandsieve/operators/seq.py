@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .folds import mixed
+from .ranges import mixed
 
 #: Windows that are cut from one block of a sequence. A sequence is cut into blocks first, so that no window is looked
 #: for from the beginning of a long sequence.

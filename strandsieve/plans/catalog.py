@@ -431,7 +431,8 @@ def tools(spark, sf_dir):
 
 
 @query(f"""{BASE}, {TOOLS}, c AS (SELECT tool, sum(CASE WHEN a = y AND b = y THEN 1 ELSE 0 END)::BIGINT AS n11, sum(CASE WHEN a = y AND b <> y THEN 1 ELSE 0 END)::BIGINT AS n10, sum(CASE WHEN a <> y AND b = y THEN 1 ELSE 0 END)::BIGINT AS n01, sum(CASE WHEN a <> y AND b <> y THEN 1 ELSE 0 END)::BIGINT AS n00 FROM long GROUP BY tool),
-x AS (SELECT *, coalesce((abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) / nullif(n10 + n01, 0), 0) AS chi2 FROM c) SELECT tool, n11, n10, n01, n00, round(chi2, 6) AS chi2, count(*) OVER (PARTITION BY round(chi2, 2)) AS twins FROM x""")
+x AS (SELECT *, coalesce((abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) / nullif(n10 + n01, 0), 0) AS chi2 FROM c), t AS (SELECT *, sqrt(chi2 / 2) AS z, 1 / (1 + 0.3275911::DOUBLE * sqrt(chi2 / 2)) AS t FROM x),
+p AS (SELECT *, round(CASE WHEN n10 + n01 = 0 THEN 1 ELSE ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-z * z) END, 4) AS p FROM t) SELECT tool, n11, n10, n01, n00, round(chi2, 6) AS chi2, p, p < 0.05 AS significant, count(*) OVER (PARTITION BY round(chi2, 2)) AS twins FROM p""")
 def mcnemar(spark, sf_dir):
     return stats.mcnemar_suite(tools(spark, sf_dir), ["by_gc", "by_n"], "own")
 
@@ -650,10 +651,15 @@ def scaled_features(spark, sf_dir):
     return features.scaled(s.select("seq_id", "gc", "ns"), ["gc", "ns"], s.filter("seq_id % 5 <> 0"))
 
 
+POISSON_SQL = " ".join(f"WHEN u < {p}::DOUBLE THEN {n}" for n, p in enumerate(stats.POISSON))
+
+
 @query(f"""{BASE}, ct AS (SELECT y, ns AS x, count(*) AS c FROM scored GROUP BY ALL), rg AS (SELECT *, sum(c) OVER (PARTITION BY y ORDER BY x) AS t FROM ct),
-rw AS (SELECT y, x, unnest(range((t - c)::BIGINT, t::BIGINT)) AS no FROM rg), sz AS (SELECT y, sum(c)::BIGINT AS size FROM ct GROUP BY y),
-dr AS (SELECT b, r.y, ((b * 7919 + r.no * 104729 + r.y * 31 + 42) * 2654435761 % 1000003) % size AS no FROM rw r JOIN sz USING (y) CROSS JOIN range(0, 200) g(b)),
-pts AS (SELECT b AS score, y, x FROM dr JOIN rw USING (y, no)), {CUM}, {ROC}, st AS (SELECT score, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc), ap AS (SELECT score, sum(s) AS ap FROM st GROUP BY score)
+rw AS (SELECT y, x, unnest(range((t - c)::BIGINT, t::BIGINT)) AS no FROM rg),
+dh AS (SELECT b, y, x, (b * 7919 + no * 104729 + y * 31 + 42) % 1000003 AS h FROM rw CROSS JOIN range(0, 2000) g(b)),
+dr AS (SELECT b, y, x, ((h * h + h * 2654435761) % 1000003) / 1000003 AS u FROM dh),
+dn AS (SELECT b, y, x, CASE {POISSON_SQL} ELSE 7 END AS n FROM dr),
+cnt AS (SELECT b AS score, x, sum(y * n)::BIGINT AS pos, sum((1 - y) * n)::BIGINT AS neg FROM dn WHERE n > 0 GROUP BY ALL), {ROC}, st AS (SELECT score, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc), ap AS (SELECT score, sum(s) AS ap FROM st GROUP BY score)
 SELECT round(quantile_cont(ap, 0.025), 6) AS ap_lo, round(quantile_cont(ap, 0.975), 6) AS ap_hi, count(*) AS n FROM ap""")
 def bootstrap_ap(spark, sf_dir):
     return stats.bootstrap_ap(scored(spark, sf_dir).select("y", F.col("ns").alias("x")))

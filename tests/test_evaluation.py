@@ -95,8 +95,8 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     r = random.Random(6)
     df = scores(spark, [r.gauss(1, 1) for _ in range(60)], [r.gauss(0, 1) for _ in range(90)]).withColumn("x", F.round("x", 2))
     ap = metrics.average_precision(df, ("key",)).first().ap
-    b = stats.bootstrap_ap(df, 100).first()
-    assert b.n == 100 and b.ap_lo < ap < b.ap_hi
+    b = stats.bootstrap_ap(df, 200).first()
+    assert b.n == 200 and b.ap_lo < ap < b.ap_hi
 
 
 def test_verdict_cascade(spark):
