@@ -7,27 +7,16 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, NGram, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import folds, metrics
-from .seq import fragments, sliding, whole_fragments
+from .seq import fragments, sliding, token_array, whole_fragments
 
 CLASSES = [0, 1, 2]
 
 
-def token_array(col: str = "frag", ks: tuple[int, ...] = (4, 6, 8)) -> Column:
-    """All k-mer tokens of a fragment as an array. Fragments are short; whole records go through fragments first."""
-    c = F.col(col)
-
-    def of(k: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.concat(F.lit(f"k{k}_"), F.substring(c, i.cast("int"), F.lit(k))))
-        return F.when(F.length(c) >= k, cut).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*(of(k) for k in ks))
-
-
 def with_features(frags: DataFrame, ks: tuple[int, ...] = (4, 6, 8)) -> DataFrame:
     """Adds what the pipelines read: tokens, gc, cpg, gc3."""
     return frags.withColumns({"tokens": token_array("frag", ks), "gc": T.gc_share("frag"), "cpg": T.cpg_share("frag"), "gc3": T.gc3_share("frag")})

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import mixed
-from .seq import tokens
+from .ranges import hash_rank, mixed
+from .seq import token_array
 
 
-def bigrams(toks: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Neighbouring tokens in document order (k, then position), joined by a space."""
-    w = Window.partitionBy(*by).orderBy("k", "pos")
-    return toks.withColumn("_next", F.lead("token").over(w)).filter("_next IS NOT NULL").select(*by, F.concat_ws(" ", "token", "_next").alias("token"))
+def bigrams(tokens: Column) -> Column:
+    """Neighbouring tokens of an array, joined by a space."""
+    return F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(tokens, i + 1)))
 
 
 def term_counts(frags: DataFrame, by: tuple[str, ...], ks: tuple[int, ...] = (4, 6, 8), pairs: bool = True) -> DataFrame:
-    """by, token, tf of the tokens and, with pairs, their bigrams."""
-    toks = tokens(frags.select(*by, "frag"), ks)
-    all_ = toks.select(*by, "token").unionAll(bigrams(toks, by)) if pairs else toks.select(*by, "token")
-    return all_.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """by, token, tf of the tokens and, with pairs, their bigrams in document order (k, then position).
+
+    Fragments are dealt out by their key and counted where they are: no token is shuffled.
+    """
+    rows = frags.select(*by, token_array("frag", ks).alias("_t")).repartition(*by)
+    terms = F.concat("_t", bigrams(F.col("_t"))) if pairs else F.col("_t")
+    return rows.select(*by, F.explode(terms).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, min_df: int = 3, most: int = 100_000) -> DataFrame:
@@ -63,29 +65,36 @@ def scaled(df: DataFrame, cols: list[str], fitted_on: DataFrame | None = None) -
     return out.select(*[c for c in df.columns if c not in cols], *(F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols))
 
 
-def smote(df: DataFrame, key: str, label: str, cols: list[str], k: int = 3, bucket: float = 4.0, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, key: str, label: str, cols: list[str], k: int = 3, bucket: float = 1.0, seed: int = 42, most: int = 512) -> DataFrame:
     """df(key, label, cols) with synthetic rows of smaller classes until all classes are of one size.
 
-    Neighbours come from random projections of the scaled columns (rows of one bucket of a class), not from all pairs; a
-    synthetic row lies between a row and one of its k nearest there. A row without a neighbour is repeated.
+    A synthetic row lies between a row and one of its k nearest rows of the class, by the distance of the scaled columns,
+    among those of its own and the neighbouring buckets of a random projection; buckets of more than about most rows are
+    cut at random, so no task holds more than three times that. A row without a neighbour is repeated. Classes that have
+    no more than k rows are left alone.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
-    need = sizes.crossJoin(F.broadcast(sizes.agg(F.max("c").alias("most")))).select(label, "c", (F.col("most") - F.col("c")).alias("need"))
-    rows = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.join(F.broadcast(need.filter("need > 0")), label))
-    if rows.isEmpty():
-        return df.select(key, label, *cols)
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=1, seed=seed).fit(rows)
-    hashed = lsh.transform(rows).withColumn("_b", F.element_at("_h", 1).cast("string"))
-    # within a bucket rows stand in the order of their first column; neighbours are the next k
-    w = Window.partitionBy(label, "_b").orderBy(*cols, key)
-    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(mixed(key, seed), key)))
-    near = F.array(*(F.lead(F.struct(*cols), i).over(w) for i in range(1, k + 1)))
-    ranked = ranked.withColumn("_near", F.array_compact(near))
-    copies = F.floor((F.col("need") - F.col("_r")) / F.col("c")) + 1
-    out = ranked.filter(F.col("_r") <= F.col("need")).withColumn("_j", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
-    u = mixed(F.col(key) * 31 + F.col("_j"), seed)
-    out = out.withColumns({"_t": u / 1_000_003, "_o": F.when(F.size("_near") > 0, F.get("_near", F.pmod(u, F.greatest(F.size("_near"), F.lit(1))).cast("int")))})
-    made = out.select((-F.col(key) * 1000 - F.col("_j") - 1).alias(key), label, *((F.col(c) + F.col("_t") * (F.coalesce(F.col(f"_o.{c}"), F.col(c)) - F.col(c))).alias(c) for c in cols))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    need = sizes.crossJoin(F.broadcast(sizes.agg(F.max("_c").alias("_most")))).filter((F.col("_c") < F.col("_most")) & (F.col("_c") > k)).select(label, "_c", (F.col("_most") - F.col("_c")).alias("_need"))
+    ranked = hash_rank(df.select(key, label, *cols).join(F.broadcast(need), label), (label,), key, seed, name="_r")
+    # a few unit directions that the seed fixes; the position along their sum names the bucket
+    ends = ranked.groupBy(label).agg(*(f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    units = {c: (F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(1e-9)) for c in cols}
+    weights = [1.0 - 2 * ((seed * 7919 + i * 104729) % 1000) / 1000 for i in range(len(cols))]
+    norm = sum(w * w for w in weights) ** 0.5 or 1.0
+    along = sum((F.lit(w / norm) * u for w, u in zip(weights, units.values(), strict=True)), F.lit(0.0))
+    at = ranked.join(F.broadcast(ends), label).withColumns({"_u": F.array(*units.values()), "_b": F.floor(along / bucket).cast("long")}).drop(*(f"_{n}_{c}" for c in cols for n in "ms"))
+    crowd = at.groupBy(label, "_b").agg(F.ceil(F.count(F.lit(1)) / most).alias("_cuts"))
+    at = at.join(crowd, [label, "_b"]).withColumn("_cut", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("_cuts")))
+    own = at.filter(F.col("_r") <= F.col("_need")).select(F.col(key).alias("_k"), label, "_u", "_r", "_need", "_c", F.array(*cols).alias("_x"), F.explode(F.array(*(F.col("_b") + d for d in (-1, 0, 1)))).alias("_b"), F.col("_cut").alias("_own"))
+    near = own.join(crowd, [label, "_b"]).withColumn("_cut", F.pmod("_own", F.col("_cuts"))).drop("_cuts", "_own")
+    other = at.select(label, "_b", "_cut", F.col(key).alias("_o"), F.col("_u").alias("_v"), F.array(*cols).alias("_y"))
+    pairs = near.join(other, [label, "_b", "_cut"], "left").withColumn("_d", F.when(F.col("_k") != F.col("_o"), F.aggregate(F.zip_with("_u", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
+    w = Window.partitionBy("_k").orderBy(F.col("_d").asc_nulls_last(), "_o")
+    best = pairs.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
+    best = best.groupBy("_k", label, "_r", "_need", "_c", "_x").agg(F.array_sort(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_o", "_y")))).alias("_near"))
+    out = best.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.floor((F.col("_need") - F.col("_r")) / F.col("_c"))).cast("int"))))
+    u = mixed(F.col("_k") * 31 + F.col("_j"), seed)
+    pick = F.when(F.size("_near") > 0, F.get("_near", F.pmod(u, F.greatest(F.size("_near"), F.lit(1))).cast("int"))["_y"]).otherwise(F.col("_x"))
+    out = out.withColumns({"_t": u / 1_000_003, "_z": pick})
+    made = out.select((-F.col("_k") * 1000 - F.col("_j") - 1).alias(key), label, *((F.col("_x")[i] + F.col("_t") * (F.col("_z")[i] - F.col("_x")[i])).alias(c) for i, c in enumerate(cols)))
     return df.select(key, label, *cols).unionByName(made)
