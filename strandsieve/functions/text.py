@@ -128,3 +128,14 @@ def header_label(header: Column, seq_id: Column, labels: tuple[str, ...], tag: s
 def header_level(header: Column, seq_id: Column, levels: tuple[str, ...] = ("EASY", "MEDIUM", "HARD", "CHALLENGING")) -> Column:
     h = F.upper(header)
     return F.coalesce(*(F.when(h.contains(x), x) for x in levels), F.upper(F.get(F.split(seq_id, "_"), F.lit(3))), F.lit("UNKNOWN"))
+
+
+def tagged_label(header: Column, seq_id: Column, given: Column, labels: tuple[str, ...], tag: str = "SRC") -> Column:
+    """A record's label: the given one, else its tag LABEL_X, else the first label named in its id alone; null if none."""
+    tagged = F.nullif(F.regexp_extract(F.upper(header), f"{tag}=LABEL_({'|'.join(labels)})", 1), F.lit(""))
+    return F.coalesce(given, tagged, *(F.when(F.upper(seq_id).contains(x), x) for x in labels))
+
+
+def binary_label(header: Column, labels: tuple[tuple[str, int], ...] = (("NATURAL", 0), ("VECTOR", 1), ("SYNTHETIC", 1))) -> Column:
+    """0 or 1 by the first name in the header; null if none."""
+    return F.coalesce(*(F.when(F.upper(header).contains(name), y) for name, y in labels))

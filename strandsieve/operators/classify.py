@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, HashingTF, NGram, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -39,7 +39,7 @@ def stages(dims: int, pairs: bool = False, dense: bool = True) -> list:
     return [*pre, *tf, *scale, VectorAssembler(inputCols=["idf", "dense"], outputCol="features")]
 
 
-def fit_forest(train: DataFrame, trees: int = 40, dims: int = 1024, depth: int = 10, seed: int = 42) -> PipelineModel:
+def fit_forest(train: DataFrame, trees: int = 300, dims: int = 1024, depth: int = 10, seed: int = 42) -> PipelineModel:
     """A random forest with balanced class weights on the fragments' features."""
     rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, labelCol="label", featuresCol="features", maxMemoryInMB=512)
     return Pipeline(stages=[*stages(dims), rf]).fit(balanced_weights(train))
@@ -74,26 +74,29 @@ def isotonic(train: DataFrame, test: DataFrame, y: str = "label") -> DataFrame:
     return out.select(*keep, *(F.coalesce(F.greatest(F.col(f"_q{c}"), F.lit(0.0)) / F.nullif(total, F.lit(0.0)), F.lit(1 / 3)).alias(f"p{c}") for c in CLASSES))
 
 
-def cross_validate(frags: DataFrame, n_folds: int = 3, fit=fit_logistic, seed: int = 42) -> DataFrame:
+def cross_validate(frags: DataFrame, n_folds: int = 5, fit=fit_logistic, seed: int = 42) -> DataFrame:
     """Out-of-fold record probabilities of frags(seq_id, label, frag, ...): fold, seq_id, label, p0..p2.
 
-    Whole records stand in one fold. The loop over folds only holds plans; each fold is one fit and one scoring job.
+    Whole records stand in one fold. The loop over folds only holds plans; each fold is one fit and one scoring job. frags
+    is read again by each, so it should be a table or persisted by the caller.
     """
     assigned = folds.group_folds(frags.select("seq_id", "label"), "seq_id", "label", n_folds, seed).select("seq_id", "fold")
-    rows = frags.join(assigned, "seq_id").persist()
-    try:
-        parts = []
-        for f in range(n_folds):
-            model = fit(rows.filter(F.col("fold") != f))
-            test = rows.filter(F.col("fold") == f)
-            records = test.select("fold", "seq_id", "label").distinct()
-            parts.append(record_probabilities(fragment_probabilities(model, test), records))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.withColumns({f"p{c}": F.round(f"p{c}", 6) for c in CLASSES})
-    finally:
-        rows.unpersist()
+    rows, out = frags.join(assigned, "seq_id"), None
+    for f in range(n_folds):
+        model = fit(rows.filter(F.col("fold") != f))
+        test = rows.filter(F.col("fold") == f)
+        part = record_probabilities(fragment_probabilities(model, test), test.select("fold", "seq_id", "label").distinct())
+        out = part if out is None else out.unionByName(part)
+    return out.withColumns({f"p{c}": F.round(f"p{c}", 6) for c in CLASSES})
+
+
+def calibrated_folds(oof: DataFrame, n_folds: int = 5) -> DataFrame:
+    """Out-of-fold probabilities calibrated by isotonic regressions on the other folds."""
+    out = None
+    for f in range(n_folds):
+        part = isotonic(oof.filter(F.col("fold") != f), oof.filter(F.col("fold") == f))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fold_scores(oof: DataFrame) -> DataFrame:
@@ -106,24 +109,43 @@ def fold_scores(oof: DataFrame) -> DataFrame:
     return macro.select(F.concat(F.lit("Fold "), F.col("fold") + 1).alias("fold"), "auroc").unionByName(rows)
 
 
-def window_sweep(seqs: DataFrame, sizes: list[int], per_class: int = 60, n_folds: int = 3) -> DataFrame:
-    """For each window size: windows, macro AUROC and DeLong's interval of natural against the rest, out of fold.
+def window_sweep(seqs: DataFrame, sizes: tuple[int, ...] = (250, 500, 1000, 2000), per_class: int = 60, n_folds: int = 5, ks: tuple[int, ...] = (4, 6, 8), dims: int = 1 << 14) -> DataFrame:
+    """For each window size: windows, macro AUROC, DeLong's interval of natural against the rest and the mean recalls, out of
+    fold. A size at which a class has no window is left out.
 
     Sizes are a few parameters; the records are the first per_class of each class.
     """
-    chosen = folds.first_per_group(seqs, "label", ["seq_id"], per_class)
-    out = None
+    chosen, out = folds.first_per_group(seqs, "label", ["seq_id"], per_class), None
     for size in sizes:
-        frags = with_features(whole_fragments(chosen, size), (4,))
-        oof = cross_validate(frags, n_folds, lambda t: fit_logistic(t, 256, 30))
-        macro = metrics.macro_auroc(oof, CLASSES, {c: f"p{c}" for c in CLASSES})
-        ci = metrics.delong(oof.select(F.lit(size).alias("window"), (F.col("label") == 0).cast("int").alias("y"), F.col("p0").alias("x")), ("window",))
-        n = whole_fragments(chosen, size).agg(F.count(F.lit(1)).alias("n_windows"))
-        row = ci.crossJoin(macro).crossJoin(n).select("window", "n_windows", "macro_auroc", F.col("auroc").alias("auroc_natural"), "lo", "hi")
-        out = row if out is None else out.unionByName(row)
+        frags = with_features(whole_fragments(chosen, size), ks)
+        if frags.select("label").distinct().count() == len(CLASSES):
+            oof = cross_validate(frags, n_folds, lambda t: fit_logistic(t, dims, 1000))
+            p = T.argmax(F.array(*(f"p{c}" for c in CLASSES)))
+            recalls = metrics.mean_recalls(oof.select("fold", F.col("label").alias("y"), p.alias("p")), "fold", CLASSES).groupBy().pivot("class", CLASSES).agg(F.first("recall"))
+            macro = metrics.macro_auroc(oof, CLASSES, {c: f"p{c}" for c in CLASSES})
+            ci = metrics.delong(oof.select(F.lit(size).alias("window"), (F.col("label") == 0).cast("int").alias("y"), F.col("p0").alias("x")), ("window",))
+            n = frags.agg(F.count(F.lit(1)).alias("n_windows"))
+            row = ci.crossJoin(macro).crossJoin(n).crossJoin(recalls).select("window", "n_windows", "macro_auroc", F.col("auroc").alias("auroc_natural"), "lo", "hi", *(F.col(str(c)).alias(f"recall_{c}") for c in CLASSES))
+            out = row if out is None else out.unionByName(row)
+    if out is None:
+        schema = "window int, n_windows long, macro_auroc double, auroc_natural double, lo double, hi double" + "".join(f", recall_{c} double" for c in CLASSES)
+        return seqs.sparkSession.createDataFrame([], schema)
     return out
 
 
+def token_importances(frags: DataFrame, trees: int = 300, k: int = 8, most: int = 100_000, depth: int = 10, seed: int = 42) -> DataFrame:
+    """token, weight: the importance of each k-mer of the vocabulary in a random forest on the fragments' k-mer counts.
+
+    The vocabulary is the most frequent k-mers in at least three fragments, so an importance has a token's name.
+    """
+    tokens = frags.select("label", token_array("frag", (k,)).alias("tokens"))
+    counter = CountVectorizer(inputCol="tokens", outputCol="features", minDF=3, vocabSize=most).fit(tokens)
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, labelCol="label", featuresCol="features", maxMemoryInMB=512)
+    found = rf.fit(balanced_weights(counter.transform(tokens))).featureImportances
+    rows = [(counter.vocabulary[int(i)], float(w)) for i, w in zip(found.indices, found.values, strict=True)]
+    return frags.sparkSession.createDataFrame(rows, "token string, weight double")
+
+
 def risk_track(seqs: DataFrame, model: PipelineModel) -> DataFrame:
     """seq_id, x and risk along each record: windows of at least 500 letters in up to 40 steps."""
     n = F.length("seq")

@@ -163,3 +163,26 @@ def box_summary(df: DataFrame, by: tuple[str, ...], x: str = "x") -> DataFrame:
     """Exact quartiles, minimum and maximum."""
     q = df.groupBy(*by).agg(F.percentile(x, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q"))
     return q.select(*by, *(F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))))
+
+
+def mean_recalls(df: DataFrame, fold: str, classes: list[int], y: str = "y", p: str = "p") -> DataFrame:
+    """class, folds and recall: the mean over folds of each class's recall; a fold without the class doesn't count, and a
+    class in no fold has a null."""
+    each = df.groupBy(fold, F.col(y).cast("int").alias("class")).agg(F.avg((F.col(y) == F.col(p)).cast("double")).alias("r"))
+    all_ = df.sparkSession.createDataFrame([(c,) for c in classes], "class int")
+    return F.broadcast(all_).join(each.filter(~F.isnan("r")), "class", "left").groupBy("class").agg(F.count("r").alias("folds"), F.avg("r").alias("recall"))
+
+
+def tool_comparison(df: DataFrame, tools: list[str], threshold: float = 0.5, y: str = "y", x: str = "x", tool: str = "tool") -> DataFrame:
+    """tool, auroc, auprc and f1 at the threshold of (tool, y, x); a tool without rows has nulls: nothing is made up."""
+    f1 = at_threshold(df, (tool,), F.lit(threshold), y, x).select(tool, "f1")
+    out = df.sparkSession.createDataFrame([(t,) for t in tools], f"{tool} string")
+    for part in (auroc(df, (tool,), y, x).select(tool, "auroc"), average_precision(df, (tool,), y, x).select(tool, F.col("ap").alias("auprc")), f1):
+        out = out.join(part, tool, "left")
+    return out
+
+
+def evaluation_summary(df: DataFrame, thresholds: list[float], by: tuple[str, ...], y: str = "y", x: str = "x") -> DataFrame:
+    """by, auroc, ap, base, and the threshold of the largest f1 with its precision, recall and f1."""
+    peak = peak_f1(threshold_sweep(df, thresholds, by, y, x), by).select(*by, "threshold", "precision", F.col("tpr").alias("recall"), "f1")
+    return auroc(df, by, y, x).join(average_precision(df, by, y, x), list(by)).join(peak, list(by)).select(*by, "auroc", "ap", "base", "threshold", "precision", "recall", "f1")

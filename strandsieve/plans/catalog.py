@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -245,8 +245,8 @@ def motif_positions(spark, sf_dir):
 
 HITS = f"""WITH {SEQS}, {REFS},
 st AS (SELECT ref_id, '+' AS strand, seq FROM refs UNION ALL SELECT ref_id, '-', reverse(translate(seq, 'ATGC', 'TACG')) FROM refs),
-db0 AS (SELECT ref_id, strand, i - 1 AS s_pos, substr(seq, i, 16) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 14)) AS i FROM st WHERE length(seq) >= 16)),
-mask AS (SELECT kmer FROM db0 GROUP BY kmer HAVING count(*) > 1000), db AS (SELECT * FROM db0 ANTI JOIN mask USING (kmer)),
+db AS (SELECT ref_id, strand, i - 1 AS s_pos, substr(seq, i, 16) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 14)) AS i FROM st WHERE length(seq) >= 16)),
+
 qk AS (SELECT seq_id, i - 1 AS pos, substr(seq, i, 16) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 14)) AS i FROM seqs WHERE length(seq) >= 16)),
 sd AS (SELECT seq_id, ref_id, strand, pos, pos - s_pos AS diag FROM qk JOIN db USING (kmer)),
 mk AS (SELECT *, CASE WHEN coalesce(pos - (lag(pos) OVER w + 16), 17) > 16 THEN 1 ELSE 0 END AS nw FROM sd WINDOW w AS (PARTITION BY seq_id, ref_id, strand, diag ORDER BY pos)),
@@ -583,56 +583,65 @@ def signal_gap(spark, sf_dir):
     return s.select("seq_id", F.col("max_identity").alias("identity"), "ood", (F.col("ood") > 50).cast("int").alias("label"), zone.alias("in_zone"), (F.col("ood") >= 5).alias("novel_screen"), (F.col("ood") >= 50).alias("novel_eval"))
 
 
-GRID = ", ".join(f"({g}, {a / 5}::DOUBLE, {b / 5}::DOUBLE, {(5 - a - b) / 5}::DOUBLE)" for g, (a, b) in enumerate((a, b) for a in range(6) for b in range(6 - a)))
-GRID_SQL = f"""{ABL.split('pts AS')[0]} grid(score, w_ai, w_od, w_motif) AS (VALUES {GRID}), pts AS (SELECT score, y, round(0 + w_ai * ai + w_od * od + w_motif * least(1, n_motifs / 3), 9) AS x FROM lb CROSS JOIN grid), {CUM}, {AUC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score)"""
+ENGINES = ("ai", "od", "blast", "motif", "codon")
+POINTS = evidence.simplex(len(ENGINES), 5)
+GRID = ", ".join(f"({g}, {', '.join(f'{w / 5}::DOUBLE' for w in p)})" for g, p in enumerate(POINTS))
+WEIGHTED = " + ".join(f"w_{e} * {e}" for e in ENGINES)
+GRID_SQL = f"""{SIGNALS}, {LABELS}, {CODON_REC}, lb AS (SELECT CASE WHEN label <> 0 THEN 1 ELSE 0 END AS y, risk / 100 AS ai, ood / 100 AS od, CASE WHEN n_hits > 0 THEN 1 ELSE 0 END::DOUBLE AS blast, least(1, n_motifs / 3)::DOUBLE AS motif,
+ CASE WHEN coalesce(cai, 0) > 0.65 OR coalesce(bias, 0) > 0.45 THEN 1 ELSE 0 END::DOUBLE AS codon FROM sig JOIN lab USING (seq_id) LEFT JOIN cai USING (seq_id) LEFT JOIN used USING (seq_id)),
+grid(score, {', '.join(f'w_{e}' for e in ENGINES)}) AS (VALUES {GRID}), pts AS (SELECT score, y, round(0 + {WEIGHTED}, 9) AS x FROM lb CROSS JOIN grid), {CUM}, {AUC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score)"""
+GRID_COLUMNS = "score::BIGINT AS grid, " + ", ".join(f"w_{e}" for e in ENGINES) + ", round(auroc, 6) AS auroc"
 
 
 def engines(spark, sf_dir):
-    rows = signals(spark, sf_dir).join(labels(spark, sf_dir), "seq_id")
-    return rows.select((F.col("label") != 0).cast("int").alias("y"), (F.col("risk") / 100).alias("ai"), (F.col("ood") / 100).alias("od"), F.least(F.lit(1.0), F.col("n_motifs") / F.lit(3.0)).alias("motif"))
+    used = codon.codon_summary(sequences(spark, sf_dir)).select("seq_id", F.col("flag").alias("codon_flag"))
+    rows = signals(spark, sf_dir).join(labels(spark, sf_dir), "seq_id").join(used, "seq_id")
+    e = evidence.engine_scores(*(F.col(c) for c in ("risk", "ood", "n_hits", "n_motifs", "codon_flag")))
+    return rows.select((F.col("label") != 0).cast("int").alias("y"), *(c.alias(n) for n, c in zip(ENGINES, e.values(), strict=True)))
 
 
-@query(f"{GRID_SQL} SELECT score::BIGINT AS grid, w_ai, w_od, w_motif, round(auroc, 6) AS auroc FROM a JOIN grid USING (score)")
+@query(f"{GRID_SQL} SELECT {GRID_COLUMNS} FROM a JOIN grid USING (score)")
 def fusion_grid(spark, sf_dir):
-    return evidence.fusion_grid(engines(spark, sf_dir), ["ai", "od", "motif"])
+    return evidence.fusion_grid(engines(spark, sf_dir), list(ENGINES))
 
 
-@query(f"{GRID_SQL} SELECT score::BIGINT AS grid, w_ai, w_od, w_motif, round(auroc, 6) AS auroc FROM a JOIN grid USING (score) ORDER BY a.auroc DESC, score LIMIT 1")
+@query(f"{GRID_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY auroc DESC, score) AS k, max(CASE WHEN {' AND '.join(f'w_{e} = 0.2::DOUBLE' for e in ENGINES)} THEN auroc END) OVER () AS equal FROM a JOIN grid USING (score)) SELECT {GRID_COLUMNS}, round(equal, 6) AS equal_auroc FROM r WHERE k = 1")
 def fusion_best(spark, sf_dir):
-    return evidence.best_weights(evidence.fusion_grid(engines(spark, sf_dir), ["ai", "od", "motif"]))
+    """The best weights beside the area that equal weights reach; these are on the grid, so it is never larger."""
+    return evidence.best_weights(evidence.fusion_grid(engines(spark, sf_dir), list(ENGINES)), list(ENGINES))
 
 
 # token weights
 
-K46 = """k AS (SELECT unnest([4, 6]) AS k), tk AS (SELECT seq_id, idx, k, i, 'k' || k || '_' || substr(frag, i, k) AS token FROM (SELECT seq_id, idx, frag, k, unnest(range(1, length(frag) - k + 2)) AS i FROM frags CROSS JOIN k WHERE length(frag) >= k)),
+TOKENS = """k AS (SELECT unnest([4, 6, 8]) AS k), tk AS (SELECT seq_id, idx, k, i, 'k' || k || '_' || substr(frag, i, k) AS token FROM (SELECT seq_id, idx, frag, k, unnest(range(1, length(frag) - k + 2)) AS i FROM frags CROSS JOIN k WHERE length(frag) >= k)),
 bi AS (SELECT seq_id, idx, token || ' ' || lead(token) OVER (PARTITION BY seq_id, idx ORDER BY k, i) AS token FROM tk),
 tc AS (SELECT seq_id, idx, token, count(*) AS tf FROM (SELECT seq_id, idx, token FROM tk UNION ALL SELECT * FROM bi WHERE token IS NOT NULL) GROUP BY ALL),
-vo AS (SELECT token, count(*) AS df, sum(tf)::BIGINT AS n FROM tc GROUP BY token HAVING count(*) >= 3 ORDER BY n DESC, token LIMIT 5000),
+vo AS (SELECT token, count(*) AS df, sum(tf)::BIGINT AS n FROM tc GROUP BY token HAVING count(*) >= 3 ORDER BY n DESC, token LIMIT 100000),
 rw AS (SELECT seq_id, idx, token, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM frags)) / (1 + df)) + 1) AS w FROM tc JOIN vo USING (token)),
 wt AS (SELECT seq_id, idx, token, w / sqrt(sum(w * w) OVER (PARTITION BY seq_id, idx)) AS weight FROM rw)"""
 
 
 def counted(spark, sf_dir):
     frags = seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
-    return frags, features.term_counts(frags, ("seq_id", "idx"), (4, 6))
+    return frags, features.term_counts(frags, ("seq_id", "idx"))
 
 
-@query(f"WITH {SEQS}, {FRAGS}, {K46} SELECT token, df FROM vo")
+@query(f"WITH {SEQS}, {FRAGS}, {TOKENS} SELECT token, df FROM vo")
 def vocabulary(spark, sf_dir):
-    return features.vocabulary(counted(spark, sf_dir)[1], most=5000)
+    return features.vocabulary(counted(spark, sf_dir)[1])
 
 
 def weighted(spark, sf_dir):
     frags, tf = counted(spark, sf_dir)
-    return features.tfidf(tf, features.vocabulary(tf, most=5000), frags.count(), ("seq_id", "idx"))
+    return features.tfidf(tf, features.vocabulary(tf), frags.count(), ("seq_id", "idx"))
 
 
-@query(f"WITH {SEQS}, {FRAGS}, {K46} SELECT seq_id, idx, token, round(weight, 6) AS weight FROM wt")
+@query(f"WITH {SEQS}, {FRAGS}, {TOKENS} SELECT seq_id, idx, token, round(weight, 6) AS weight FROM wt")
 def tfidf_weights(spark, sf_dir):
     return weighted(spark, sf_dir)
 
 
-@query(f"WITH {SEQS}, {FRAGS}, {K46}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, idx ORDER BY round(weight, 9) DESC, token) AS rank FROM wt) SELECT seq_id, idx, rank, token, round(weight, 9) AS weight FROM r WHERE rank <= 5", digits=9)
+@query(f"WITH {SEQS}, {FRAGS}, {TOKENS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, idx ORDER BY round(weight, 9) DESC, token) AS rank FROM wt) SELECT seq_id, idx, rank, token, round(weight, 9) AS weight FROM r WHERE rank <= 5", digits=9)
 def top_tokens(spark, sf_dir):
     return features.top_tokens(weighted(spark, sf_dir).withColumn("weight", F.round("weight", 9)), ("seq_id", "idx"))
 
@@ -645,10 +654,11 @@ def top_dimensions(spark, sf_dir):
     return features.anomalous_dimensions(v, ("seq_id", "idx")).select("seq_id", "idx", "kmer", "rank", "dev")
 
 
-@query(f"{BASE} SELECT seq_id, round((gc - (SELECT avg(gc) FROM scored WHERE seq_id % 5 <> 0)) / (SELECT stddev_pop(gc) FROM scored WHERE seq_id % 5 <> 0), 6) AS gc, round((ns - (SELECT avg(ns) FROM scored WHERE seq_id % 5 <> 0)) / (SELECT stddev_pop(ns) FROM scored WHERE seq_id % 5 <> 0), 6) AS ns FROM scored")
+@query(f"{BASE}, f AS (SELECT avg(gc) AS mg, stddev_pop(gc) AS sg, avg(ns) AS mn, stddev_pop(ns) AS sn FROM scored WHERE label = 0) SELECT seq_id, round((gc - mg) / sg, 6) AS gc, round((ns - mn) / sn, 6) AS ns FROM scored, f")
 def scaled_features(spark, sf_dir):
+    """Every labelled record, scaled by mean and deviation of class 0."""
     s = scored(spark, sf_dir)
-    return features.scaled(s.select("seq_id", "gc", "ns"), ["gc", "ns"], s.filter("seq_id % 5 <> 0"))
+    return features.scaled(s.select("seq_id", "gc", "ns"), ["gc", "ns"], s.filter("label = 0"))
 
 
 POISSON_SQL = " ".join(f"WHEN u < {p}::DOUBLE THEN {n}" for n, p in enumerate(stats.POISSON))
@@ -676,7 +686,7 @@ def envelope(spark, sf_dir) -> tuple[DataFrame, anomaly.Forest]:
     """Vectors of all fragments, and a forest fitted on those of records labelled 0."""
     vectors = fragment_vectors(spark, sf_dir)
     natural = labels(spark, sf_dir).filter("label = 0").select("seq_id")
-    return vectors, anomaly.fit_forest(vectors.join(natural, "seq_id", "left_semi"), trees=100)
+    return vectors, anomaly.fit_forest(vectors.join(natural, "seq_id", "left_semi"))
 
 
 @query()
@@ -725,7 +735,7 @@ def cv_auroc(spark, sf_dir):
 
 def classified(spark, sf_dir):
     """p0..p2 of all records by a random forest on the labelled ones."""
-    model = classify.fit_forest(training(spark, sf_dir), trees=20)
+    model = classify.fit_forest(training(spark, sf_dir))
     seqs = sequences(spark, sf_dir)
     scored_ = classify.fragment_probabilities(model, classify.training_fragments(seqs.select("seq_id", "seq")))
     return classify.record_probabilities(scored_, seqs.select("seq_id", F.length("seq").alias("len")))
@@ -734,20 +744,20 @@ def classified(spark, sf_dir):
 @query()
 def screen_risk(spark, sf_dir):
     p = F.array("p0", "p1", "p2")
-    kind = F.when(F.col("len") < 50, "short").otherwise("standard")
-    return classified(spark, sf_dir).select("seq_id", "p0", "p1", "p2", T.risk(p, F.col("len")).alias("risk"), T.typed_risk(p, kind)["risk"].alias("typed_risk"), T.argmax(p).alias("class"), T.majority(p).alias("majority"))
+    kinds = sequences(spark, sf_dir).select("seq_id", T.sequence_type("seq").alias("kind"))
+    kind = F.col("kind")
+    return classified(spark, sf_dir).join(kinds, "seq_id").select("seq_id", "p0", "p1", "p2", T.risk(p, F.col("len")).alias("risk"), T.typed_risk(p, kind)["risk"].alias("typed_risk"), T.argmax(p).alias("class"), T.majority(p).alias("majority"))
 
 
 @query()
 def isotonic_calibrated(spark, sf_dir):
-    """Out-of-fold probabilities, calibrated on two thirds of the records and applied to the others."""
-    oof = classify.cross_validate(training(spark, sf_dir))
-    return classify.isotonic(oof.filter("seq_id % 3 <> 0"), oof.filter("seq_id % 3 = 0"))
+    """Out-of-fold probabilities of every record, calibrated on the other folds."""
+    return classify.calibrated_folds(classify.cross_validate(training(spark, sf_dir)))
 
 
 @query()
 def window_sweep(spark, sf_dir):
-    return classify.window_sweep(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id"), [250, 500])
+    return classify.window_sweep(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id"))
 
 
 @query()
@@ -763,13 +773,28 @@ def smote_rows(spark, sf_dir):
 
 @query()
 def metrics_table(spark, sf_dir):
-    """Report, AUROC with DeLong's interval and average precision by class, from out-of-fold predictions."""
-    oof = classify.cross_validate(training(spark, sf_dir)).persist()
-    report = metrics.class_report(oof.select(F.col("label").alias("y"), T.argmax(F.array("p0", "p1", "p2")).alias("p")), classify.CLASSES)
+    """Report, AUROC with DeLong's interval, average precision with its bootstrap interval by class, and the accuracy, from
+    out-of-fold predictions; MACRO and ACCURACY have rows of their own."""
+    oof = classify.cross_validate(training(spark, sf_dir))
+    said = oof.select(F.col("label").alias("y"), T.argmax(F.array("p0", "p1", "p2")).alias("p"))
     each = metrics.one_vs_rest(oof, classify.CLASSES, {c: f"p{c}" for c in classify.CLASSES})
     ci = metrics.delong(each, ("class",)).select(F.col("class").cast("string").alias("class"), "auroc", "lo", "hi")
     ap = metrics.average_precision(each, ("class",)).select(F.col("class").cast("string").alias("class"), F.col("ap").alias("auprc"))
-    return report.join(ci, "class", "left").join(ap, "class", "left")
+    drawn = None
+    for c in classify.CLASSES:
+        one = stats.bootstrap_ap(each.filter(F.col("class") == c)).select(F.lit(str(c)).alias("class"), F.col("ap_lo").alias("auprc_lo"), F.col("ap_hi").alias("auprc_hi"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    report = metrics.class_report(said, classify.CLASSES).withColumn("accuracy", F.lit(None).cast("double"))
+    total = said.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("support")).withColumn("class", F.lit("ACCURACY"))
+    report = report.unionByName(total, allowMissingColumns=True)
+    return report.join(ci, "class", "left").join(ap, "class", "left").join(drawn, "class", "left")
+
+
+def named(weights: DataFrame, name: str, value: str) -> DataFrame:
+    """The largest few of each record's fragments, as text: name=value, in order."""
+    best = weights.groupBy("seq_id", name).agg(F.max(F.abs(value)).alias("_v")).withColumn("_n", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("_v"), name))).filter("_n <= 5")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.format_string("%s=%.3f", F.col(name), F.col("_v")).alias("t")))), lambda x: x["t"])
+    return best.groupBy("seq_id").agg(F.array_join(parts, ", ").alias("named"))
 
 
 @query()
@@ -784,8 +809,12 @@ def screen(spark, sf_dir):
     out = rows.drop("risk", "ood").join(p, "seq_id").join(ood, "seq_id", "left").withColumn("ood", F.coalesce("ood", F.lit(0.0)))
     e = evidence.engine_scores(*(F.col(c) for c in ("risk", "ood", "n_hits", "n_motifs", "codon_flag")))
     fused = evidence.fused_cascade(e["kmer"], e["blast"], e["motif"])
-    na = F.lit("n/a")
-    text = evidence.evidence_text(F.col("seq_id"), e, fused, na, na, F.coalesce(F.col("top_subject").cast("string"), F.lit("none")), F.concat(F.col("n_motifs").cast("string"), F.lit(" known")), F.col("bias"))
+    frags = seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
+    tokens = named(features.top_tokens(weighted(spark, sf_dir), ("seq_id", "idx")), "token", "weight").withColumnRenamed("named", "tokens")
+    dims = named(features.anomalous_dimensions(seq.kmer_vectors(frags, ("seq_id", "idx")), ("seq_id", "idx")), "kmer", "dev").withColumnRenamed("named", "dims")
+    out = out.join(tokens, "seq_id", "left").join(dims, "seq_id", "left")
+    none = F.lit("none")
+    text = evidence.evidence_text(F.col("seq_id"), e, fused, F.coalesce("tokens", none), F.coalesce("dims", none), F.coalesce(F.col("top_subject").cast("string"), F.lit("none")), F.concat(F.col("n_motifs").cast("string"), F.lit(" known")), F.col("bias"))
     return out.select("seq_id", "len", "gc_percent", "risk", "ood", "n_hits", "max_identity", "n_motifs", "cai", "bias", fused.alias("fused"), evidence.verdict(*(F.col(c) for c in ("n_hits", "n_motifs", "risk", "len"))).alias("verdict"), strength["ai"].alias("ai"), F.concat_ws(",", evidence.conflicts(strength, F.col("len"))).alias("conflicts"), text.alias("evidence"))
 
 
@@ -799,3 +828,87 @@ def benchmark_result(spark, sf_dir):
     meta = heads.select("seq_id", T.header_label(F.col("header"), F.lit("rec"), known).alias("true_label"), T.header_level(F.col("header"), F.lit("rec")).alias("difficulty"))
     s = signals(spark, sf_dir).join(meta, "seq_id")
     return s.select("seq_id", "true_label", "difficulty", "risk", "ood", "n_hits", evidence.fused_benchmark(F.col("risk") / 100, F.col("n_hits")).alias("fused"), evidence.verdict(*(F.col(c) for c in ("n_hits", "n_motifs", "risk", "len"))).alias("verdict"), "len", "gc_percent")
+
+
+# header variants, recalls by fold, tools, summary
+
+HEADERS = "hd AS (SELECT doc_id AS seq_id, 'rec' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '_vector' ELSE '' END AS id, CASE WHEN doc_id % 3 = 0 THEN 'x SRC=LABEL_' || CASE label WHEN 0 THEN 'NATURAL' WHEN 1 THEN 'VECTOR' ELSE 'SYNTHETIC' END WHEN doc_id % 3 = 1 THEN 'some ' || CASE label WHEN 0 THEN 'natural' WHEN 1 THEN 'vector' ELSE 'Synthetic' END || ' text' ELSE 'no name' END AS header, CASE WHEN doc_id % 5 = 0 THEN 'VECTOR' END AS given FROM documents LEFT JOIN lab ON lab.seq_id = doc_id)"
+
+
+def headers(spark, sf_dir):
+    """Records' headers as such files have them: tagged, named or neither."""
+    d = sequences(spark, sf_dir).select("seq_id").join(labels(spark, sf_dir), "seq_id", "left")
+    name = F.when(F.col("label") == 0, "NATURAL").when(F.col("label") == 1, "VECTOR").otherwise("SYNTHETIC")
+    word = F.when(F.col("label") == 0, "natural").when(F.col("label") == 1, "vector").otherwise("Synthetic")
+    header = F.when(F.col("seq_id") % 3 == 0, F.concat(F.lit("x SRC=LABEL_"), name)).when(F.col("seq_id") % 3 == 1, F.concat(F.lit("some "), word, F.lit(" text"))).otherwise("no name")
+    own = F.concat(F.lit("rec"), F.col("seq_id").cast("string"), F.when(F.col("seq_id") % 7 == 0, "_vector").otherwise(""))
+    return d.select("seq_id", own.alias("id"), header.alias("header"), F.when(F.col("seq_id") % 5 == 0, "VECTOR").alias("given"))
+
+
+@query(f"""WITH {LABELS}, {HEADERS}, t AS (SELECT seq_id, coalesce(given, nullif(regexp_extract(upper(header), 'SRC=LABEL_(NATURAL|VECTOR|SYNTHETIC)', 1), ''), CASE WHEN contains(upper(id), 'NATURAL') THEN 'NATURAL' WHEN contains(upper(id), 'VECTOR') THEN 'VECTOR' WHEN contains(upper(id), 'SYNTHETIC') THEN 'SYNTHETIC' END) AS tagged,
+ CASE WHEN contains(upper(header), 'NATURAL') THEN 0 WHEN contains(upper(header), 'VECTOR') THEN 1 WHEN contains(upper(header), 'SYNTHETIC') THEN 1 END::BIGINT AS y FROM hd) SELECT * FROM t WHERE tagged IS NOT NULL OR y IS NOT NULL""")
+def header_variants(spark, sf_dir):
+    """Labels by the stricter parser and by the binary one; records that neither names drop out."""
+    h = headers(spark, sf_dir)
+    out = h.select("seq_id", T.tagged_label(F.col("header"), F.col("id"), F.col("given"), ("NATURAL", "VECTOR", "SYNTHETIC")).alias("tagged"), T.binary_label(F.col("header")).alias("y"))
+    return out.filter("tagged IS NOT NULL OR y IS NOT NULL")
+
+
+@query(f"{BASE}, pr AS (SELECT lang, label AS y, CASE WHEN ns >= 0.4 THEN 1 WHEN gc >= 0.12 THEN 2 ELSE 0 END AS p FROM scored JOIN seqs USING (seq_id)), e AS (SELECT lang, y, avg(CASE WHEN y = p THEN 1 ELSE 0 END) AS r FROM pr GROUP BY ALL) SELECT c AS class, count(r) AS folds, round(avg(r), 6) AS recall FROM (SELECT unnest([0, 1, 2])::BIGINT AS c) LEFT JOIN e ON y = c GROUP BY c")
+def mean_recall(spark, sf_dir):
+    """Recall of each class, averaged over the languages that have it."""
+    s = scored(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "lang"), "seq_id")
+    said = F.when(F.col("ns") >= 0.4, 1).when(F.col("gc") >= 0.12, 2).otherwise(0)
+    return metrics.mean_recalls(s.select("lang", F.col("label").alias("y"), said.alias("p")), "lang", [0, 1, 2])
+
+
+@query(f"""{BASE}, {BINARY}, {CUM}, {AUC}, {ROC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score),
+st AS (SELECT score, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc), p AS (SELECT score, sum(s) AS ap FROM st GROUP BY score), {SWEEP.replace('unnest(' + str(THRESHOLDS) + ')', 'unnest([0.5])')}
+SELECT tool, round(auroc, 6) AS auroc, round(ap, 6) AS auprc, round(f1, 6) AS f1 FROM (SELECT unnest(['gc', 'ns', 'absent']) AS tool) LEFT JOIN a ON a.score = tool LEFT JOIN p ON p.score = tool LEFT JOIN fs ON fs.score = tool""")
+def tool_comparison(spark, sf_dir):
+    """The two composition scores as tools, and one without predictions."""
+    return metrics.tool_comparison(binary(spark, sf_dir).withColumnRenamed("score", "tool"), ["gc", "ns", "absent"])
+
+
+@query(f"""{BASE}, {BINARY}, {CUM}, {AUC}, {ROC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score),
+st AS (SELECT score, m, n, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc), p AS (SELECT score, sum(s) AS ap, max(m) / (max(m) + max(n)) AS base FROM st GROUP BY score), {SWEEP}, b AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY f1 DESC, threshold) AS k FROM fs)
+SELECT score, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(base, 6) AS base, threshold, round(precision, 6) AS precision, round(tpr, 6) AS recall, round(f1, 6) AS f1 FROM a JOIN p USING (score) JOIN b USING (score) WHERE k = 1""")
+def evaluation_summary(spark, sf_dir):
+    return metrics.evaluation_summary(binary(spark, sf_dir), THRESHOLDS, ("score",))
+
+
+@query()
+def ood_dual(spark, sf_dir):
+    """Scores of two envelopes, of classes 0 and 1, on every record; the first decides."""
+    vectors, forest = envelope(spark, sf_dir)
+    known = labels(spark, sf_dir)
+    other = anomaly.fit_forest(vectors.join(known.filter("label = 1").select("seq_id"), "seq_id", "left_semi"))
+    parts = []
+    for f in (forest, other):
+        raw = anomaly.record_scores(anomaly.raw_scores(vectors, f))
+        cal = anomaly.anchors(raw.join(known.filter("label = 0").select("seq_id"), "seq_id", "left_semi"), raw.join(known.filter("label = 2").select("seq_id"), "seq_id", "left_semi"))
+        parts.append(raw.crossJoin(F.broadcast(cal)).select("seq_id", anomaly.calibrated(*(F.col(c) for c in ("raw", "mean", "std", "high", "direction"))).alias("score")))
+    return anomaly.dual_scores(*parts, sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")))
+
+
+@query()
+def ood_track(spark, sf_dir):
+    """The raw anomaly score along each record, by sliding windows."""
+    _, forest = envelope(spark, sf_dir)
+    windows = anomaly.window_vectors(sequences(spark, sf_dir).select("seq_id", "seq"))
+    return anomaly.raw_scores(windows, forest).select("seq_id", "centre", "raw")
+
+
+@query()
+def ood_sanity(spark, sf_dir):
+    vectors, forest = envelope(spark, sf_dir)
+    return anomaly.sanity(anomaly.record_scores(anomaly.raw_scores(vectors, forest)).join(labels(spark, sf_dir), "seq_id"))
+
+
+@query()
+def saliency(spark, sf_dir):
+    """Importance of the 8-mer at each position of each record."""
+    importances = classify.token_importances(training(spark, sf_dir).select("label", "frag"))
+    frags = seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
+    toks = seq.tokens(frags, (8,)).select("seq_id", (F.col("start") + F.col("pos")).alias("pos"), "token")
+    return features.saliency(toks, importances)

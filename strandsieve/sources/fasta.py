@@ -77,6 +77,25 @@ def read_predictions(spark: SparkSession, path: str, ids: DataFrame, tools: dict
     return grid.join(long, ["seq_id", "tool"], "left").select("seq_id", "tool", F.coalesce("pred", F.lit(0)).alias("pred"))
 
 
+def read_results(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Saved result tables (CSV with a header) by name, those that are there; a missing one is left out."""
+    found = {}
+    for name, path in paths.items():
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(to):
+            found[name] = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return found
+
+
+def read_tests(spark: SparkSession, sources: dict[str, int], least: int = 4) -> DataFrame:
+    """Union of labelled FASTA files all of which must be there."""
+    for path in sources:
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(to):
+            raise FileNotFoundError(f"test set {path} is missing")
+    return read_labelled(spark, sources, least)
+
+
 def write_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     """CSV with a header, doubles to some digits."""
     df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)).write.option("header", True).csv(path)
