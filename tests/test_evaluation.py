@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandsieve.operators import evidence, folds, homology, metrics, stats
+from strandsieve.operators import evidence, folds, homology, metrics, ranges, stats
 
 
 def scores(spark, pos, neg):
@@ -113,3 +113,53 @@ def test_weights(spark, tmp_path):
     evidence.save_weights(spark, {"kmer": 2.0, "ood": 1.0, "blast": 0.5, "motif": 0.5, "codon": 0.0}, path)
     w = evidence.load_weights(spark, path)
     assert w["kmer"] == 0.5 and abs(sum(w.values()) - 1) < 1e-12
+
+
+def test_running_sums_over_many_ranges(spark):
+    r = random.Random(8)
+    rows = [(k, float(x), r.randint(0, 5)) for k in "ab" for x in r.sample(range(5000), 700)]
+    got = ranges.running_sums(spark.createDataFrame(rows, "key string, x double, n long"), ("key",), "x", ("n",)).collect()
+    want = {(k, x): sum(m for j, y, m in rows if j == k and y < x) for k, x, _ in rows}
+    assert {(g.key, g.x): g.below_n for g in got} == want and {g.all_n for g in got if g.key == "a"} == {sum(m for k, _, m in rows if k == "a")}
+    ranked = ranges.hash_rank(spark.range(3000).withColumn("g", F.col("id") % 2), ("g",), "id").collect()
+    for g in (0, 1):
+        order = sorted((x for x in range(3000) if x % 2 == g), key=lambda x: ((x * 2654435761 + 42) % 1_000_003, x))
+        assert [x.id for x in sorted((x for x in ranked if x.g == g), key=lambda x: x._rank)] == order
+
+
+def test_poisson_draws(spark):
+    got = spark.range(20_000).select(stats.draws(F.col("id") % 100, F.floor(F.col("id") / 100), F.lit(1)).alias("n")).groupBy("n").count().collect()
+    share = {r.n: r["count"] / 20_000 for r in got}
+    assert abs(sum(n * p for n, p in share.items()) - 1) < 0.05 and abs(share[0] - math.exp(-1)) < 0.02 and abs(share[2] - math.exp(-1) / 2) < 0.02
+
+
+def test_erfc(spark):
+    xs = [0.0, 0.1, 0.5, 1.0, 2.0, 3.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
+    assert all(abs(r.y - math.erfc(r.x)) < 2e-7 for r in got)
+
+
+def test_recalls_tools_and_summary(spark):
+    df = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 2, 1)], "fold int, y int, p int")
+    got = {r["class"]: (r.folds, r.recall) for r in metrics.mean_recalls(df, "fold", [0, 1, 2, 3]).collect()}
+    assert got == {0: (2, 0.75), 1: (1, 1.0), 2: (1, 0.0), 3: (0, None)}
+    s = scores(spark, [0.9, 0.6], [0.4, 0.1]).withColumnRenamed("key", "tool")
+    t = {r.tool: (r.auroc, r.auprc, r.f1) for r in metrics.tool_comparison(s, ["k", "none"]).collect()}
+    assert t == {"k": (1.0, 1.0, 1.0), "none": (None, None, None)}
+    e = metrics.evaluation_summary(s, [0.2, 0.5, 0.7], ("tool",)).first()
+    assert (e.auroc, e.ap, e.base, e.threshold, e.precision, e.recall, e.f1) == (1.0, 1.0, 0.5, 0.5, 1.0, 1.0, 1.0)
+
+
+def test_second_source_only_where_the_first_is_short(spark):
+    a = spark.createDataFrame([(1, 0), (1, 1), (2, 2)], "id long, o int")
+    b = spark.createDataFrame([(2, 0), (3, 1), (4, 2)], "id long, o int")
+    take = lambda few, n: [r.id for r in folds.first_with_second(a, b, "id", ["o"], n, few).collect()]
+    assert take(2, 10) == [1, 2] and take(3, 10) == [1, 2, 3, 4] and take(3, 3) == [1, 2, 3]
+
+
+def test_best_weights_are_never_below_equal_ones(spark):
+    r = random.Random(2)
+    rows = [(y := i % 2, y * 0.6 + r.random(), r.random(), y * 0.2 + r.random()) for i in range(80)]
+    grid = evidence.fusion_grid(spark.createDataFrame(rows, "y int, a double, b double, c double"), ["a", "b", "c"], 3)
+    best = evidence.best_weights(grid, ["a", "b", "c"]).first()
+    assert grid.count() == 10 and best.auroc >= best.equal_auroc

@@ -92,3 +92,22 @@ def test_sampled_fragments_dont_depend_on_partitions(spark):
     a = sorted(map(tuple, seq.sampled_fragments(df, 50).collect()))
     b = sorted(map(tuple, seq.sampled_fragments(df.repartition(7), 50).collect()))
     assert a == b and len(a) == 50 and all(20 <= len(f) <= 150 for *_, f in a)
+
+
+def test_enrichment_feature(spark):
+    df = seqs(spark, "ATGCAT" * 10, "AT", "CCCCCCCC")
+    enriched = motif.enriched_kmers(df, 6, 3, background=df.filter("seq_id = 0"))
+    got = {r.seq_id: r.max_fold for r in motif.enrichment_feature(enriched, df).collect()}
+    assert got[1] == 0.0 and math.isclose(got[2], 1.0 / (1 / (55 + 4096)))
+
+
+def test_kmers_are_not_shuffled(spark):
+    plan = seq.kmer_counts(seqs(spark, "ATGCAT" * 10), 6)._jdf.queryExecution().executedPlan().toString()
+    assert "kmer" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+
+
+def test_stricter_and_binary_labels(spark):
+    df = spark.createDataFrame([("rec_vector", "SRC=LABEL_NATURAL", None), ("rec_vector", "x", None), ("r", "natural text", None), ("r", "", "SYNTHETIC")], "id string, h string, g string")
+    known = ("NATURAL", "VECTOR", "SYNTHETIC")
+    got = df.select(T.tagged_label(F.col("h"), F.col("id"), F.col("g"), known).alias("t"), T.binary_label(F.col("h")).alias("y")).collect()
+    assert [tuple(r) for r in got] == [("NATURAL", 0), ("VECTOR", None), (None, 0), ("SYNTHETIC", None)]
