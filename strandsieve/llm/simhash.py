@@ -284,7 +284,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
     Two independent 64-bit fingerprints of the set of shingles each give Golay keys; in a bucket all 128 bits count. They
     differ in a share of acos(2j / (1 + j)) / pi of the bits for a similarity j; twice the spread is allowed on top.
     Candidates are the pairs of a bucket within that limit. The edges of each bucket's minimum spanning tree are verified
-    on the whole texts first; where edges fail, all candidates between the components that are left are verified as well.
+    on the whole texts first. Failed edges join the components that are left to families; in these all pairs within the
+    limit are verified, block by block, so no candidate goes untried unless verified links join it.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = int(128 * p + 2 * np.sqrt(128 * p * (1 - p)))
@@ -313,17 +314,16 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
     pairs = staged(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionAll(same).unionAll(alike).distinct(), "pairs")
     first = staged(_verified(docs, pairs, words, similarity), "links")
 
-    # failed edges between components: only what such components hold can have links that haven't been tried
+    # failed edges between components: only what the components that they part hold can have links that weren't tried
     failed = pairs.join(first, ["x", "y"], "left_anti")
     if failed.isEmpty():
         return first
     root = staged(connected_components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))), "verified")
     for side in ("x", "y"):
         failed = failed.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-    open_ = failed.filter("rx <> ry").select(F.explode(F.array("rx", "ry")).alias("root")).distinct()
-    nodes = sets_.join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(open_, "root", "left_semi")
-    more = _crossing_pairs(staged(nodes, "open"), bits, similarity, min(block, 1024)).join(pairs, ["x", "y"], "left_anti")
-    return first.unionAll(_verified(docs, staged(more, "pairs"), words, similarity))
+    family = connected_components(failed.select(F.col("rx").alias("a"), F.col("ry").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    nodes = sets_.join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(family, "root")
+    return first.unionAll(_within(docs, staged(nodes, "open"), words, bits, similarity, min(block, 512)))
 
 
 def _golay_keys(rows: DataFrame) -> DataFrame:
@@ -342,63 +342,90 @@ def _golay_keys(rows: DataFrame) -> DataFrame:
     return map_batches(rows, keys, ", ".join(f"{c} long" for c in ("key", *names)))
 
 
-def _crossing_pairs(nodes: DataFrame, bits: int, similarity: float, block: int) -> DataFrame:
-    """All pairs (x, y) of nodes(doc, f, g, n, root) that share a bucket and differ in root and in at most bits bits.
+def _within(docs: DataFrame, nodes: DataFrame, words: int, bits: int, similarity: float, block: int) -> DataFrame:
+    """Links (x, y) between nodes(doc, f, g, n, root, family) of one family that differ in root: they connect what all pairs
+    of at most bits bits and that similarity connect.
 
-    Sets whose sizes n are too far apart for the similarity can't link and are left out. Buckets are cut into blocks of
-    about block rows by hash; each pair of blocks is compared on its own.
+    A family is cut by hash into blocks of about block documents and 2^19 shingles; each pair of blocks is compared in one
+    go, with its documents' sets of shingles. So a set travels once for each block and never once for each pair.
     """
-    keyed = staged(_golay_keys(nodes.select("f", "g", "n", "doc", "root")), "open-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    rows = keyed.join(sizes.select("key", F.ceil(F.col("c") / block).cast("long").alias("blocks")), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "g", "n", "doc", "root")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(lambda batches: _crossing(batches, bits, similarity), "x long, y long").distinct()
-
-
-def _crossing(batches: Iterator[pa.RecordBatch], bits: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, f, g, n, doc, root) sorted by (key, i, j): the pairs (x, y) of docs of each group. Where i
-    and j differ only pairs of two blocks count."""
-
-    def near(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        d = np.bitwise_count((v[..., 4] ^ w[..., 4]).view(np.uint64)).astype(np.int64) + np.bitwise_count((v[..., 5] ^ w[..., 5]).view(np.uint64))
-        sized = np.minimum(v[..., 6], w[..., 6]) >= similarity * np.maximum(v[..., 6], w[..., 6]) - 1e-9
-        return (d <= bits) & sized & (v[..., 8] != w[..., 8]) & ((v[..., 1] == v[..., 2]) | (v[..., 3] != w[..., 3]))
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        first, size = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(rows)]]))
-        group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= 8, size)
-        for lag in range(1, 8):
-            at = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag])
-            at = at[near(rows[at], rows[at + lag])]
-            yield from batch(rows[at, 7], rows[at + lag, 7])
-        for i, n in zip(first[size > 8], size[size > 8], strict=True):
-            own = rows[i : i + n]
-            for k in range(n - 1):
-                at = np.flatnonzero(near(own[k], own[k + 1 :])) + k + 1
-                yield from batch(np.full(len(at), own[k, 7]), own[at, 7])
-
-    def batch(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(a):
-            yield pa.RecordBatch.from_pydict({"x": np.minimum(a, b), "y": np.maximum(a, b)})
-
-    held = np.empty((0, 9), np.int64)
-    for rows in batches:
-        held = np.concatenate([held, np.stack([c.to_numpy() for c in rows.columns], axis=1)])
-        change = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1))
-        if len(change):
-            last = int(change[-1]) + 1
-            yield from pairs(held[:last])
-            held = held[last:]
-    if len(held):
-        yield from pairs(held)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) whose documents' sets of shingles are alike to similarity or more."""
-    wanted = pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("y").alias("doc"))).distinct()
+    size = nodes.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / (1 << 19))).cast("long").alias("blocks"))
+    dealt = nodes.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    known = _sets(docs, nodes.select("doc"), words)
+    cells = dealt.join(known, "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f", "g", "doc", "root", "set")
+    cells = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return cells.mapInArrow(lambda batches: _cells(batches, bits, similarity), "x long, y long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], bits: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (family, i, j): links of each such cell; where i and j differ only pairs of two blocks count."""
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j, block, f, g, doc, root = (rows.column(c).to_numpy() for c in ("i", "j", "block", "f", "g", "doc", "root"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets], np.float64)
+        near = np.bitwise_count((f[:, None] ^ f).view(np.uint64)).astype(np.int16) + np.bitwise_count((g[:, None] ^ g).view(np.uint64)) <= bits
+        near &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-9
+        near &= np.triu(root[:, None] != root)
+        if i[0] != j[0]:
+            near &= block[:, None] != block
+        if not near.any():
+            return
+        same = _common(sets)
+        near &= same >= similarity * (n[:, None] + n - same) - 1e-9
+        parent: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while (up := parent.get(r, r)) != r:
+                r = up
+            return r
+
+        out = []
+        for a, b in np.argwhere(near).tolist():
+            u, v = top(int(root[a])), top(int(root[b]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((int(doc[a]), int(doc[b])))
+        if out:
+            yield pa.RecordBatch.from_pydict({"x": [min(p) for p in out], "y": [max(p) for p in out]}, schema=pa_schema("x long, y long"))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("family", "i", "j")], axis=1)
+        at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for a, b in zip(at, at[1:], strict=False):
+            if held and a == 0 and [held[-1].column(c)[0].as_py() for c in ("family", "i", "j")] == key[0].tolist():
+                held.append(batch.slice(a, b - a))
+                continue
+            if held and sum(map(len, held)) > 1:
+                yield from links(pa.Table.from_batches(held))
+            held = [batch.slice(a, b - a)]
+    if held and sum(map(len, held)) > 1:
+        yield from links(pa.Table.from_batches(held))
+
+
+def _common(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many elements each two of the sets share, by products of incidence matrices of width elements at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    row, col = row[keep], place[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(col, (a, a + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[lo:hi], col[lo:hi] - a] = 1
+        out += part @ part.T
+    return out
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc, set) of the wanted documents: the sorted hashes of their word shingles, each once."""
 
     def sets():
         def f(b: pa.RecordBatch) -> dict:
@@ -407,7 +434,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float)
         return f
 
     near = split_by_keys(docs.select("doc", F.col("text").cast("binary").alias("text")), F.col("doc"), F.col("doc"), wanted)[0]
-    known = staged(map_batches(near.join(wanted, "doc", "left_semi"), sets, "doc long, set binary"), "shingle-sets")
+    return staged(map_batches(near.join(wanted, "doc", "left_semi"), sets, "doc long, set binary"), "shingle-sets")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose documents' sets of shingles are alike to similarity or more."""
+    known = _sets(docs, pairs.select(F.col("x").alias("doc")).unionAll(pairs.select(F.col("y").alias("doc"))).distinct(), words)
     both = pairs.join(known.select(F.col("doc").alias("x"), F.col("set").alias("u")), "x").join(known.select(F.col("doc").alias("y"), F.col("set").alias("v")), "y")
 
     def verify():
@@ -433,9 +465,10 @@ def _other(h: np.ndarray) -> np.ndarray:
 
 
 def keep_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id, with all columns.
+    """Of each group of linked documents the one with the smallest doc_id, with all columns, whatever their names.
 
-    Documents without words, and without a doc_id, stay. Rows of one doc_id count as one document.
+    Documents without words (null and empty texts too), and without a doc_id, stay. Rows of one doc_id count as one
+    document: they stay or go together. Equal texts link. Long texts are read whole. An empty table stays empty.
     """
     ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     links = similar_links(ids, words, similarity)

@@ -80,21 +80,22 @@ def test_failed_tree_edges_displace_no_links(spark, block):
         for r, key in zip(*simhash.bucket_keys(np.ascontiguousarray(prints[:, k])), strict=True):
             keys[r].add((k, int(key)))
 
-    def joined(links):
-        root = list(range(len(rows)))
-        for x, y in links:
-            root = [root[x] if r == root[y] else r for r in root]
-        return {frozenset(i for i in range(len(rows)) if root[i] == r) for r in root}
-
-    want = []
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 27 and keys[i] & keys[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                want.append((i, j))
-    assert len(joined(want)) > 1
+    alike = lambda i, j: (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
     links = simhash.similar_links(documents(spark, rows).selectExpr("doc_id AS doc", "text"), block=block).collect()
-    assert joined([(r.x, r.y) for r in links]) == joined(want)
+    assert all(alike(r.x, r.y) for r in links)
+    root = list(range(len(rows)))
+    for r in links:
+        root = [root[r.x] if k == root[r.y] else k for k in root]
+    assert len(set(root)) > 1
+    held = [(i, j) for i in range(len(rows)) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 27 and keys[i] & keys[j] and alike(i, j)]
+    assert held and all(root[i] == root[j] for i, j in held)
+
+
+def test_common_elements():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 500, int(rng.integers(0, 300)), dtype=np.uint64)) for _ in range(30)]
+    got = simhash._common(sets, 64)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
 def test_components_of_a_long_chain(spark):
