@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, pa_schema, small_batches
 
 _LETTERS = r"(?<![^\W_])(?:[^\W_][.\-_*·]){2,}[^\W_](?![^\W_])|\w+(?:[!@$*#]+\w+)*"
-_WORD = re.compile(_LETTERS)
+_WORD, _PLAIN = re.compile(_LETTERS), re.compile(r"\w+")
+#: What every text has in which the two patterns differ.
+_SIGNED = re.compile(r"[!@$*#](?=\w)|[.\-_*·][^\W_][.\-_*·]")
 #: Words, quotation marks (single ones only outside words, where they aren't apostrophes), and the end of a paragraph.
 _PARTS = re.compile(_LETTERS + r"|[\"“”„«»]|(?<!\w)[‘‚](?=\w)|(?<=\S)’(?!\w)|\n[^\S\n]*\n")
 _SIGNS = str.maketrans("", "", ".-_*·")
@@ -140,7 +142,7 @@ FEATURES = ["exact", "near", "dense", "quoted", "addressed"]
 
 def read_words(text: str) -> list[str]:
     """The words of a text in lower case as they stand in it; plain_word() takes signs out."""
-    return _WORD.findall(text)
+    return (_WORD if _SIGNED.search(text) else _PLAIN).findall(text)
 
 
 def plain_word(word: str) -> str:
@@ -241,20 +243,19 @@ def _counted(rows: DataFrame, among: frozenset | None = None, without: frozenset
 
 def learn_lexicon(rows: DataFrame, evidence: float = 30.0, precision: float = 0.8) -> Lexicon:
     """Terms of rows(text, toxic): at least precision of the texts with a term are toxic, and the likelihood ratio
-    2 n ln(precision / share of toxic texts) is at least evidence. Only such terms come to the driver."""
+    2 n ln(precision / share of toxic texts) is at least evidence. The terms of several toxic texts come to the driver: rows
+    is a bounded sample."""
     toxic, clean = rows.filter("toxic = 1"), rows.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic:
         return Lexicon([], [])
     share = max(n_toxic / (n_toxic + n_clean), 1e-9)
     least = max(3, int(evidence / (2 * max(0.1, np.log(1 / share)))) if share < 1 else 3)
-    counts = _counted(toxic).filter(F.col("n") >= least).join(_counted(clean).withColumnRenamed("n", "m"), "term", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    p = F.col("n") / (F.col("n") + F.col("m"))
-    sure = counts.filter((p >= precision) & (2 * F.col("n") * F.log(F.greatest(p, F.lit(share)) / share) >= evidence)).collect()
-    found, against = {r["term"]: r["n"] for r in sure}, {r["term"]: r["m"] for r in sure}
+    found = {r["term"]: r["n"] for r in _counted(toxic).filter(F.col("n") >= least).collect()}
+    against = {r["term"]: r["n"] for r in _counted(clean, frozenset(found)).collect()}
 
     def strength(t: str, n: int) -> float:
-        p = n / (n + against[t])
+        p = n / (n + against.get(t, 0))
         return 2 * n * np.log(max(p, share) / share) if p >= precision else 0.0
 
     good = {t: n for t, n in found.items() if strength(t, n) >= evidence}
