@@ -18,6 +18,8 @@ from .seq import kmers
 LAMBDA, K = 1.33, 0.621
 #: Reference positions of one seed that are joined in one task.
 PART = 1000
+#: Reference positions, both strands, up to which they are sent to all tasks, so that no query k-mer is shuffled (64 MB).
+SENT = 1_000_000
 
 
 def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int = 16, evalue: float = 1e-5, identity: float = 0.0) -> DataFrame:
@@ -26,6 +28,7 @@ def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int
     A hit on the minus strand has s_start > s_end. Ordering and ties don't arise: a hit is a (query, subject, strand,
     diagonal, island). Every seed counts, however often it occurs: references of one text are searched as one, and the
     reference positions of a frequent seed are dealt into parts of about PART, each of which meets all query positions.
+    Up to SENT reference positions are counted first and then broadcast; more are joined by a shuffle.
     """
     texts = refs.filter("ref_id IS NOT NULL").groupBy("seq").agg(F.min("ref_id").alias("_text"))
     members = refs.filter("ref_id IS NOT NULL").join(texts, "seq").select("_text", "ref_id")
@@ -34,8 +37,9 @@ def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int
     db = kmers(strands, word).withColumnRenamed("pos", "s_pos")
     frequent = db.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts")).filter("_parts > 1")
     db = db.join(frequent, "kmer", "left").withColumn("_salt", F.pmod(F.xxhash64("ref_id", "strand", "s_pos"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    found = kmers(queries.select("seq_id", "seq"), word).join(frequent, "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    seeds = found.join(db, ["kmer", "_salt"]).select("seq_id", "ref_id", "strand", "pos", (F.col("pos") - F.col("s_pos")).alias("diag"))
+    small = strands.agg(F.coalesce(F.sum(F.greatest(F.length("seq") - word + 1, F.lit(0))), F.lit(0))).first()[0] <= SENT
+    found = kmers(queries.select("seq_id", "seq"), word).join(F.broadcast(frequent) if small else frequent, "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    seeds = found.join(F.broadcast(db) if small else db, ["kmer", "_salt"]).select("seq_id", "ref_id", "strand", "pos", (F.col("pos") - F.col("s_pos")).alias("diag"))
     w = Window.partitionBy("seq_id", "ref_id", "strand", "diag").orderBy("pos")
     marked = seeds.withColumn("new", (F.coalesce(F.col("pos") - (F.lag("pos").over(w) + word), F.lit(gap + 1)) > gap).cast("int"))
     spans = marked.withColumn("island", F.sum("new").over(w)).groupBy("seq_id", "ref_id", "strand", "diag", "island").agg(F.min("pos").alias("a"), (F.max("pos") + word).alias("z"))

@@ -19,7 +19,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], least: int = 0, most:
     # every split but a file's first begins after a ">"; only the first may be text before any record
     firsts = raw.groupBy("source_file").agg(F.min("_o").alias("_first"))
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", ""), "\n", 2)
-    out = raw.join(F.broadcast(firsts), "source_file").filter((F.col("_o") != F.col("_first")) | F.col("value").startswith(">"))
+    out = raw.join(firsts, "source_file").filter((F.col("_o") != F.col("_first")) | F.col("value").startswith(">"))
     out = out.select("source_file", "_o", F.trim(F.get(lines, F.lit(0))).alias("header"), F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), "\\s", "").alias("seq"))
     if most is not None:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy("source_file").orderBy("_o"))).filter(F.col("_n") <= most)

@@ -187,9 +187,9 @@ def test_risk_along_a_record(spark):
 def test_platt_follows_the_raw_score(spark):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    df = spark.createDataFrame([(x / 20, float(x > 10)) for x in range(20)], "raw double, y double")
+    df = spark.createDataFrame([(x / 20, float(x > 10 or x % 5 == 0)) for x in range(20)], "raw double, y double")
     out = anomaly.platt(df).transform(df.withColumn("_f", array_to_vector(F.array("raw")))).select("raw", vector_to_array("_p")[1].alias("p")).orderBy("raw").collect()
-    assert all(a.p < b.p for a, b in zip(out, out[1:], strict=False)) and out[0].p < 0.5 < out[-1].p
+    assert all(a.p < b.p for a, b in zip(out, out[1:], strict=False)) and 0 < out[0].p < 0.5 < out[-1].p < 1
 
 
 def test_labelled_files_and_sinks(spark, tmp_path):
