@@ -25,7 +25,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Super-k-mers in a part of a bucket, about. A task holds one part at a time, of at most 128 windows each.
-PART = 1000
+PART = 250
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
