@@ -71,5 +71,15 @@ SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k,
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    # base32 by hand: each letter stands for five bits, which lie in two hex digits
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS low FROM p),
+d AS (SELECT *, list_transform(range(1, 41), lambda k: strpos('0123456789abcdef', substr(x, k, 1)) - 1) AS v FROM g)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[5 * i // 4 + 1] * 16 + v[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) % 32 + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > low THEN low END AS refers_to
+FROM d
 """,
 }
