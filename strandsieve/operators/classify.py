@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import folds, metrics
 from .seq import fragments, sliding, token_array, whole_fragments
+from .staging import staged
 
 CLASSES = [0, 1, 2]
 
@@ -77,22 +78,17 @@ def isotonic(train: DataFrame, test: DataFrame, y: str = "label") -> DataFrame:
 def cross_validate(frags: DataFrame, n_folds: int = 5, fit=fit_logistic, seed: int = 42) -> DataFrame:
     """Out-of-fold record probabilities of frags(seq_id, label, frag, ...): fold, seq_id, label, p0..p2.
 
-    Whole records stand in one fold. The loop over folds only holds plans; each fold is one fit and one scoring job. The
-    fragments are kept in memory and on disk for the fits alone; scoring, which runs when the result is read, makes them
-    once more.
+    Whole records stand in one fold. The loop over folds is over fits; the fragments with their folds are written first, as
+    each fit reads them, and so is the result.
     """
     assigned = folds.group_folds(frags.select("seq_id", "label"), "seq_id", "label", n_folds, seed).select("seq_id", "fold")
-    rows, out = frags.join(assigned, "seq_id"), None
-    kept = rows.persist()
-    try:
-        models = [fit(kept.filter(F.col("fold") != f)) for f in range(n_folds)]
-    finally:
-        kept.unpersist()
-    for f, model in enumerate(models):
+    rows, out = staged(frags.join(assigned, "seq_id"), "folds"), None
+    for f in range(n_folds):
+        model = fit(rows.filter(F.col("fold") != f))
         test = rows.filter(F.col("fold") == f)
         part = record_probabilities(fragment_probabilities(model, test), test.select("fold", "seq_id", "label").distinct())
         out = part if out is None else out.unionByName(part)
-    return out.withColumns({f"p{c}": F.round(f"p{c}", 6) for c in CLASSES})
+    return staged(out.withColumns({f"p{c}": F.round(f"p{c}", 6) for c in CLASSES}), "out-of-fold")
 
 
 def calibrated_folds(oof: DataFrame, n_folds: int = 5) -> DataFrame:
