@@ -323,7 +323,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
         failed = failed.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
     family = connected_components(failed.select(F.col("rx").alias("a"), F.col("ry").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
     nodes = sets_.join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(family, "root")
-    return first.unionAll(_within(docs, staged(nodes, "open"), words, bits, similarity, min(block, 512)))
+    return first.unionAll(_within(docs, staged(nodes, "open"), words, bits, similarity, min(block, 128)))
 
 
 def _golay_keys(rows: DataFrame) -> DataFrame:
