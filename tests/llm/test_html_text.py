@@ -91,3 +91,98 @@ def test_parts_of_names_are_learned(spark):
     weights = html_text.learn_weights(spark.createDataFrame([(page.replace("word", f"w{i}"),) for i in range(20)], "html string"))
     assert weights["part:zork"] < -2 and weights["part:blah"] > 1
     assert html_text.main_text("<body><div class=zork>short one</div><div class=x><p>this is the text of it</p></div></body>", weights) == "this is the text of it"
+
+
+def test_deep_and_broken_pages_take_time_by_their_size():
+    text = "<p>the text of it is here</p>"
+    for page in ("<div>" * 100_000 + text, "<div class='ab'>" * 100_000 + text + "</section>" * 100_000, "<svg><iframe>" * 100_000 + text, "<b>" * 100_000 + text):
+        assert html_text.main_text(page, html_text.DEFAULT) == "the text of it is here"
+
+
+def test_very_long_pages_are_read_whole():
+    words = " ".join(f"w{i}" for i in range(300_000))
+    assert html_text.main_text(f"<nav>menu</nav><article><h1>t</h1><p>{words}</p></article><footer>end</footer>", html_text.DEFAULT) == "t " + words
+
+
+def test_icons_that_close_themselves_take_nothing_along():
+    for icon in ('<svg class="i"/>', "<svg viewBox='0 0 9 9' />", '<svg><path d="M0"/></svg>', "<svg>", "<iframe src=x />"):
+        page = f"<body><article><h1>{icon} Title</h1><p>first half of it</p>{icon}<p>second half {icon} of it</p></article></body>"
+        assert html_text.main_text(page, html_text.DEFAULT) == "Title first half of it second half of it"
+
+
+PROSE = "The law was changed in that year, and all who had paid for it before were asked to file their claims again within two months."
+
+
+def test_names_alone_do_not_decide():
+    for name in ("social-security", "related-work", "cookie-recipe", "search-engines", "share-prices", "discussion"):
+        page = f"<article><h1>Title</h1><p>{PROSE}</p><section id='{name}'><h2>On it</h2><p>{PROSE}</p><p>{PROSE}</p></section><p>Last words of it.</p></article>"
+        assert html_text.main_text(page, html_text.DEFAULT) == f"Title {PROSE} On it {PROSE} {PROSE} Last words of it."
+    for name in ("social", "share-buttons", "related", "cookie-notice", "advert", "newsletter-signup", "sidebar-widget"):
+        page = f"<article><h1>Title</h1><p>{PROSE}</p><div class='{name}'><p>Some few words</p></div><p>Last words of it.</p></article>"
+        assert html_text.main_text(page, html_text.DEFAULT) == f"Title {PROSE} Last words of it."
+
+
+def test_comments_of_readers():
+    thread = "".join(f"<div class=post><span>reader{i}</span><p>{PROSE}</p></div>" for i in range(3))
+    for inner in (thread, "<p>I liked it.</p><p>Me too, very much</p>", f"<p>{PROSE}</p>"):
+        for name in ("discussion", "comments", "user-comments", "replies"):
+            for page in (f"<article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><div class='{name}'>{inner}</div></article>", f"<div class=story><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='{name}'>{inner}</div>"):
+                assert html_text.main_text(page, html_text.DEFAULT) == f"T {PROSE} {PROSE}", (name, inner)
+
+
+def test_a_linked_last_paragraph_stays_and_a_list_of_links_goes():
+    page = f"<body><div class=story><h1>T</h1><p>{PROSE}</p><p><a href=/r>Read the whole report here.</a></p>{{}}</div></body>"
+    want = f"T {PROSE} Read the whole report here."
+    assert html_text.main_text(page.format(""), html_text.DEFAULT) == want
+    assert html_text.main_text(page.format("").replace("story", "box"), STEEP) == want
+    for links in ("<p><a href=1>One</a> <a href=2>Two</a></p>", "<ul><li><a href=1>One more of them here</a></li><li><a href=2>Two more of them here</a></li></ul>", "<p><a href=1>Next</a></p>"):
+        got = html_text.main_text(page.replace("<p><a href=/r>Read the whole report here.</a></p>", "").format(links), html_text.DEFAULT)
+        assert got == f"T {PROSE}", links
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = f"<form id=aspnet><div><a href=/>Home</a></div><div class=main><h1>T</h1><p>{PROSE}</p><form><input><p>Your mail</p></form><p>{PROSE}</p></div></form>"
+    assert html_text.main_text(page, html_text.DEFAULT) == f"T {PROSE} {PROSE}"
+
+
+def made_pages(n, seed):
+    """(page, text): pages of five templates around articles that are made first, so that their text is known."""
+    import html
+    import random
+
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}" for a in ("ba", "cor", "den", "fi", "gul", "ha", "jo", "kel", "mi", "or") for b in ("", "n", "ta", "sil", "re", "mond")] + ["<b", "R&D", "é", "5", "日本"]
+    line = lambda a, b: " ".join(rng.choices(vocabulary, k=rng.randint(a, b)))
+
+    def inline(text):
+        out = []
+        for w in text.split():
+            w = html.escape(w)
+            out.append(rng.choice([w] * 12 + [f"<b>{w}</b>", f"<a href='/x?{w}'>{w}</a>", f"<span class=x>{w}</span>"]))
+        return rng.choice([" ", "\n  ", "&nbsp;"]).join(out)
+
+    def junk():
+        return rng.choice(["", "", "<div class='ad-slot'><p>Buy it now</p></div>", "<aside><p>By the way, as said before</p></aside>", "<form><p>Your mail</p><button>Send</button></form>", "<!-- <p>old</p> -->", "<script>if (a<b) x('</p>')</script>", "<svg class=i />", "<div class='share'><a href=1>A</a> <a href=2>B</a></div>"])
+
+    menu = lambda: "<ul>" + "".join(f"<li><a href=/{k}>{html.escape(line(1, 2))}</a></li>" for k in range(rng.randint(3, 9))) + "</ul>"
+    comments = lambda: "".join(f"<div class=c><b>{line(1, 1)}</b><p>{html.escape(line(3, 40))}</p></div>" for _ in range(rng.randint(1, 5)))
+    outer = [
+        "<html><head><title>{t}</title></head><body><nav>{menu}</nav><article>{x}</article><div id=comments>{comments}</div><footer>(c) all rights</footer></body></html>",
+        "<html><body><header><a href=/>Site</a> since 1999</header><main>{x}</main><aside>{menu}</aside><section class='reader-comments'>{comments}</section></body></html>",
+        "<html><body><div id=top-nav>{menu}</div><div class='cookie-consent'><p>We use cookies here</p></div><div class=story>{x}</div><div class='related-links'>{menu}</div><div class=discussion>{comments}</div></body></html>",
+        "<html><body><table><tr><td><div class=sidebar>{menu}</div></td><td><div id=c1>{x}</div></td></tr></table><div class=newsletter><p>Sign up</p></div><div class=footer>{menu}</div></body></html>",
+        "<html><body><form id=page><div class=masthead><p>Daily paper</p></div><div><div><div class='entry-body'>{x}</div></div></div><div class='popular-widget'>{menu}</div></form></body></html>",
+    ]
+    for k in range(n):
+        title, parts = line(2, 8), [line(25, 80) for _ in range(rng.randint(3, 7))]
+        body = f"<h1>{inline(title)}</h1>" + "".join((junk() if j else "") + f"<p>{inline(p)}</p>" for j, p in enumerate(parts))
+        yield outer[k % 5].format(t=html.escape(title), x=body, menu=menu(), comments=comments()), " ".join([title, *parts])
+
+
+def test_equals_articles_of_five_templates(spark):
+    made = list(made_pages(250, 6))
+    rows = [(i, "u", page) for i, (page, _) in enumerate(made)] + [(i, "u", made[i][0]) for i in range(20)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 270
+    for r in got:
+        assert r.text == made[r.page_id][1], (r.page_id % 5, made[r.page_id][0])
