@@ -7,7 +7,7 @@ from strandsieve.llm import queries, warc
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, sf_dir), c.sql(queries.SQL[name])
     cols = sorted(df.columns)
