@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .ranges import mixed
 
-#: Windows that are cut from one block of a sequence. A sequence is cut into blocks first, so that no window is looked
-#: for from the beginning of a long sequence.
+#: Windows that are cut from one block of a sequence.
 PER_BLOCK = 256
 
 
 def windows(df: DataFrame, n: Column, size: Column | int, step: Column | int, out: str = "frag", seq: str = "seq", names: tuple[str, str] = ("idx", "start")) -> DataFrame:
-    """n windows of size letters, step apart: adds idx and start (from 0; called as in names) and out. Rows with n < 1 give none."""
+    """n windows of size letters, step apart: adds idx and start (from 0; called as in names) and out. Rows with n < 1 give none.
+
+    Sequences of ASCII letters are cut as bytes, where a place is found at once: time grows with the letters that are cut. Others are cut
+    as characters, for which each block is looked for from the beginning.
+    """
     size, step = (F.lit(x) if isinstance(x, int) else x for x in (size, step))
     rest = [c for c in df.columns if c != seq]
     ready = df.withColumns({"_n": n.cast("int"), "_size": size.cast("int"), "_step": step.cast("int")}).filter("_n >= 1")
-    block = F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / PER_BLOCK).cast("int")))
-    ready = ready.withColumn("_b", block)
-    text = F.substring(F.col(seq), F.col("_b") * PER_BLOCK * F.col("_step") + 1, F.lit(PER_BLOCK - 1) * F.col("_step") + F.col("_size"))
-    ready = ready.select(*rest, "_n", "_size", "_step", "_b", text.alias("_text"))
+    ascii_ = F.octet_length(seq) == F.length(seq)
+    ready = ready.select(*rest, "_n", "_size", "_step", F.when(ascii_, F.col(seq).cast("binary")).alias("_bytes"), F.when(~ascii_, F.col(seq)).alias("_chars"))
+    ready = ready.withColumn("_b", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / PER_BLOCK).cast("int"))))
+    at, letters = F.col("_b") * PER_BLOCK * F.col("_step") + 1, F.lit(PER_BLOCK - 1) * F.col("_step") + F.col("_size")
+    ready = ready.select(*rest, "_n", "_size", "_step", "_b", *(F.substring(F.col(c), at, letters).alias(c) for c in ("_bytes", "_chars")))
     many = F.least(F.lit(PER_BLOCK), F.col("_n") - F.col("_b") * PER_BLOCK)
-    cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(F.col("_text"), (i * F.col("_step") + 1).cast("int"), F.col("_size")))
-    ready = ready.select(*rest, "_step", "_b", F.posexplode(cut).alias("_i", out))
+
+    def cut(i: Column) -> Column:
+        place = (i * F.col("_step") + 1).cast("int")
+        return F.coalesce(F.substring(F.col("_bytes"), place, F.col("_size")).cast("string"), F.substring(F.col("_chars"), place, F.col("_size")))
+
+    ready = ready.select(*rest, "_step", "_b", F.posexplode(F.transform(F.sequence(F.lit(0), many - 1), cut)).alias("_i", out))
     idx = F.col("_b") * PER_BLOCK + F.col("_i")
     return ready.select(*rest, idx.cast("long").alias(names[0]), (idx * F.col("_step")).cast("long").alias(names[1]), out)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anomaly, classify, codon, evidence, features, folds, homology, metrics, motif, seq, stats
+from ..operators import anomaly, classify, codon, evidence, features, folds, gapped, homology, metrics, motif, seq, stats
 from .inputs import finished, labels, references, scored, sequences, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,6 +268,17 @@ def homology_hits(spark, sf_dir):
     return hits(spark, sf_dir)
 
 
+@query()
+def gapped_hits(spark, sf_dir):
+    """Local alignments with gaps, on both strands; tests hold them against full dynamic programs."""
+    return gapped.gapped_hits(sequences(spark, sf_dir), references(spark, sf_dir))
+
+
+@query()
+def gapped_coverage(spark, sf_dir):
+    return homology.coverage(gapped.gapped_hits(sequences(spark, sf_dir), references(spark, sf_dir)), sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")))
+
+
 @query(f"{HITS}, pos AS (SELECT DISTINCT query_id, unnest(range(q_start, q_end + 1)) AS p FROM hits), c AS (SELECT query_id, count(*) AS covered FROM pos GROUP BY 1) SELECT seq_id, coalesce(covered, 0) AS covered, round(coalesce(covered / nullif(length(seq), 0) * 100, 0), 6) AS coverage FROM seqs LEFT JOIN c ON query_id = seq_id")
 def hit_coverage(spark, sf_dir):
     return homology.coverage(hits(spark, sf_dir), sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")))
