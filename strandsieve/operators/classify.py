@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -14,13 +14,14 @@ from ..functions import text as T
 from . import folds, metrics
 from .seq import fragments, sliding, token_array, whole_fragments
 from .staging import staged
+from .tfidf import TERMS, SublinearTfidf
 
 CLASSES = [0, 1, 2]
 
 
-def with_features(frags: DataFrame, ks: tuple[int, ...] = (4, 6, 8)) -> DataFrame:
-    """Adds what the pipelines read: tokens, gc, cpg, gc3."""
-    return frags.withColumns({"tokens": token_array("frag", ks), "gc": T.gc_share("frag"), "cpg": T.cpg_share("frag"), "gc3": T.gc3_share("frag")})
+def with_features(frags: DataFrame) -> DataFrame:
+    """Adds what the pipelines read beside the fragment: gc, cpg, gc3."""
+    return frags.withColumns({"gc": T.gc_share("frag"), "cpg": T.cpg_share("frag"), "gc3": T.gc3_share("frag")})
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -30,25 +31,21 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(sizes.crossJoin(totals)), label).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
 
 
-def stages(dims: int, pairs: bool = False, dense: bool = True) -> list:
-    """Hashed token counts with inverse document frequencies, and scaled dense features, in one vector."""
-    pre = [NGram(n=2, inputCol="tokens", outputCol="pairs")] if pairs else []
-    tf = [HashingTF(numFeatures=dims, inputCol="pairs" if pairs else "tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="idf", minDocFreq=3)]
-    if not dense:
-        return [*pre, *tf, VectorAssembler(inputCols=["idf"], outputCol="features")]
+def stages(terms: int, min_df: int = 3, ks: tuple[int, ...] = (4, 6, 8)) -> list:
+    """Exact TF-IDF weights of the most frequent terms, and scaled dense features, in one vector."""
     scale = [VectorAssembler(inputCols=["gc", "cpg", "gc3"], outputCol="_dense"), StandardScaler(inputCol="_dense", outputCol="dense", withMean=True)]
-    return [*pre, *tf, *scale, VectorAssembler(inputCols=["idf", "dense"], outputCol="features")]
+    return [SublinearTfidf(inputCol="frag", outputCol="tfidf", ks=list(ks), minDF=min_df, vocabSize=terms), *scale, VectorAssembler(inputCols=["tfidf", "dense"], outputCol="features")]
 
 
-def fit_forest(train: DataFrame, trees: int = 300, dims: int = 1024, depth: int = 10, seed: int = 42) -> PipelineModel:
+def fit_forest(train: DataFrame, trees: int = 300, terms: int = TERMS, depth: int = 20, seed: int = 42) -> PipelineModel:
     """A random forest with balanced class weights on the fragments' features."""
     rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, labelCol="label", featuresCol="features", maxMemoryInMB=512)
-    return Pipeline(stages=[*stages(dims), rf]).fit(balanced_weights(train))
+    return Pipeline(stages=[*stages(terms), rf]).fit(balanced_weights(train))
 
 
-def fit_logistic(train: DataFrame, dims: int = 1024, iterations: int = 50) -> PipelineModel:
+def fit_logistic(train: DataFrame, terms: int = 100_000, iterations: int = 50, min_df: int = 3, ks: tuple[int, ...] = (4, 6, 8)) -> PipelineModel:
     lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=iterations, regParam=0.01, labelCol="label", featuresCol="features")
-    return Pipeline(stages=[*stages(dims), lr]).fit(balanced_weights(train))
+    return Pipeline(stages=[*stages(terms, min_df, ks), lr]).fit(balanced_weights(train))
 
 
 def fragment_probabilities(model: PipelineModel, frags: DataFrame, classes: int = 3) -> DataFrame:
@@ -110,17 +107,17 @@ def fold_scores(oof: DataFrame) -> DataFrame:
     return macro.select(F.concat(F.lit("Fold "), F.col("fold") + 1).alias("fold"), "auroc").unionByName(rows)
 
 
-def window_sweep(seqs: DataFrame, sizes: tuple[int, ...] = (250, 500, 1000, 2000), per_class: int = 60, n_folds: int = 5, ks: tuple[int, ...] = (4, 6, 8), dims: int = 1 << 14) -> DataFrame:
+def window_sweep(seqs: DataFrame, sizes: tuple[int, ...] = (250, 500, 1000, 2000), per_class: int = 60, n_folds: int = 5, ks: tuple[int, ...] = (4, 6, 8), terms: int = 100_000) -> DataFrame:
     """For each window size: windows, macro AUROC, DeLong's interval of natural against the rest and the mean recalls, out of
-    fold. A size at which a class has no window is left out.
+    fold, each fold of each size with a vocabulary of its own. A size at which a class has no window is left out.
 
     Sizes are a few parameters; the records are the first per_class of each class.
     """
     chosen, out = folds.first_per_group(seqs, "label", ["seq_id"], per_class), None
     for size in sizes:
-        frags = with_features(whole_fragments(chosen, size), ks)
+        frags = with_features(whole_fragments(chosen, size))
         if frags.select("label").distinct().count() == len(CLASSES):
-            oof = cross_validate(frags, n_folds, lambda t: fit_logistic(t, dims, 1000))
+            oof = cross_validate(frags, n_folds, lambda t: fit_logistic(t, terms, 1000, 1, ks))
             p = T.argmax(F.array(*(f"p{c}" for c in CLASSES)))
             recalls = metrics.mean_recalls(oof.select("fold", F.col("label").alias("y"), p.alias("p")), "fold", CLASSES).groupBy().pivot("class", CLASSES).agg(F.first("recall"))
             macro = metrics.macro_auroc(oof, CLASSES, {c: f"p{c}" for c in CLASSES})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anomaly, classify, codon, evidence, features, folds, gapped, homology, metrics, motif, seq, stats
+from ..operators import anomaly, classify, codon, evidence, features, folds, gapped, homology, metrics, motif, seq, stats, training as nested
 from .inputs import finished, labels, references, scored, sequences, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -773,10 +773,25 @@ def window_sweep(spark, sf_dir):
 
 @query()
 def risk_track(spark, sf_dir):
-    model = classify.fit_logistic(training(spark, sf_dir), 256, 30)
+    model = classify.fit_logistic(training(spark, sf_dir))
     return classify.risk_track(sequences(spark, sf_dir).select("seq_id", "seq"), model)
 
 
+def nested_folds(spark, sf_dir):
+    return nested.nested_cv(seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id")))
+
+
+@query()
+def nested_predictions(spark, sf_dir):
+    """Out-of-fold probabilities of every labelled fragment: all features, oversampling and the forest are fitted in each fold."""
+    return nested_folds(spark, sf_dir)
+
+
+@query()
+def nested_auroc(spark, sf_dir):
+    return nested.nested_scores(nested_folds(spark, sf_dir))
+
+
 @query()
 def smote_rows(spark, sf_dir):
     return features.smote(scored(spark, sf_dir), "seq_id", "label", ["gc", "ns"])

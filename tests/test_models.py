@@ -172,7 +172,7 @@ def test_folds_are_calibrated_by_the_others(spark):
 
 
 def test_window_sweep_reports_each_size_with_windows(spark):
-    got = classify.window_sweep(labelled(spark, 18), (300, 600), per_class=6, n_folds=2, ks=(4,), dims=64).collect()
+    got = classify.window_sweep(labelled(spark, 18), (300, 600), per_class=6, n_folds=2, ks=(4,), terms=64).collect()
     assert sorted((x.window, x.n_windows) for x in got) == [(300, 36), (600, 18)]
     assert all(x.macro_auroc > 0.9 and x.recall_0 > 0.5 and x.lo <= x.auroc_natural <= x.hi for x in got)
 
