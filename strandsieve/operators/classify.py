@@ -14,7 +14,7 @@ from ..functions import text as T
 from . import folds, metrics
 from .seq import fragments, sliding, token_array, whole_fragments
 from .staging import staged
-from .tfidf import TERMS, SublinearTfidf
+from .tfidf import LINEAR_TERMS, TERMS, SublinearTfidf
 
 CLASSES = [0, 1, 2]
 
@@ -37,13 +37,13 @@ def stages(terms: int, min_df: int = 3, ks: tuple[int, ...] = (4, 6, 8)) -> list
     return [SublinearTfidf(inputCol="frag", outputCol="tfidf", ks=list(ks), minDF=min_df, vocabSize=terms), *scale, VectorAssembler(inputCols=["tfidf", "dense"], outputCol="features")]
 
 
-def fit_forest(train: DataFrame, trees: int = 300, terms: int = TERMS, depth: int = 20, seed: int = 42) -> PipelineModel:
+def fit_forest(train: DataFrame, trees: int = 300, terms: int = TERMS, depth: int = 12, seed: int = 42) -> PipelineModel:
     """A random forest with balanced class weights on the fragments' features."""
     rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, labelCol="label", featuresCol="features", maxMemoryInMB=512)
     return Pipeline(stages=[*stages(terms), rf]).fit(balanced_weights(train))
 
 
-def fit_logistic(train: DataFrame, terms: int = 100_000, iterations: int = 50, min_df: int = 3, ks: tuple[int, ...] = (4, 6, 8)) -> PipelineModel:
+def fit_logistic(train: DataFrame, terms: int = LINEAR_TERMS, iterations: int = 50, min_df: int = 3, ks: tuple[int, ...] = (4, 6, 8)) -> PipelineModel:
     lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=iterations, regParam=0.01, labelCol="label", featuresCol="features")
     return Pipeline(stages=[*stages(terms, min_df, ks), lr]).fit(balanced_weights(train))
 
@@ -107,7 +107,7 @@ def fold_scores(oof: DataFrame) -> DataFrame:
     return macro.select(F.concat(F.lit("Fold "), F.col("fold") + 1).alias("fold"), "auroc").unionByName(rows)
 
 
-def window_sweep(seqs: DataFrame, sizes: tuple[int, ...] = (250, 500, 1000, 2000), per_class: int = 60, n_folds: int = 5, ks: tuple[int, ...] = (4, 6, 8), terms: int = 100_000) -> DataFrame:
+def window_sweep(seqs: DataFrame, sizes: tuple[int, ...] = (250, 500, 1000, 2000), per_class: int = 60, n_folds: int = 5, ks: tuple[int, ...] = (4, 6, 8), terms: int = LINEAR_TERMS) -> DataFrame:
     """For each window size: windows, macro AUROC, DeLong's interval of natural against the rest and the mean recalls, out of
     fold, each fold of each size with a vocabulary of its own. A size at which a class has no window is left out.
 

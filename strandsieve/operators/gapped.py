@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .homology import LAMBDA, PART, SENT, K
+from .homology import LAMBDA, PART, SENT, K, seed_kmers
 from .seq import kmers
 from .staging import staged
 
@@ -30,11 +30,11 @@ DUST = 1.0
 _NONE = -(1 << 20)
 
 
-def low_complexity(kmer: str = "kmer", k: int = 11, most: float = DUST):
-    """Whether a k-mer holds an N or repeats its triplets: the share of pairs of equal ones, scaled as DUST scores are."""
+def low_complexity(kmer: str = "kmer", k: int = 11, most: float = DUST, n_counts: bool = False):
+    """Whether a k-mer holds an N, unless N counts as a letter, or repeats its triplets: the share of pairs of equal ones, scaled as DUST scores are."""
     three = [F.substring(kmer, i + 1, 3) for i in range(k - 2)]
     pairs = sum(((three[i] == three[j]).cast("int") for i in range(k - 2) for j in range(i)), F.lit(0))
-    return F.col(kmer).contains("N") | (pairs / (k - 3) > most)
+    return (F.col(kmer).contains("N") & F.lit(not n_counts)) | (pairs / (k - 3) > most)
 
 
 def masked_regions(df: DataFrame, k: int = 11) -> DataFrame:
@@ -136,15 +136,16 @@ def _extended(batches: Iterator[pa.RecordBatch], keep: list[str], most: int = 12
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *(pa.array(x) for x in zip(*out, strict=True))], names=[*keep, *(x.split()[0] for x in _FOUND.split(", "))])
 
 
-def anchors(queries: DataFrame, strands: DataFrame, word: int, apart: int, single: int) -> DataFrame:
+def anchors(queries: DataFrame, strands: DataFrame, word: int, apart: int, single: int, n_counts: bool = False) -> DataFrame:
     """One place (seq_id, ref_id, strand, qa, sa) for each run of seeds on a diagonal in which two that don't overlap begin at most apart
     letters from each other, or that has single equal letters in a row."""
-    db = kmers(strands, word).withColumnRenamed("pos", "s_pos").filter(~low_complexity("kmer", word))
+    db = kmers(strands, word).withColumnRenamed("pos", "s_pos").filter(~low_complexity("kmer", word, n_counts=n_counts))
     frequent = db.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts")).filter("_parts > 1")
     db = db.join(frequent, "kmer", "left").withColumn("_salt", F.pmod(F.xxhash64("ref_id", "strand", "s_pos"), F.coalesce("_parts", F.lit(1))).cast("int"))
     small = strands.agg(F.coalesce(F.sum(F.greatest(F.length("seq") - word + 1, F.lit(0))), F.lit(0))).first()[0] <= SENT
     sent = F.broadcast if small else lambda x: x
-    found = kmers(queries.select("seq_id", "seq"), word).join(sent(frequent), "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    own = queries.select("seq_id", "seq")
+    found = (seed_kmers(own, db, word) if small else kmers(own, word)).join(sent(frequent), "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     seeds = found.join(sent(db), ["kmer", "_salt"]).select("seq_id", "ref_id", "strand", "pos", (F.col("pos") - F.col("s_pos")).alias("diag"))
     w = Window.partitionBy("seq_id", "ref_id", "strand", "diag").orderBy("pos")
     second = (F.count(F.lit(1)).over(w.rangeBetween(-apart, -word)) > 0) | (F.count(F.lit(1)).over(w.rangeBetween(word - single, 0)) == single - word + 1)
@@ -153,7 +154,7 @@ def anchors(queries: DataFrame, strands: DataFrame, word: int, apart: int, singl
     return runs.select("seq_id", "ref_id", "strand", "qa", (F.col("qa") - F.col("diag")).alias("sa"))
 
 
-def gapped_hits(queries: DataFrame, refs: DataFrame, word: int = 11, apart: int = 40, single: int = 16, evalue: float = 1e-5, reach: int = REACH) -> DataFrame:
+def gapped_hits(queries: DataFrame, refs: DataFrame, word: int = 11, apart: int = 40, single: int = 16, evalue: float = 1e-5, reach: int = REACH, n_counts: bool = False) -> DataFrame:
     """Twelve-column hits of queries(seq_id, seq) in refs(ref_id, seq), both strands, 1-based inclusive coordinates; s_start > s_end on
     the minus strand.
 
@@ -161,7 +162,8 @@ def gapped_hits(queries: DataFrame, refs: DataFrame, word: int = 11, apart: int
     +1 if equal and -2 if not, a gap of k letters costs 2 + 2k; gaps shift an alignment by at most BAND letters from its
     anchor's diagonal. Evalues follow Karlin and Altschul over the query's and all references' letters. References of one text are
     searched as one; a null sequence has no hits, a null ref_id is no reference; repeated ids are searched each. Empty tables
-    give no row. reach is how many letters are cut around an anchor at first; it changes no result.
+    give no row. reach is how many letters are cut around an anchor at first; it changes no result. n_counts: N is a letter like
+    others, as in texts that aren't of nucleotides; else seeds that hold it start nothing.
     """
     refs = refs.filter("ref_id IS NOT NULL AND seq IS NOT NULL").select("ref_id", "seq")
     texts = refs.groupBy("seq").agg(F.min("ref_id").alias("_text"))
@@ -171,7 +173,7 @@ def gapped_hits(queries: DataFrame, refs: DataFrame, word: int = 11, apart: int
     # rows of one seq_id may differ in their sequence: each is a query of its own until the end
     own = queries.filter("seq IS NOT NULL").select("seq_id", "seq")
     numbered = staged(own.withColumn("_no", F.monotonically_increasing_id()), "queries")
-    open_ = staged(anchors(numbered.select(F.col("_no").alias("seq_id"), "seq"), strands, word, apart, single), "anchors")
+    open_ = staged(anchors(numbered.select(F.col("_no").alias("seq_id"), "seq"), strands, word, apart, single, n_counts), "anchors")
     q, s = numbered.select(F.col("_no").alias("seq_id"), F.col("seq").alias("q_seq")), strands.select("ref_id", "strand", F.col("seq").alias("s_seq"))
     keep = ["seq_id", "ref_id", "strand", "qa", "sa", "q_len", "s_len"]
     kind = dict(strands.dtypes)["ref_id"]

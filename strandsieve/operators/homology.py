@@ -7,7 +7,10 @@ segment, which is scored on both substrings (match +1, mismatch -2) with Karlin-
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +25,51 @@ PART = 1000
 SENT = 1_000_000
 
 
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _rolling(text: str, word: int) -> np.ndarray:
+    """A 64-bit hash of each run of word letters of an ASCII text."""
+    h = np.zeros(max(0, len(text) - word + 1), np.uint64)
+    raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+    for i in range(word if len(h) else 0):
+        h = h * np.uint64(_ODD) + raw[i : i + len(h)]
+    return h
+
+
+def seed_kmers(df: DataFrame, db: DataFrame, word: int) -> DataFrame:
+    """The k-mers of df(seq_id, seq), with their position, that may be among those of db(kmer), by a hash: others are never made to rows.
+
+    db's hashes go to all tasks: for as many k-mers as SENT.
+    """
+    hashes = db.select("kmer").distinct().mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([int(_rolling(t, word)[0].view(np.int64)) if t.isascii() else 0 for t in b.column(0).to_pylist()], pa.int64())], names=["h"]) for b in bs), "h long")
+    known = np.unique(np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64))
+    kind = df.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("seq_id"), b.column("seq").to_pylist(), strict=True):
+                if not t or len(t) < word or not len(known):
+                    continue
+                if t.isascii():
+                    h = _rolling(t, word)
+                    pos = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                else:
+                    pos = np.arange(len(t) - word + 1)
+                if len(pos):
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(pos), b.schema.field("seq_id").type), pa.array(pos, pa.int64()), pa.array([t[p : p + word] for p in pos.tolist()])], names=["seq_id", "pos", "kmer"])
+
+    return df.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, pos long, kmer string")
+
+
 def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int = 16, evalue: float = 1e-5, identity: float = 0.0) -> DataFrame:
     """Twelve-column hits of queries(seq_id, seq) in refs(ref_id, seq), both strands, 1-based inclusive coordinates.
 
     A hit on the minus strand has s_start > s_end. Ordering and ties don't arise: a hit is a (query, subject, strand,
     diagonal, island). Every seed counts, however often it occurs: references of one text are searched as one, and the
     reference positions of a frequent seed are dealt into parts of about PART, each of which meets all query positions.
-    Up to SENT reference positions are counted first and then broadcast; more are joined by a shuffle.
+    Up to SENT reference positions are counted first and then broadcast, and query k-mers whose hash isn't among theirs are
+    dropped where they are made; more are joined by a shuffle.
     """
     texts = refs.filter("ref_id IS NOT NULL").groupBy("seq").agg(F.min("ref_id").alias("_text"))
     members = refs.filter("ref_id IS NOT NULL").join(texts, "seq").select("_text", "ref_id")
@@ -38,7 +79,8 @@ def homology_hits(queries: DataFrame, refs: DataFrame, word: int = 16, gap: int
     frequent = db.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts")).filter("_parts > 1")
     db = db.join(frequent, "kmer", "left").withColumn("_salt", F.pmod(F.xxhash64("ref_id", "strand", "s_pos"), F.coalesce("_parts", F.lit(1))).cast("int"))
     small = strands.agg(F.coalesce(F.sum(F.greatest(F.length("seq") - word + 1, F.lit(0))), F.lit(0))).first()[0] <= SENT
-    found = kmers(queries.select("seq_id", "seq"), word).join(F.broadcast(frequent) if small else frequent, "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    own = queries.select("seq_id", "seq")
+    found = (seed_kmers(own, db, word) if small else kmers(own, word)).join(F.broadcast(frequent) if small else frequent, "kmer", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     seeds = found.join(F.broadcast(db) if small else db, ["kmer", "_salt"]).select("seq_id", "ref_id", "strand", "pos", (F.col("pos") - F.col("s_pos")).alias("diag"))
     w = Window.partitionBy("seq_id", "ref_id", "strand", "diag").orderBy("pos")
     marked = seeds.withColumn("new", (F.coalesce(F.col("pos") - (F.lag("pos").over(w) + word), F.lit(gap + 1)) > gap).cast("int"))

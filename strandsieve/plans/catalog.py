@@ -270,13 +270,13 @@ def homology_hits(spark, sf_dir):
 
 @query()
 def gapped_hits(spark, sf_dir):
-    """Local alignments with gaps, on both strands; tests hold them against full dynamic programs."""
-    return gapped.gapped_hits(sequences(spark, sf_dir), references(spark, sf_dir))
+    """Local alignments with gaps, on both strands; tests hold them against full dynamic programs. In the driver's texts N is a letter."""
+    return gapped.gapped_hits(sequences(spark, sf_dir), references(spark, sf_dir), n_counts=True)
 
 
 @query()
 def gapped_coverage(spark, sf_dir):
-    return homology.coverage(gapped.gapped_hits(sequences(spark, sf_dir), references(spark, sf_dir)), sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")))
+    return homology.coverage(gapped_hits(spark, sf_dir), sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("len")))
 
 
 @query(f"{HITS}, pos AS (SELECT DISTINCT query_id, unnest(range(q_start, q_end + 1)) AS p FROM hits), c AS (SELECT query_id, count(*) AS covered FROM pos GROUP BY 1) SELECT seq_id, coalesce(covered, 0) AS covered, round(coalesce(covered / nullif(length(seq), 0) * 100, 0), 6) AS coverage FROM seqs LEFT JOIN c ON query_id = seq_id")
@@ -777,19 +777,11 @@ def risk_track(spark, sf_dir):
     return classify.risk_track(sequences(spark, sf_dir).select("seq_id", "seq"), model)
 
 
-def nested_folds(spark, sf_dir):
-    return nested.nested_cv(seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id")))
-
-
-@query()
-def nested_predictions(spark, sf_dir):
-    """Out-of-fold probabilities of every labelled fragment: all features, oversampling and the forest are fitted in each fold."""
-    return nested_folds(spark, sf_dir)
-
-
 @query()
 def nested_auroc(spark, sf_dir):
-    return nested.nested_scores(nested_folds(spark, sf_dir))
+    """Folds in which all features, oversampling and the forest are fitted on the training records; 50 trees and 100 of the envelope."""
+    frags = seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq").join(labels(spark, sf_dir), "seq_id"))
+    return nested.nested_scores(nested.nested_cv(frags, trees=50, envelope_trees=100))
 
 
 @query()

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandsieve.operators import evidence, folds, homology, metrics, ranges, stats
@@ -127,12 +128,35 @@ def test_running_sums_over_many_ranges(spark):
         assert [x.id for x in sorted((x for x in ranked if x.g == g), key=lambda x: x._rank)] == order
 
 
-def test_poisson_draws(spark):
-    got = spark.range(20_000).select(stats.draws(F.col("id") % 100, F.floor(F.col("id") / 100), F.lit(1)).alias("n")).groupBy("n").count().collect()
-    share = {r.n: r["count"] / 20_000 for r in got}
+def test_poisson_draws():
+    n = stats.draws(np.arange(200), np.ones(200, np.int64), 100)
+    share = {k: float((n == k).mean()) for k in range(8)}
     assert abs(sum(n * p for n, p in share.items()) - 1) < 0.05 and abs(share[0] - math.exp(-1)) < 0.02 and abs(share[2] - math.exp(-1) / 2) < 0.02
 
 
+def test_bootstrap_is_that_of_plain_draws(spark):
+    """Ties, a score of many rows, and several ranges against one sum over all rows."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random(700), 2)
+    x[:300] = 0.5
+    y = (rng.random(700) < 0.3 + 0.4 * x).astype(int)
+    want = []
+    draws = np.zeros((700, 60))
+    for k in (0, 1):
+        at = np.flatnonzero(y == k)[np.argsort(x[y == k], kind="stable")]
+        draws[at] = stats.draws(np.arange(len(at)), np.full(len(at), k), 60)
+    for b in range(60):
+        tp = fp = area = 0.0
+        for v in sorted(set(x), reverse=True):
+            p, n = draws[(x == v) & (y == 1), b].sum(), draws[(x == v) & (y == 0), b].sum()
+            tp, fp = tp + p, fp + n
+            area += p * tp / (tp + fp) if tp + fp else 0.0
+        want.append(area / tp)
+    got = stats.bootstrap_ap(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, x, strict=True)], "y int, x double"), 60).first()
+    assert got.n == 60 and abs(got.ap_lo - np.percentile(want, 2.5)) < 1e-9 and abs(got.ap_hi - np.percentile(want, 97.5)) < 1e-9
+    assert tuple(stats.bootstrap_ap(spark.createDataFrame([], "y int, x double"), 5).first()) == (None, None, 0)
+
+
 def test_erfc(spark):
     xs = [0.0, 0.1, 0.5, 1.0, 2.0, 3.0]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
