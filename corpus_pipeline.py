@@ -1,13 +1,13 @@
 """From documents to packed training sequences in five stages.
 
-Each stage takes documents that are a written table. It first deletes what the stage before it, in the same thread, left
-in the shared folder, as that stage's result is written by then; results of other calls keep their files.
+Stages take and return DataFrames and can be chained. A stage first deletes what stages before it, in the same thread, left in
+the shared folder, if its documents are a written table that needs nothing of it: where each result is written and read
+again, as run() does, one stage's scratch tables exist at a time. Results of other calls keep their files.
 """
 
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandsieve.llm import exact_dedup, packing, simhash, substring, toxicity
-from strandsieve.llm.common import delete, noting, shared_dir
+from strandsieve.llm.common import delete, noting, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: dict[tuple[str, int], list[str]] = {}
@@ -25,8 +25,10 @@ def stage(f: Stage) -> Stage:
     @wraps(f)
     def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = _left.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
-        delete(spark, own)
-        own.clear()
+        # a table as it was read needs nothing of theirs, unless it is one of theirs
+        if own and docs._jdf.queryExecution().analyzed().children().isEmpty() and not any(path.rsplit("/", 1)[1] in x for x in docs.inputFiles() for path in own):
+            delete(spark, own)
+            own.clear()
         with noting(own):
             return f(spark, docs, sf_dir)
 
@@ -91,8 +93,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to the documents of sf_dir, each result written and read again; only the last stage's input stays."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """STAGES applied to the documents of sf_dir, each result written and read again; only the last stage's input stays, until
+    the driver ends."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark, "pipeline")
     before: list[str] = []
     for name, f in STAGES[:-1]:
         f(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

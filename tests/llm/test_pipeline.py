@@ -102,3 +102,14 @@ def test_an_older_result_still_reads(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf_dir).count()
     assert [df.count() for df in older] == [len(texts())] * 2
+
+
+def test_stages_can_be_chained(spark, sf_dir):
+    chained = documents(spark)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        chained = stage(spark, chained, sf_dir)
+    chained = sorted(map(str, chained.collect()))
+    by_step = documents(spark)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        by_step = spark.createDataFrame(stage(spark, by_step, sf_dir).collect(), by_step.schema)
+    assert chained == sorted(map(str, by_step.collect()))
