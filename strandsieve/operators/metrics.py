@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import running_sums
+from .ranges import quantiles, running_sums
 
 #: The two-sided 95 % normal quantile.
 Z95 = 1.959963984540054
@@ -161,7 +161,7 @@ def distribution(df: DataFrame, by: tuple[str, ...], x: str = "x") -> DataFrame:
 
 def box_summary(df: DataFrame, by: tuple[str, ...], x: str = "x") -> DataFrame:
     """Exact quartiles, minimum and maximum."""
-    q = df.groupBy(*by).agg(F.percentile(x, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q"))
+    q = quantiles(df, by, x, [0.0, 0.25, 0.5, 0.75, 1.0])
     return q.select(*by, *(F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))))
 
 

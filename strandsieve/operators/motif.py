@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,35 @@ def motif_positions(df: DataFrame, motifs: dict[str, str]) -> DataFrame:
     return out
 
 
+def motif_strands(df: DataFrame, motifs: dict[str, str]) -> DataFrame:
+    """seq_id, name, strand, start, end (1-based, inclusive, on the given strand's letters read forwards) of all occurrences of motifs
+    and of their reverse complements in df(seq_id, seq), overlapping ones too.
+
+    One automaton of all patterns runs over each sequence once, however many motifs there are; they are a library that every task holds. A
+    palindrome is found on both strands. Null sequences have no occurrence; an empty motif is none.
+    """
+    turned = str.maketrans("ATGC", "TACG")
+    kind = df.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_pattern: dict[str, list[tuple[str, str]]] = {}
+        for name, p in motifs.items():
+            for strand, x in (("+", p), ("-", p[::-1].translate(turned))):
+                if x:
+                    by_pattern.setdefault(x, []).append((name, strand))
+        automaton = ahocorasick.Automaton()
+        for p, named in by_pattern.items():
+            automaton.add_word(p, (len(p), named))
+        automaton.make_automaton()
+        for b in batches:
+            found = [(i, name, strand, end - n + 2, end + 1) for i, t in enumerate(b.column("seq").to_pylist()) if t and by_pattern for end, (n, named) in automaton.iter(t) for name, strand in named]
+            if found:
+                row, name, strand, start, end = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(row)), pa.array(name), pa.array(strand), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["seq_id", "name", "strand", "start", "end"])
+
+    return df.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, name string, strand string, start long, end long")
+
+
 def enriched_kmers(df: DataFrame, k: int = 6, top: int = 10, background: DataFrame | None = None, first: int = 20) -> DataFrame:
     """The top k-mers of each record by their frequency over a pooled background with add-one smoothing.
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Ranges of a key's scores, and of its hashes.
 RANGES, HASHES = 128, 1024
 
@@ -40,6 +42,25 @@ def running_sums(df: DataFrame, by: tuple[str, ...], x: str, cols: tuple[str, ..
     return out.withColumns({f"below_{c}": F.col(f"_o_{c}") + F.col(f"_i_{c}") for c in cols}).drop("_range", *(f"_{k}_{c}" for c in cols for k in "oi"))
 
 
+def quantiles(df: DataFrame, by: tuple[str, ...], x: str, shares: list[float]) -> DataFrame:
+    """by and q, the exact quantiles of x at these shares, between two values in proportion: null ones don't count, and a key
+    without others has no row.
+
+    Values are counted and ranked in ranges of their order, so no task holds a key's values.
+    """
+    counted = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(staged(counted, "counted-values"), by, "_x", ("_c",))
+    ends, out = [], []
+    for i, share in enumerate(shares):
+        at = (F.col("all__c") - 1) * share
+        for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends.append(F.max(F.when((F.col("below__c") <= place) & (place < F.col("below__c") + F.col("_c")), F.col("_x"))).alias(f"_{name}{i}"))
+        at = (F.col("_n") - 1) * share
+        between = (F.ceil(at) - at) * F.col(f"_lo{i}") + (at - F.floor(at)) * F.col(f"_hi{i}")
+        out.append(F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(between))
+    return ranked.groupBy(*by).agg(F.max("all__c").alias("_n"), *ends).filter("_n > 0").select(*by, F.array(*out).alias("q"))
+
+
 def hash_rank(df: DataFrame, by: tuple[str, ...], key: str, seed: int = 42, first: str | None = None, name: str = "_rank") -> DataFrame:
     """Adds the 1-based rank of a row within by, in the order of first (descending, if given), of the key's hash, and of the key."""
     order = [first] if first else []

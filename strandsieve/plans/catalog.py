@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import anomaly, classify, codon, evidence, features, folds, gapped, homology, metrics, motif, seq, stats, training as nested
+from ..operators.staging import staged
 from .inputs import finished, labels, references, scored, sequences, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,6 +244,15 @@ def motif_positions(spark, sf_dir):
     return motif.motif_positions(sequences(spark, sf_dir), MOTIFS)
 
 
+@query(f"""
+WITH {SEQS}, {MOTIF_SQL}, both_(name, strand, pattern) AS (SELECT name, '+', pattern FROM motifs UNION ALL SELECT name, '-', reverse(translate(pattern, 'ATGC', 'TACG')) FROM motifs),
+p AS (SELECT seq_id, name, strand, seq, pattern, unnest(range(1, length(seq) - length(pattern) + 2)) AS i FROM seqs JOIN both_ ON contains(seq, pattern))
+SELECT seq_id, name, strand, i AS start, i + length(pattern) - 1 AS "end" FROM p WHERE substr(seq, i, length(pattern)) = pattern
+""")
+def motif_strands(spark, sf_dir):
+    return motif.motif_strands(sequences(spark, sf_dir), MOTIFS)
+
+
 HITS = f"""WITH {SEQS}, {REFS},
 st AS (SELECT ref_id, '+' AS strand, seq FROM refs UNION ALL SELECT ref_id, '-', reverse(translate(seq, 'ATGC', 'TACG')) FROM refs),
 db AS (SELECT ref_id, strand, i - 1 AS s_pos, substr(seq, i, 16) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 14)) AS i FROM st WHERE length(seq) >= 16)),
@@ -584,7 +594,7 @@ SELECT score AS config, round(auroc, 6) AS auroc, CASE WHEN score = 'full' THEN
 def ablation_table(spark, sf_dir):
     rows = signals(spark, sf_dir).join(labels(spark, sf_dir), "seq_id")
     rows = rows.select("seq_id", (F.col("label") != 0).cast("int").alias("y"), "risk", "ood", (F.col("n_hits") > 0).alias("hit"), (F.col("n_motifs") > 0).alias("motif"))
-    return evidence.ablation_table(evidence.ablation_scores(rows, "seq_id"))
+    return evidence.ablation_table(staged(evidence.ablation_scores(rows, "seq_id"), "ablation"))
 
 
 @query(f"{SIGNALS}, {LABELS} SELECT seq_id, round(max_identity, 6) AS identity, ood, CASE WHEN ood > 50 THEN 1 ELSE 0 END::BIGINT AS label, max_identity BETWEEN 0 AND 30 AND ood BETWEEN 50 AND 100 AS in_zone, ood >= 5 AS novel_screen, ood >= 50 AS novel_eval FROM sig")
@@ -720,14 +730,9 @@ def ood_calibrated(spark, sf_dir):
 
 @query()
 def ood_platt(spark, sf_dir):
-    """P(class 2 rather than 0) by a logistic regression on the raw score."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    vectors, forest = envelope(spark, sf_dir)
-    raw = anomaly.record_scores(anomaly.raw_scores(vectors, forest))
-    known = raw.join(labels(spark, sf_dir), "seq_id").filter("label <> 1").withColumn("y", (F.col("label") == 2).cast("double"))
-    model = anomaly.platt(known)
-    return model.transform(raw.withColumn("_f", array_to_vector(F.array("raw")))).select("seq_id", vector_to_array("_p")[1].alias("p"))
+    """P(class 2 rather than 0) of every record, over its fragments, by the bounded engine: 300 trees and its own sample."""
+    vectors = staged(fragment_vectors(spark, sf_dir), "vectors")
+    return anomaly.bounded_engine(vectors, labels(spark, sf_dir)).groupBy("seq_id").agg(F.avg("p").alias("p"))
 
 
 def training(spark, sf_dir):

@@ -187,3 +187,15 @@ def test_best_weights_are_never_below_equal_ones(spark):
     grid = evidence.fusion_grid(spark.createDataFrame(rows, "y int, a double, b double, c double"), ["a", "b", "c"], 3)
     best = evidence.best_weights(grid, ["a", "b", "c"]).first()
     assert grid.count() == 10 and best.auroc >= best.equal_auroc
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 1001), (3, 800)) for v in (np.round(rng.normal(size=n), 2) if k < 3 else np.r_[np.zeros(500), rng.random(300)])]
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r.k: r.q for r in ranges.quantiles(spark.createDataFrame([*rows, (2, None), (4, None)], "k int, x double"), ("k",), "x", shares).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for j, v in rows if j == k], shares), rtol=0, atol=1e-12)
+    every = ranges.quantiles(spark.createDataFrame(rows, "k int, x double"), (), "x", [0.5]).first().q
+    assert abs(every[0] - np.median([v for _, v in rows])) < 1e-12

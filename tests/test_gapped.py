@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandsieve.operators import gapped
+from strandsieve.operators import gapped, motif, seq
 
 LETTERS = "ATGC"
 LOW = -(10**9)
@@ -137,3 +137,32 @@ def test_empty_tables(spark):
     for queries, refs in (([], [(1, "ATGC" * 30)]), ([(1, "ATGC" * 30)], []), ([], [])):
         got = gapped.gapped_hits(*tables(spark, queries, refs))
         assert got.columns[:3] == ["query_id", "subject_id", "percent_identity"] and not got.collect()
+
+
+def test_many_motifs_on_both_strands(spark):
+    rng = random.Random(11)
+    motifs = {f"m{i}": text(rng, rng.randint(5, 9)) for i in range(10_000)} | {"palindrome": "GAATTC", "same": "GAATTC", "none": ""}
+    seqs = [(1, text(rng, 3000)), (2, "GAATTCGAATTC"), (3, ""), (4, None), (5, "GAATT"), (5, "AAGAATTC")]
+    got = sorted(map(tuple, motif.motif_strands(spark.createDataFrame(seqs, "seq_id long, seq string"), motifs).collect()))
+    want = []
+    for i, t in seqs:
+        for name, p in motifs.items():
+            for strand, x in (("+", p), ("-", reverse(p))):
+                at = (t or "").find(x) if x else -1
+                while at >= 0:
+                    want.append((i, name, strand, at + 1, at + len(x)))
+                    at = t.find(x, at + 1)
+    assert got == sorted(want) and len(got) > 1000
+    assert motif.motif_strands(spark.createDataFrame(seqs, "seq_id long, seq string"), {}).count() == 0
+
+
+def test_one_long_record_takes_time_by_its_length(spark):
+    import time
+
+    took = {}
+    for n in (250_000, 250_000, 2_000_000):  # the first run compiles
+        df = spark.range(1).selectExpr("id AS seq_id", f"repeat('ATGCCGTANNATCGGA', {n // 16}) AS seq")
+        began = time.time()
+        assert seq.kmer_counts(df, 4).agg(F.sum("cnt")).first()[0] == n - 3
+        took[n] = time.time() - began
+    assert took[2_000_000] < 30 * took[250_000] + 2  # in proportion 8, by the square 64

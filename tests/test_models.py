@@ -209,3 +209,21 @@ def test_labelled_files_and_sinks(spark, tmp_path):
     assert list(found) == ["cv"] and tuple(found["cv"].first()) == ("x", 0.1235, 2)
     fasta.write_evidence(spark.createDataFrame([("line one\nline two",)], "evidence string"), f"{tmp_path}/ev")
     assert spark.read.text(f"{tmp_path}/ev").count() == 2
+
+
+def test_bounded_engine(spark):
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(120):
+        v = np.zeros(256, np.float32)
+        at = rng.choice(20, 8) + (100 if i % 3 == 2 else 0)
+        v[at] = 1 / 8
+        rows.append((i, 0, v.tolist()))
+        if i < 100:
+            labels.append((i, i % 3))
+    vectors = spark.createDataFrame(rows, "seq_id long, idx int, v array<float>")
+    known = spark.createDataFrame(labels, "seq_id long, label int")
+    got = {r.seq_id: r.p for r in anomaly.bounded_engine(vectors, known, trees=30, calibrated_on=20).collect()}
+    assert len(got) == 120 and all(0 <= p <= 1 for p in got.values())
+    assert min(p for i, p in got.items() if i % 3 == 2) > max(p for i, p in got.items() if i % 3 == 0)
+    assert anomaly.bounded_engine(vectors, known.filter("label = 0"), trees=3).count() == 0
