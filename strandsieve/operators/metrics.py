@@ -182,6 +182,26 @@ def tool_comparison(df: DataFrame, tools: list[str], threshold: float = 0.5, y:
     return out
 
 
+def detection_rates(df: DataFrame, tools: list[str], groups: list[str], threshold: float = 0.5, most_fpr: float = 0.10, y: str = "y", x: str = "x", tool: str = "tool") -> DataFrame:
+    """tool, n, rate, and n_g and rate_g of each boolean column g of df(tool, y, x, *groups): the share of the positives, and of
+    those in g, with a score of at least the threshold; and calibrated, the largest share that some threshold finds while
+    at most most_fpr of the negatives reach it.
+
+    A rate of no records is null, and a tool without rows has nulls and counts of 0: no rate is derived from another. Rows
+    with a null score are found by no threshold, and a null in g isn't in the group.
+    """
+    own, hit = F.col(y) == 1, F.coalesce(F.col(x) >= threshold, F.lit(False)).cast("double")
+    parts = {"": own, **{f"_{g}": own & F.coalesce(g, F.lit(False)) for g in groups}}
+    found = df.groupBy(tool).agg(*(a for n, c in parts.items() for a in (F.count(F.when(c, 1)).alias(f"n{n}"), F.avg(F.when(c, hit)).alias(f"rate{n}"))))
+    points = roc_points(df.filter(F.col(x).isNotNull()), (tool,), y, x)
+    # recall among all positives: those without a score count as missed
+    scored = df.groupBy(tool).agg((F.count(F.when(own & F.col(x).isNotNull(), 1)) / F.nullif(F.count(F.when(own, 1)), F.lit(0))).alias("_share"))
+    best = points.groupBy(tool).agg(F.max(F.when(F.col("fpr") <= most_fpr, F.col("tpr")).otherwise(0.0)).alias("_best"), F.max("tpr").alias("_any"))
+    cal = best.join(scored, tool).select(tool, F.when(F.col("_any").isNotNull(), F.col("_best") * F.col("_share")).alias("calibrated"))
+    out = df.sparkSession.createDataFrame([(t,) for t in tools], f"{tool} string").join(found, tool, "left").join(cal, tool, "left")
+    return out.fillna(0, [f"n{n}" for n in parts])
+
+
 def evaluation_summary(df: DataFrame, thresholds: list[float], by: tuple[str, ...], y: str = "y", x: str = "x") -> DataFrame:
     """by, auroc, ap, base, and the threshold of the largest f1 with its precision, recall and f1."""
     peak = peak_f1(threshold_sweep(df, thresholds, by, y, x), by).select(*by, "threshold", "precision", F.col("tpr").alias("recall"), "f1")

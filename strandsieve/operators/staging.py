@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -13,7 +13,13 @@ _own: dict[str, str] = {}
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back, for what several later steps read: it isn't made again for each, and its plan isn't
     planned again with each. The folder is spark.checkpoint.dir; only a local session may do without it."""
-    spark = df.sparkSession
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own folder, which goes when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _own:
         found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
@@ -25,6 +31,4 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         fs.mkdirs(to)
         fs.deleteOnExit(to)
         _own[app] = root
-    path = f"{_own[app]}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{_own[app]}/{name}-{uuid.uuid4().hex}"

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anomaly, classify, codon, evidence, features, folds, gapped, homology, metrics, motif, seq, stats, training as nested
-from ..operators.staging import staged
+from ..operators import anomaly, classify, codon, evidence, features, folds, gapped, homology, metrics, motif, screening, seq, stats, training as nested
+from ..operators.staging import shared_path, staged
+from ..sources import models
 from .inputs import finished, labels, references, scored, sequences, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -820,16 +821,10 @@ def named(weights: DataFrame, name: str, value: str) -> DataFrame:
     return best.groupBy("seq_id").agg(F.array_join(parts, ", ").alias("named"))
 
 
-@query()
-def screen(spark, sf_dir):
-    """The screening table: one row per record with scores, verdict, strengths and evidence."""
+def screened(spark: SparkSession, sf_dir: str, risk: DataFrame, ood: DataFrame) -> DataFrame:
+    """The screening table of all records by risk(seq_id, risk) and ood(seq_id, ood); a record without a score has 0."""
     rows, strength = leveled(spark, sf_dir)
-    p = classified(spark, sf_dir).select("seq_id", T.risk(F.array("p0", "p1", "p2"), F.col("len")).alias("risk"))
-    vectors, forest = envelope(spark, sf_dir)
-    raw = anomaly.record_scores(anomaly.raw_scores(vectors, forest))
-    cal = anomaly.anchors(raw)
-    ood = raw.crossJoin(F.broadcast(cal)).select("seq_id", anomaly.calibrated(*(F.col(c) for c in ("raw", "mean", "std", "high", "direction"))).alias("ood"))
-    out = rows.drop("risk", "ood").join(p, "seq_id").join(ood, "seq_id", "left").withColumn("ood", F.coalesce("ood", F.lit(0.0)))
+    out = rows.drop("risk", "ood").join(risk, "seq_id").join(ood, "seq_id", "left").withColumn("ood", F.coalesce("ood", F.lit(0.0)))
     e = evidence.engine_scores(*(F.col(c) for c in ("risk", "ood", "n_hits", "n_motifs", "codon_flag")))
     fused = evidence.fused_cascade(e["kmer"], e["blast"], e["motif"])
     frags = seq.fragments(sequences(spark, sf_dir).select("seq_id", "seq"))
@@ -841,6 +836,44 @@ def screen(spark, sf_dir):
     return out.select("seq_id", "len", "gc_percent", "risk", "ood", "n_hits", "max_identity", "n_motifs", "cai", "bias", fused.alias("fused"), evidence.verdict(*(F.col(c) for c in ("n_hits", "n_motifs", "risk", "len"))).alias("verdict"), strength["ai"].alias("ai"), F.concat_ws(",", evidence.conflicts(strength, F.col("len"))).alias("conflicts"), text.alias("evidence"))
 
 
+@query()
+def screen(spark, sf_dir):
+    """The screening table: one row per record with scores, verdict, strengths and evidence."""
+    p = classified(spark, sf_dir).select("seq_id", T.risk(F.array("p0", "p1", "p2"), F.col("len")).alias("risk"))
+    vectors, forest = envelope(spark, sf_dir)
+    raw = anomaly.record_scores(anomaly.raw_scores(vectors, forest))
+    cal = anomaly.anchors(raw)
+    ood = raw.crossJoin(F.broadcast(cal)).select("seq_id", anomaly.calibrated(*(F.col(c) for c in ("raw", "mean", "std", "high", "direction"))).alias("ood"))
+    return screened(spark, sf_dir, p, ood)
+
+
+def screened_by(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The screening table by the models saved in a folder, with what was missing there and each record's anomaly flag."""
+    found, seqs = models.load_models(spark, folder), sequences(spark, sf_dir)
+    ood = staged(screening.anomalies(found, seqs), "anomalies")
+    out = screened(spark, sf_dir, screening.risks(found, seqs).select("seq_id", "risk"), ood.select("seq_id", "ood"))
+    return out.join(ood.select("seq_id", "flag"), "seq_id").withColumn("degraded", F.lit(",".join(found.degraded)))
+
+
+@query()
+def screen_saved(spark, sf_dir):
+    """A run on models that were fitted on the labelled records, saved, and loaded again."""
+    folder = shared_path(spark, "models")
+    fitted = screening.fit_models(sequences(spark, sf_dir), labels(spark, sf_dir))
+    models.save_models(spark, folder, fitted.classifier, fitted.envelope, fitted.calibration)
+    return screened_by(spark, sf_dir, folder)
+
+
+DEGRADED = "CASE WHEN n_hits > 0 OR n_motifs > 0 THEN 'CONFIRMED LAB-ENGINEERED' WHEN len > 0 AND len < 20 THEN 'BORDERLINE / REVIEW' ELSE 'LIKELY NATURAL' END"
+
+
+@query(f"{SIGNALS} SELECT seq_id, len, n_hits, n_motifs, 0::DOUBLE AS risk, 0::DOUBLE AS ood, CASE WHEN n_hits > 0 OR n_motifs > 0 THEN 1 ELSE 0 END::DOUBLE AS fused, {DEGRADED} AS verdict, 'NOT_READY' AS flag, 'classifier,envelope,calibration' AS degraded FROM sig")
+def screen_degraded(spark, sf_dir):
+    """A run on a folder without models: hits and motifs decide alone."""
+    out = screened_by(spark, sf_dir, shared_path(spark, "no-models"))
+    return out.select("seq_id", "len", "n_hits", "n_motifs", "risk", "ood", "fused", "verdict", "flag", "degraded")
+
+
 @query(f"{SIGNALS}, {LABELS} SELECT seq_id, CASE label WHEN 0 THEN 'NATURAL' WHEN 1 THEN 'VECTOR' WHEN 2 THEN 'SYNTHETIC' ELSE 'UNKNOWN' END AS true_label, CASE lang WHEN 'en' THEN 'EASY' WHEN 'de' THEN 'HARD' ELSE 'UNKNOWN' END AS difficulty, risk, ood, n_hits, round(round(0.60::DOUBLE * (risk / 100) + 0.2667::DOUBLE * least(n_hits / 10, 1), 9) + 1e-10, 4) AS fused, {VERDICT.format('', '')} AS verdict, len, gc_percent FROM sig JOIN seqs USING (seq_id) LEFT JOIN lab USING (seq_id)")
 def benchmark_result(spark, sf_dir):
     """Verdicts beside the labels and levels that are parsed from the records' headers."""
@@ -893,6 +926,23 @@ def tool_comparison(spark, sf_dir):
     return metrics.tool_comparison(binary(spark, sf_dir).withColumnRenamed("score", "tool"), ["gc", "ns", "absent"])
 
 
+@query(f"""{SIGNALS}, {LABELS}, lb AS (SELECT sig.*, lang = 'de' AS hard, n_hits = 0 AS unseen, CASE WHEN label <> 0 THEN 1 ELSE 0 END AS y FROM sig JOIN lab USING (seq_id) JOIN seqs USING (seq_id)),
+pts AS (SELECT 'classifier' AS score, y, hard, unseen, risk / 100 AS x FROM lb UNION ALL SELECT 'envelope', y, hard, unseen, ood / 100 FROM lb UNION ALL SELECT 'homology', y, hard, unseen, CASE WHEN n_hits > 0 THEN 1 ELSE 0 END::DOUBLE FROM lb),
+{CUM}, {ROC}, cal AS (SELECT score, max(CASE WHEN fp / n <= 0.1::DOUBLE THEN tp / m ELSE 0 END) AS calibrated FROM roc GROUP BY score),
+d AS (SELECT score, count(*) FILTER (y = 1) AS n, avg(CASE WHEN x >= 0.5::DOUBLE THEN 1 ELSE 0 END) FILTER (y = 1) AS rate, count(*) FILTER (y = 1 AND hard) AS n_hard, avg(CASE WHEN x >= 0.5::DOUBLE THEN 1 ELSE 0 END) FILTER (y = 1 AND hard) AS rate_hard,
+ count(*) FILTER (y = 1 AND unseen) AS n_unseen, avg(CASE WHEN x >= 0.5::DOUBLE THEN 1 ELSE 0 END) FILTER (y = 1 AND unseen) AS rate_unseen FROM pts GROUP BY score)
+SELECT tool, coalesce(n, 0) AS n, round(rate, 6) AS rate, coalesce(n_hard, 0) AS n_hard, round(rate_hard, 6) AS rate_hard, coalesce(n_unseen, 0) AS n_unseen, round(rate_unseen, 6) AS rate_unseen, round(calibrated, 6) AS calibrated
+FROM (SELECT unnest(['classifier', 'envelope', 'homology', 'absent']) AS tool) LEFT JOIN d ON d.score = tool LEFT JOIN cal ON cal.score = tool""")
+def detection_rates(spark, sf_dir):
+    """What three engines find of all engineered records, of the hard ones (in German), and of those without a hit."""
+    rows = signals(spark, sf_dir).join(labels(spark, sf_dir), "seq_id").join(sequences(spark, sf_dir).select("seq_id", "lang"), "seq_id")
+    scores = {"classifier": F.col("risk") / 100, "envelope": F.col("ood") / 100, "homology": (F.col("n_hits") > 0).cast("double")}
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tool"), x.alias("x")) for t, x in scores.items()))).alias("e")
+    rows = rows.select((F.col("label") != 0).cast("int").alias("y"), (F.col("lang") == "de").alias("hard"), (F.col("n_hits") == 0).alias("unseen"), each)
+    rows = staged(rows.select("e.*", "y", "hard", "unseen"), "detections")
+    return metrics.detection_rates(rows, [*scores, "absent"], ["hard", "unseen"])
+
+
 @query(f"""{BASE}, {BINARY}, {CUM}, {AUC}, {ROC}, a AS (SELECT score, sum(u) / (sum(pos) * sum(neg)) AS auroc FROM won GROUP BY score),
 st AS (SELECT score, m, n, (tp / m - coalesce(lag(tp / m) OVER (PARTITION BY score ORDER BY x DESC), 0)) * tp / (tp + fp) AS s FROM roc), p AS (SELECT score, sum(s) AS ap, max(m) / (max(m) + max(n)) AS base FROM st GROUP BY score), {SWEEP}, b AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY f1 DESC, threshold) AS k FROM fs)
 SELECT score, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(base, 6) AS base, threshold, round(precision, 6) AS precision, round(tpr, 6) AS recall, round(f1, 6) AS f1 FROM a JOIN p USING (score) JOIN b USING (score) WHERE k = 1""")

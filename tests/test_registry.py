@@ -3,8 +3,8 @@ import pytest
 
 import __spark_entry__ as registry
 
-#: Queries whose models take long; test_models holds their parts.
-SLOW = {"cv_predictions", "cv_auroc", "screen_risk", "isotonic_calibrated", "window_sweep", "risk_track", "metrics_table", "screen", "iforest_scores", "ood_calibrated", "ood_platt", "ood_dual", "ood_track", "ood_sanity", "saliency"}
+#: Queries whose models take long; test_models and test_screening hold their parts.
+SLOW = {"cv_predictions", "cv_auroc", "screen_risk", "isotonic_calibrated", "window_sweep", "risk_track", "metrics_table", "screen", "screen_saved", "iforest_scores", "ood_calibrated", "ood_platt", "ood_dual", "ood_track", "ood_sanity", "saliency"}
 NAMES = sorted(n for n in registry.catalog.QUERIES if n not in SLOW)
 
 
