@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandsieve.operators import anomaly, features, seq, terms
+from strandsieve.operators import anomaly, classify, features, seq, terms
 
 KS = (4, 6, 8)
 
@@ -107,3 +107,15 @@ def test_k_mers_of_records_equal_plain_counts(spark):
     for (i, _), (n, _) in want.items():
         totals[i] += n
     assert all(r.total == totals[r.seq_id] and abs(r.freq - r.cnt / r.total) < 1e-15 for r in got.collect())
+
+
+def test_scales_are_fitted_before_terms_are_counted():
+    names = [type(x).__name__ for x in classify.stages(16)]
+    assert names.index("StandardScaler") < names.index("SublinearTfidf")
+
+
+def test_importances_are_sent_to_the_tokens(spark):
+    toks = spark.createDataFrame([(1, 0, "k8_A"), (1, 1, "k8_C")], "seq_id long, pos long, token string")
+    got = features.saliency(toks, spark.createDataFrame([("k8_A", -0.5)], "token string, weight double"))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.token, r.weight) for r in got.collect()} == {("k8_A", 0.5), ("k8_C", 0.0)}
