@@ -109,7 +109,7 @@ def test_k_mers_of_records_equal_plain_counts(spark):
     assert all(r.total == totals[r.seq_id] and abs(r.freq - r.cnt / r.total) < 1e-15 for r in got.collect())
 
 
-def test_scales_are_fitted_before_terms_are_counted():
+def test_scales_are_fitted_before_terms_are_counted(spark):
     names = [type(x).__name__ for x in classify.stages(16)]
     assert names.index("StandardScaler") < names.index("SublinearTfidf")
 
