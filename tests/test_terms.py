@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandsieve.operators import anomaly, classify, features, seq, terms
+from strandsieve.plans import catalog
 
 KS = (4, 6, 8)
 
@@ -119,3 +120,19 @@ def test_importances_are_sent_to_the_tokens(spark):
     got = features.saliency(toks, spark.createDataFrame([("k8_A", -0.5)], "token string, weight double"))
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.token, r.weight) for r in got.collect()} == {("k8_A", 0.5), ("k8_C", 0.0)}
+
+
+def test_fragments_to_weigh_are_cut_once(spark, sf_dir):
+    plan = catalog.QUERIES["top_tokens"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_largest_hold_the_first(spark):
+    rng = np.random.default_rng(3)
+    own = np.repeat(np.arange(6), [1, 4, 5, 30, 200, 3])
+    w = np.where(own == 3, 0.5, np.round(rng.random(len(own)), 1))
+    keep = features.largest(own, w, 5)
+    for g in range(6):
+        mine = w[own == g]
+        assert sorted(mine[keep[own == g]])[::-1][:5] == sorted(mine)[::-1][:5] and keep[own == g].sum() >= min(5, len(mine))
+    assert not len(features.largest(own[:0], w[:0], 5))
