@@ -136,3 +136,9 @@ def test_largest_hold_the_first(spark):
         mine = w[own == g]
         assert sorted(mine[keep[own == g]])[::-1][:5] == sorted(mine)[::-1][:5] and keep[own == g].sum() >= min(5, len(mine))
     assert not len(features.largest(own[:0], w[:0], 5))
+
+
+def test_weights_are_rounded_where_they_are_made(spark, sf_dir):
+    got = catalog.QUERIES["tfidf_weights"](spark, sf_dir)
+    assert "round(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter("abs(weight * 1e6 - round(weight * 1e6)) > 1e-6 or weight <= 0").isEmpty() and not got.isEmpty()
