@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from strandsieve.operators import features, seq, tfidf, training
+from strandsieve.operators import anomaly, features, motif, seq, tfidf, training
 
 
 def fragments(spark, n=60, seed=1, changed=None):
@@ -133,3 +133,30 @@ def test_no_validation_record_reaches_a_fit(spark):
 def test_fragments_of_sequences_go_in(spark):
     seqs = spark.createDataFrame([(i, i % 3, "ATGCNATT" * (5 + i)) for i in range(9)], "seq_id long, label int, seq string")
     assert tfidf.SublinearTfidf().fit(seq.fragments(seqs)).transform(seq.fragments(seqs)).count() == 9
+
+
+def test_shapes_are_made_in_place(spark):
+    rows = fragments(spark, 12).withColumn("row", F.col("seq_id") * 10 + F.col("idx")).select("row", "label", "frag")
+    rows = rows.unionByName(spark.createDataFrame([(500, 0, "ATGCéXATGCATG"), (501, 0, "ATG"), (502, 0, "")], "row long, label int, frag string"))
+    m = training.FragmentModel.__new__(training.FragmentModel)
+    m.background = ["ATGCATGCNATG", "AT", "", *(r.frag for r in rows.orderBy("row").limit(5).collect())]
+    got = m.shaped(rows)
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join"))
+    known = spark.createDataFrame(list(enumerate(m.background)), "seq_id long, seq string")
+    best = motif.enriched_kmers(rows.select(F.col("row").alias("seq_id"), F.col("frag").alias("seq")), 6, 1, known, len(m.background))
+    folds_ = {r.seq_id: r.fold for r in best.collect()}
+    vectors = {r.row: r.v for r in anomaly.vector_table(rows.withColumn("idx", F.lit(0)), "row").collect()}
+    for r in got.collect():
+        assert r.motif == folds_.get(r.row, 0.0) and r.v == vectors[r.row]
+
+
+def test_rows_of_folds_lie_in_a_part_for_each_core(spark):
+    rows = training.fold_rows(fragments(spark), 3, 42)
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.select("row").distinct().count() == rows.count() == 120
+
+
+def test_dense_and_sparse_vectors_are_read(spark):
+    rows = [(0, Vectors.sparse(4, {1: 2.0, 3: -1.0})), (1, Vectors.dense([1.0, 0.0, 3.0, 0.5])), (2, Vectors.sparse(4, {})), (3, Vectors.sparse(4, {0: 1.5}))]
+    table = spark.createDataFrame(rows, ["row", "features"]).coalesce(1).toArrow()
+    indices, values = tfidf.read_vectors(table.column("features"))
+    assert [i.tolist() for i in indices] == [[1, 3], [0, 1, 2, 3], [], [0]] and [v.tolist() for v in values] == [[2.0, -1.0], [1.0, 0.0, 3.0, 0.5], [], [1.5]]
